@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import language, mixing, packing, quality, sstable
+from logweir.llm import language, mixing, packing, pii, quality, sstable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,8 +81,16 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(table(spark, sf_dir, "documents"), end_id=2).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+#: The pseudonyms' key of the registered queries; an application passes its own secret.
+PII_KEY = "registered-query"
+
+
+def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_best_fit_packing, op5_quality_classifier, op7_source_mixing, op9_token_shards)}
+    return {f.__name__: f for f in (op2_language_id, op3_best_fit_packing, op5_quality_classifier, op7_source_mixing, op9_token_shards, op10_pii_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:

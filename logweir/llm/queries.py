@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import language, mixing, packing, pii, quality, sstable
+from logweir.llm import language, mixing, packing, pii, quality, repeats, sstable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,31 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS s FROM w, unnest(range(1, len(ws) - 33)) AS t(i)
+), hit AS (
+  SELECT doc_id, i FROM win WHERE s IN (SELECT s FROM win GROUP BY s HAVING count(*) > 1)
+), covered AS (
+  SELECT DISTINCT doc_id, i + j AS p FROM hit, range(35) AS r(j)
+), kept AS (
+  SELECT w.doc_id, p, ws[p] AS word FROM w, unnest(range(1, len(ws) + 1)) AS t(p)
+  WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.doc_id = w.doc_id AND c.p = t.p)
+), k AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM kept GROUP BY doc_id
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM w LEFT JOIN k ON w.doc_id = k.doc_id
+"""
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score_quality(docs, quality_model(docs, table(spark, sf_dir, "labels")))
@@ -90,8 +115,8 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_best_fit_packing, op5_quality_classifier, op7_source_mixing, op9_token_shards, op10_pii_pseudonyms)}
+    return {f.__name__: f for f in (op2_language_id, op3_best_fit_packing, op4_substring_dedup, op5_quality_classifier, op7_source_mixing, op9_token_shards, op10_pii_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_source_mixing": OP7_SQL}
+    return {"op4_substring_dedup": OP4_SQL, "op7_source_mixing": OP7_SQL}

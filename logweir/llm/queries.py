@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import language, mixing, packing, pii, quality, repeats, sstable
+from logweir.llm import jaccard, language, mixing, packing, pii, quality, repeats, sstable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def quality_model(docs: DataFrame, labels: DataFrame) -> quality.QualityModel:
     return quality.train_quality(docs.select("doc_id", "text").join(known, "doc_id"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
     return mixing.systematic_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -115,7 +119,7 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_best_fit_packing, op4_substring_dedup, op5_quality_classifier, op7_source_mixing, op9_token_shards, op10_pii_pseudonyms)}
+    return {f.__name__: f for f in (op2_language_id, op3_best_fit_packing, op4_substring_dedup, op5_quality_classifier, op6_jaccard_join, op7_source_mixing, op9_token_shards, op10_pii_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -195,7 +195,7 @@ def join_block(base: list[tuple[bytes, bytes]], probes: list[tuple[bytes, bytes]
             yield d, digests[r]
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, over: int = OVER, under: int = UNDER) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = WORDS, over: int = OVER, under: int = UNDER, with_key: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id of ``docs`` (doc_id, text).
 
     Words are runs of anything but ASCII white space, with A-Z lower-cased.  A document's set has its
@@ -207,17 +207,18 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, over: int = OVER, un
     null doc_id alone has a null component.  Texts of any length are taken whole.  An empty table gives no
     rows.  Other columns are not read.
 
+    ``with_key`` adds ``key``, the xxhash64 of doc_id and text, to tell rows that share a doc_id apart.
     Sets larger than a block's limits together are joined chunk by chunk, each pair of chunks once.
     """
     import pyarrow as pa
 
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", "text").alias("key"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     may_repeat = merged_sketch(docs.select("text"), set_hashes(words), size // 6)
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = ["doc_id", "n_shingles", "digest", "grams", "keys"]
+        fields = ["doc_id", "key", "n_shingles", "digest", "grams", "keys"]
         types = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
         for batch in batches:
             for at, to, texts in hashing.slices(batch, 1):
@@ -235,9 +236,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, over: int = OVER, un
                     shared = s[mine]
                     grams = np.concatenate([shared, s[~mine] | RARE])
                     rows.append((len(s), xxhash.xxh3_128_digest(grams.tobytes()), grams.tobytes(), shared[-few:].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]], fields)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(2).slice(at, to - at), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]], fields)
 
-    indexed = docs.mapInArrow(index, "doc_id long, n_shingles long, digest binary, grams binary, keys array<long>")
+    indexed = docs.mapInArrow(index, "doc_id long, key long, n_shingles long, digest binary, grams binary, keys array<long>")
     indexed = materialize(indexed, "jaccard-index")
     classes = indexed.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n"))
     classes = materialize(classes.withColumn("node", F.xxhash64("digest")), "jaccard-classes")
@@ -284,6 +285,25 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, over: int = OVER, un
     members = materialize(members.join(firsts, members["node"] == firsts["digest"]).select("node", "component", "least"), "jaccard-members")
     names = members.groupBy("component").agg(F.min("least").alias("_id"))
     named = members.join(names, "component").select("node", "_id")
-    equal = indexed.select("doc_id", "n_shingles", "digest").join(firsts, "digest", "left")
+    equal = indexed.select("doc_id", "key", "n_shingles", "digest").join(firsts, "digest", "left")
     out = equal.join(named, equal["digest"] == named["node"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("_id", "least", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("_id", "least", "doc_id").alias("component_id"), *["key"] * with_key)
+
+
+def keep_one_each(docs: DataFrame, words: int = WORDS, over: int = OVER, under: int = UNDER) -> DataFrame:
+    """``docs`` with one row of each group that links connect: the one of the least doc_id.
+
+    Of rows that share that doc_id the one with the least hash of its text stays, and of wholly equal ones
+    any.  A row without a doc_id stays unless it is linked with one that has an id.
+    """
+    key = "__logweir_key"
+    docs_keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = materialize(jaccard_components(docs, words, over, under, with_key=True), "jaccard-kept")
+    best = found.filter(F.col("component_id").isNotNull()).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("_best"))
+    alone = found.filter(F.col("component_id").isNull()).select("key").distinct()
+    kept = best.select(F.col("_best.key").alias("key")).unionByName(alone).withColumnRenamed("key", key)
+    out = docs_keyed.join(kept, key, "left_semi")
+    repeated = found.filter(F.col("component_id").isNotNull()).groupBy("key").count().filter("count > 1")
+    if not repeated.isEmpty():
+        out = out.dropDuplicates([key])
+    return out.select(*[f"`{c}`" for c in docs.columns])

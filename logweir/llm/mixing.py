@@ -83,9 +83,9 @@ def mix_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most
     Rows are told apart by all their columns' hash and doc_id, so rows that share a doc_id but differ
     are drawn separately; wholly equal rows are drawn each for itself.
     """
-    keyed = materialize(documents.withColumn("_key", F.monotonically_increasing_id()), "mix-docs")
-    copies = systematic_mix(keyed.select(F.struct("doc_id", "_key").alias("doc_id"), "source", n_words(F.col("text")).alias("size")), weights, most, seed)
-    times = copies.filter(F.col("copies") > 0).select(F.col("doc_id._key").alias("_k2"), "copies")
-    taken = keyed.join(times, keyed["_key"] == times["_k2"])
-    taken = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return taken.select(*[keyed[c] for c in documents.columns])
+    key = "__logweir_key"
+    keyed = materialize(documents.withColumn(key, F.monotonically_increasing_id()), "mix-docs")
+    copies = systematic_mix(keyed.select(F.struct("doc_id", key).alias("doc_id"), "source", n_words(F.col("text")).alias("size")), weights, most, seed)
+    times = copies.filter(F.col("copies") > 0).select(F.col(f"doc_id.{key}").alias(key), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("__logweir_copies"))
+    taken = keyed.join(times, key).withColumn("__logweir_copy", F.explode("__logweir_copies"))
+    return taken.select(*[f"`{c}`" for c in documents.columns])

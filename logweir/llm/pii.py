@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
+#: A column of ours, dropped again.
+FOUND = "__logweir_found"
 #: Steps of cycle walking: while a permuted value is invalid it is permuted again.
 WALK = 128
 FIRST_DAY, LAST_DAY = "1900-01-01", "2099-12-31"
@@ -263,20 +265,22 @@ def pseudonym(found: Column, key: str) -> Column:
     return out.otherwise(found["value"])
 
 
-def pseudonymize(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, column: str = "text", kinds: str | None = "pii") -> DataFrame:
     """``docs`` with every valid piece of personal data in ``column`` replaced by its pseudonym.
 
-    The columns are those of ``docs`` and ``pii``, an array of the kinds replaced in order of their
-    places.  Values that break their format's rule, such as a number whose check digit is wrong, stay.
-    Null texts stay null with an empty ``pii``; texts of any length are searched to the end.  Rows are
-    treated each for itself, so repeated rows and ties don't matter.  A column already named ``pii`` is replaced.
+    The columns are those of ``docs`` and, unless ``kinds`` is None, one of that name with an array of the
+    kinds replaced in order of their places, in place of any such column.  Values that break their format's rule, such as a number whose check digit is wrong, stay.
+    Null texts stay null, with no kinds; texts of any length are searched to the end.  Rows are
+    treated each for itself, so repeated rows, ties and other columns don't matter.
     """
     text = F.col(column)
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     named = F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda v: F.struct(kind_of(v).alias("kind"), v.alias("value")))
-    docs = docs.withColumn("_found", named)
-    new = F.concat(F.transform("_found", lambda f: pseudonym(f, key)), F.array(F.lit("")))
+    docs = docs.withColumn(FOUND, named)
+    new = F.concat(F.transform(FOUND, lambda f: pseudonym(f, key)), F.array(F.lit("")))
     rewritten = F.array_join(F.zip_with(F.split(text, ANY, -1), new, lambda gap, p: F.concat(gap, p)), "")
-    touched = F.exists("_found", lambda f: f["kind"].isNotNull())
+    touched = F.exists(FOUND, lambda f: f["kind"].isNotNull())
     docs = docs.withColumn(column, F.when(touched, rewritten).otherwise(text))
-    return docs.withColumn("pii", F.filter(F.transform("_found", lambda f: f["kind"]), lambda k: k.isNotNull())).drop("_found")
+    if kinds:
+        docs = docs.withColumn(kinds, F.filter(F.transform(FOUND, lambda f: f["kind"]), lambda k: k.isNotNull()))
+    return docs.drop(FOUND)

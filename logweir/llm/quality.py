@@ -119,3 +119,17 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(score, "doc_id long, score double")
+
+
+def filter_quality(docs: DataFrame, model: QualityModel, least: float) -> DataFrame:
+    """The rows of ``docs`` whose text scores ``least`` or more, with all their columns."""
+    import pyarrow as pa
+
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of a fixed size
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([shared.value.score(t.encode() if (t := v.as_py()) is not None else None) >= least for v in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

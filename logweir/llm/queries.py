@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import jaccard, language, mixing, packing, pii, quality, repeats, sstable
+from logweir.llm import jaccard, language, lattice, mixing, packing, pii, quality, repeats, sstable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def remainder(divisor: int):
     return F.crc32(F.col("doc_id").cast("string")) % divisor
 
 
+def op1_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.train_language(docs.filter(remainder(3) != 1))
@@ -119,7 +123,7 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_best_fit_packing, op4_substring_dedup, op5_quality_classifier, op6_jaccard_join, op7_source_mixing, op9_token_shards, op10_pii_pseudonyms)}
+    return {f.__name__: f for f in (op1_lattice_near_dedup, op2_language_id, op3_best_fit_packing, op4_substring_dedup, op5_quality_classifier, op6_jaccard_join, op7_source_mixing, op9_token_shards, op10_pii_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:

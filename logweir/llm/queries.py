@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import jaccard, language, lattice, mixing, packing, pii, quality, repeats, sstable
+from logweir.llm import images, jaccard, language, lattice, mixing, packing, pii, quality, repeats, sstable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,6 +110,10 @@ FROM e
 """
 
 
+def op8_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.copies(images.mosaics(table(spark, sf_dir, "embeddings")))
+
+
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(table(spark, sf_dir, "documents"), end_id=2).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -123,7 +127,7 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice_near_dedup, op2_language_id, op3_best_fit_packing, op4_substring_dedup, op5_quality_classifier, op6_jaccard_join, op7_source_mixing, op9_token_shards, op10_pii_pseudonyms)}
+    return {f.__name__: f for f in (op1_lattice_near_dedup, op2_language_id, op3_best_fit_packing, op4_substring_dedup, op5_quality_classifier, op6_jaccard_join, op7_source_mixing, op8_image_copies, op9_token_shards, op10_pii_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:

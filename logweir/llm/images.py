@@ -23,7 +23,7 @@ RADIUS = 7
 BITS, BAND, BANDS = 128, 24, 5
 TURNS = 32
 #: Differing bits of a match, pixels by which it may miss the common placement, and matches that make a copy.
-NEAR, MISS, MATCHES = 24, 3.5, 5
+NEAR, MISS, MATCHES = 20, 3.5, 7
 SEED = 8
 
 

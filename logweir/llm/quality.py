@@ -43,7 +43,7 @@ class QualityModel:
         x = np.array(rows).reshape(-1, 3)
         self.mean = x.mean(0) if len(x) else np.zeros(3)
         self.scale = x.std(0) + 1e-9 if len(x) else np.ones(3)
-        self.weights = self._fit((x - self.mean) / self.scale, labels)
+        self.weights = self._fit(self._standard(x), labels)
 
     @staticmethod
     def _dictionary(samples: list[bytes], size: int) -> bytes:
@@ -68,6 +68,10 @@ class QualityModel:
         self.__dict__.update(state)
         self._ready()
 
+    def _standard(self, x: np.ndarray) -> np.ndarray:
+        """Features in deviations from their means, three at most: a copy of training text lies far out."""
+        return np.clip((x - self.mean) / self.scale, -3, 3)
+
     @staticmethod
     def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
         """Logistic regression with equal weight for the classes' shares as they are; Newton's method."""
@@ -93,7 +97,7 @@ class QualityModel:
         return float((sizes[:, 1] - sizes[:, 0]).sum() / lengths.sum()), float(difference.min()), float(sizes.min(1).sum() / lengths.sum())
 
     def score(self, text: bytes | None) -> float:
-        x = (np.array(self.features(text or b"")) - self.mean) / self.scale
+        x = self._standard(np.array(self.features(text or b"")))
         z = float(self.weights[0] + x @ self.weights[1:])
         return 1 / (1 + float(np.exp(-max(-30.0, min(30.0, z)))))
 

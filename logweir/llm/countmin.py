@@ -34,17 +34,17 @@ def positions(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
         return (hashes * np.uint64(ROWS[row])) >> np.uint64(64 - bits)
 
 
-def packed(sorted_positions: np.ndarray, twice: np.ndarray) -> bytes:
-    """Ascending positions and a flag each, as differences with their bytes in planes."""
+def packed(sorted_positions: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending positions and a count each (255: or more), as differences with their bytes in planes."""
     steps = np.diff(sorted_positions, prepend=np.uint32(0)).astype("<u4")
-    return zstandard.ZstdCompressor(level=1).compress(np.uint32(len(steps)).tobytes() + steps.view(np.uint8).reshape(-1, 4).T.tobytes() + np.packbits(twice).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.uint32(len(steps)).tobytes() + steps.view(np.uint8).reshape(-1, 4).T.tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes())
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(data)
     n = int(np.frombuffer(raw, "<u4", 1)[0])
     planes = np.frombuffer(raw, np.uint8, 4 * n, 4).reshape(4, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int64), np.unpackbits(np.frombuffer(raw, np.uint8, offset=4 + 4 * n), count=n).astype(bool)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int64), np.frombuffer(raw, np.uint8, offset=4 + 4 * n)
 
 
 def partial_sketch(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
@@ -55,7 +55,7 @@ def partial_sketch(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]
         cuts = np.searchsorted(at, np.arange(0, (1 << bits) + 1, 1 << chunk))
         for c, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if hi > lo:
-                yield (row << (bits - chunk)) + c, packed(at[lo:hi] - np.uint32(c << chunk), n[lo:hi] > 1)
+                yield (row << (bits - chunk)) + c, packed(at[lo:hi] - np.uint32(c << chunk), n[lo:hi])
 
 
 class MayRepeat:
@@ -72,21 +72,39 @@ class MayRepeat:
         return out
 
 
-def merged_sketch(texts: DataFrame, hashes_of: Callable[[Iterable], Iterator[np.ndarray]], expected: int) -> Broadcast:
+class Levels:
+    """How often the merged sketch estimates hashes to occur: the bit length of the count, 15 at most."""
+
+    def __init__(self, bits: int, rows: np.ndarray):
+        self.bits, self.rows = bits, rows
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(len(hashes), 15, np.uint8)
+        for r in range(len(ROWS)):
+            at = positions(hashes, r, self.bits)
+            out = np.minimum(out, self.rows[r][at >> np.uint64(1)] >> ((at & np.uint64(1)) << np.uint64(2)).astype(np.uint8) & 15)
+        return out
+
+
+def merged_sketch(texts: DataFrame, hashes_of: Callable[[Iterable], Iterator[np.ndarray]], expected: int, levels: bool = False) -> Broadcast:
     """The sketch of what ``hashes_of`` yields from ``texts``'s record batches, merged and broadcast.
 
     ``expected`` (about how many hashes there are) sets the width.  Partitions' sketches hold the counters
     that they touched; a task merges the parts that it gets one after the other, an array of 2**22 counters
-    at a time, so its memory depends neither on the input nor on the number of partitions.
+    at a time, so its memory depends neither on the input nor on the number of partitions.  With ``levels``
+    the result tells the size of the counts in four bits, and has a quarter of the counters at most.
     """
     import pyarrow as pa
 
     bits = width_bits(expected)
+    if levels:
+        bits = min(bits, MOST_BITS - 2)
     chunk = min(bits, CHUNK_BITS)
     parts = len(ROWS) << (bits - chunk)
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        n_held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             rows = list(partial_sketch(np.concatenate(held), bits))
@@ -95,16 +113,23 @@ def merged_sketch(texts: DataFrame, hashes_of: Callable[[Iterable], Iterator[np.
 
         for hashes in hashes_of(batches):
             held.append(hashes)
-            if sum(map(len, held)) >= FLUSH:
+            n_held += len(hashes)
+            if n_held >= FLUSH:
                 yield from flush()
+                n_held = 0
         if held:
             yield from flush()
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, counts = None, np.zeros(1 << chunk, np.uint8)
+        current, counts = None, np.zeros(1 << chunk, np.uint16)
 
         def done() -> Iterator[pa.RecordBatch]:
-            yield pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([np.packbits(counts > 1, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+            if levels:
+                sizes = np.searchsorted(1 << np.arange(15), counts, side="right").astype(np.uint8)
+                told = (sizes[::2] | sizes[1::2] << 4).tobytes()
+            else:
+                told = np.packbits(counts > 1, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([told], pa.binary())], ["part", "bits"])
 
         for batch in batches:
             for part, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -113,16 +138,16 @@ def merged_sketch(texts: DataFrame, hashes_of: Callable[[Iterable], Iterator[np.
                         yield from done()
                     current = part
                     counts[:] = 0
-                at, twice = unpacked(payload.as_py())
-                counts[at] = np.minimum(counts[at] + 1 + twice.astype(np.uint8), 2)
+                at, n = unpacked(payload.as_py())
+                counts[at] = np.minimum(counts[at] + n, 1 << 14)
         if current is not None:
             yield from done()
 
     spark = texts.sparkSession
     partial = texts.mapInArrow(sketch, "part int, payload binary")
     merged = partial.repartition(max(1, min(parts, shuffle_partitions(spark))), "part").sortWithinPartitions("part").mapInArrow(merge, "part int, bits binary")
-    rows = np.zeros((len(ROWS), (1 << bits) // 8), np.uint8)
+    rows = np.zeros((len(ROWS), (1 << bits) // (2 if levels else 8)), np.uint8)
     flat = rows.reshape(parts, -1)
     for r in merged.toLocalIterator():  # 2 * 2**MOST_BITS bits at most, a partition at a time
         flat[r["part"]] = np.frombuffer(r["bits"], np.uint8)
-    return spark.sparkContext.broadcast(MayRepeat(bits, rows))
+    return spark.sparkContext.broadcast((Levels if levels else MayRepeat)(bits, rows))

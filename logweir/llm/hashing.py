@@ -14,7 +14,7 @@ BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 class WordHashes:
     """xxh3 of words, with the words seen lately kept; two generations bound the memory."""
 
-    def __init__(self, limit: int = 300_000, longest: int = 64):
+    def __init__(self, limit: int = 200_000, longest: int = 48):
         self.limit, self.longest = limit, longest
         self.hot = self._generation({})
 

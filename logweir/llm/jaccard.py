@@ -1,8 +1,10 @@
 """Jaccard join of word n-gram sets by prefix trees.
 
-n-grams have one global order: those that a merged count-min sketch takes to occur in several documents
-first, then the rest, each by hash.  Two sets of the threshold's similarity share an n-gram among the last
-few of each (the rarest), so only those index a document, and of them only n-grams that occur elsewhere.
+n-grams have a global order by frequency, as merged count-min sketches estimate it.  Two sets of the
+threshold's similarity share an n-gram among the rarest few of each, so only those index a document, and
+of them only n-grams that occur elsewhere.  A first sketch tells which n-grams may occur in several
+documents; a document whose rarest few are all its own is linked with nothing and goes no further.  A
+second sketch, of the others alone, sizes their counts, so that widespread passages index nothing.
 What shares indexed n-grams forms blocks; in a block the ordered sets are stored in a prefix tree, which
 each set traverses, sharing the overlap with a path among all sets below it and leaving a subtree where
 the lengths that remain can't reach the threshold, or where all sets are linked with it already.
@@ -27,7 +29,7 @@ WORDS = 4
 #: The threshold as a fraction: linked if UNDER * intersection >= OVER * union.
 OVER, UNDER = 85, 100
 #: Largest block that is joined at once: documents, and n-grams over all of them.
-BLOCK_DOCS, BLOCK_GRAMS = 4000, 3_000_000
+BLOCK_DOCS, BLOCK_GRAMS = 4000, 1_500_000
 RARE = np.uint64(1 << 63)
 
 
@@ -61,6 +63,12 @@ def set_hashes(k: int):
     return of
 
 
+def stored_hashes(batches: Iterable) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for data in batch.column(0):
+            yield (np.frombuffer(data.as_py(), np.uint64) & ~RARE) << np.uint64(1)
+
+
 def n_index(size: int, over: int, under: int) -> int:
     """How many of a set's last n-grams index it: all sets linked with it share one of them."""
     return size - -(-over * size // under) + 1
@@ -218,8 +226,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, over: int = OVER, un
     may_repeat = merged_sketch(docs.select("text"), set_hashes(words), size // 6)
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = ["doc_id", "key", "n_shingles", "digest", "grams", "keys"]
-        types = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+        fields = ["doc_id", "key", "n_shingles", "digest", "grams"]
+        types = [pa.int64(), pa.binary(), pa.binary()]
         for batch in batches:
             for at, to, texts in hashing.slices(batch, 1):
                 sets = gram_sets(texts, words)
@@ -231,35 +239,47 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, over: int = OVER, un
                     end += len(s)
                     few = n_index(len(s), over, under) - int(len(s) - mine.sum())
                     if not len(s) or few <= 0:
-                        rows.append((len(s), None, None, None))
+                        rows.append((len(s), None, None))
                         continue
-                    shared = s[mine]
-                    grams = np.concatenate([shared, s[~mine] | RARE])
-                    rows.append((len(s), xxhash.xxh3_128_digest(grams.tobytes()), grams.tobytes(), shared[-few:].astype(np.int64)))
+                    grams = np.concatenate([s[mine], s[~mine] | RARE]).tobytes()
+                    rows.append((len(s), xxhash.xxh3_128_digest(grams), grams))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(2).slice(at, to - at), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]], fields)
 
-    indexed = docs.mapInArrow(index, "doc_id long, key long, n_shingles long, digest binary, grams binary, keys array<long>")
+    indexed = docs.mapInArrow(index, "doc_id long, key long, n_shingles long, digest binary, grams binary")
     indexed = materialize(indexed, "jaccard-index")
-    classes = indexed.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n"))
+    sets = indexed.filter(F.col("digest").isNotNull())
+    level = merged_sketch(sets.select("grams"), stored_hashes, sets.agg(F.sum("n_shingles")).first()[0] or 0, levels=True)
+
+    def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for data in batch.column(3):
+                grams = np.frombuffer(data.as_py(), np.uint64) & ~RARE
+                levels = level.value(grams << np.uint64(1))
+                rarest = np.lexsort((grams, levels))[: n_index(len(grams), over, under)]
+                out.append(grams[rarest][levels[rarest] > 1].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "digest", "n_shingles", "keys"])
+
+    classes = sets.select("doc_id", "digest", "n_shingles", "grams").mapInArrow(keys, "doc_id long, digest binary, n_shingles long, keys array<long>")
+    classes = classes.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n"))
     classes = materialize(classes.withColumn("node", F.xxhash64("digest")), "jaccard-classes")
     keyed = classes.select("node", F.explode("keys").alias("key"))
     least = keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("_top")).filter(F.col("b") != F.col("_top"))
     shared = keyed.join(least, "key").select(F.col("node").alias("a"), "b").filter(F.col("a") != F.col("b"))
     coarse = connected_components(shared, "jaccard-coarse")
 
-    blocks = classes.select("digest", "node", "n").join(coarse, "node").select("digest", "n", F.col("component").alias("block"))
+    blocks = classes.select("digest", "least", "node", "n").join(coarse, "node").select("digest", "least", "n", F.col("component").alias("block"))
     sums = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("_docs"), F.sum("n").alias("_grams"))
     chunks = F.greatest(F.ceil(F.col("_docs") / BLOCK_DOCS), F.ceil(F.col("_grams") / BLOCK_GRAMS)).cast("int")
     placed = blocks.join(sums.select("block", chunks.alias("chunks")), "block")
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("digest", F.lit(1)), F.col("chunks")).cast("int"))
     c = F.col("chunk")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(c, o).cast("int").alias("lo"), F.greatest(c, o).cast("int").alias("hi"), (c <= o).alias("base")))
-    placed = placed.withColumn("_pair", F.explode(pairs)).select("digest", "block", "_pair.*")
-    sets = indexed.filter(F.col("digest").isNotNull()).select("digest", "doc_id", "grams")
+    placed = placed.withColumn("_pair", F.explode(pairs)).select("digest", "least", "block", "_pair.*")
     firsts = classes.select("digest", "least")
-    sets = sets.join(firsts, "digest").filter(F.col("doc_id").eqNullSafe(F.col("least"))).select("digest", "grams")
     n = shuffle_partitions(spark)
-    dealt = sets.join(placed, "digest").repartition(n, "block", "lo", "hi").sortWithinPartitions("block", "lo", "hi")
+    named_sets = sets.select("digest", "doc_id", "grams").join(placed, "digest").filter(F.col("doc_id").eqNullSafe(F.col("least")))
+    dealt = named_sets.repartition(n, "block", "lo", "hi").sortWithinPartitions("block", "lo", "hi")
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, base, probes = None, [], []

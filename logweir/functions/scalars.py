@@ -73,7 +73,7 @@ def fnv1a_64(data: Column) -> Column:
     """FNV-1a over the bytes of a binary or string column, as a signed long."""
     prime = F.lit(0x100000001B3).cast("decimal(38,0)")
     whole = F.lit(str(1 << 64)).cast("decimal(38,0)")
-    codes = F.transform(F.sequence(F.lit(1), F.length(F.hex(data)) / 2), lambda i: F.conv(F.substring(F.hex(data), (i * 2 - 1).cast("int"), F.lit(2)), 16, 10).cast("int"))
+    codes = F.transform(F.sequence(F.lit(1), (F.length(F.hex(data)) / 2).cast("int")), lambda i: F.conv(F.substring(F.hex(data), (i * 2 - 1).cast("int"), F.lit(2)), 16, 10).cast("int"))
 
     def step(acc: Column, byte: Column) -> Column:
         low = acc.cast("decimal(38,0)") % F.lit(256).cast("decimal(38,0)")

@@ -5,12 +5,14 @@ Records of a log are ordered by lsn; there is no order between logs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from logweir.functions.lsn import lsn_to_epoch, lsn_to_esn
 
-IN_LOG = Window.partitionBy("log_id").orderBy("lsn")
+
+def in_log() -> WindowSpec:
+    return Window.partitionBy("log_id").orderBy("lsn")
 
 
 def range_read(records: DataFrame, since: int, until: int, logs: list[int] | None = None) -> DataFrame:
@@ -38,13 +40,13 @@ def passes(kind: str, low: str, high: str | None = None) -> Column:
 def filtered_out_gaps(records: DataFrame, test: Column) -> DataFrame:
     """(log_id, lo, hi) of runs of filtered records whose numbers follow each other, none between."""
     out = records.filter(~test).select("log_id", "lsn")
-    run = F.col("lsn") - F.row_number().over(IN_LOG)
+    run = F.col("lsn") - F.row_number().over(in_log())
     return out.withColumn("_run", run).groupBy("log_id", "_run").agg(F.min("lsn").alias("lo"), F.max("lsn").alias("hi")).drop("_run")
 
 
 def gaps(records: DataFrame) -> DataFrame:
     """(log_id, lo, hi) of the numbers missing between records of a log, bounds included."""
-    following = F.lead("lsn").over(IN_LOG)
+    following = F.lead("lsn").over(in_log())
     return records.select("log_id", "lsn", following.alias("_next")).filter(F.col("_next") > F.col("lsn") + 1).select("log_id", (F.col("lsn") + 1).alias("lo"), (F.col("_next") - 1).alias("hi"))
 
 
@@ -57,7 +59,7 @@ def typed_gaps(records: DataFrame, trims: DataFrame, since: int = 1, until: int
     before, is BRIDGE; one within an epoch is DATALOSS; other changes of epoch are BRIDGE.  Gaps end at
     ``until``.
     """
-    before = F.lag("lsn").over(IN_LOG)
+    before = F.lag("lsn").over(in_log())
     rows = records.filter(F.col("lsn") >= since).select("log_id", F.col("lsn").alias("_g"), (F.coalesce(before, F.lit(since - 1)) + 1).alias("_n"), before.isNull().alias("_fresh"))
     rows = rows.filter(F.col("_n") < F.col("_g")).join(trims, "log_id", "left").withColumn("_t", F.coalesce("trim_point", F.lit(0)))
     split = (F.col("_n") <= F.col("_t")) & (F.col("_t") + 1 < F.col("_g"))
@@ -168,12 +170,12 @@ def obsolete_partitions(directory: DataFrame, trims: DataFrame) -> DataFrame:
 
 def byte_offsets(records: DataFrame) -> DataFrame:
     """(log_id, lsn, byte_offset): bytes of the log up to and with each record."""
-    return records.select("log_id", "lsn", F.sum("payload_size").over(IN_LOG).cast("long").alias("byte_offset"))
+    return records.select("log_id", "lsn", F.sum("payload_size").over(in_log()).cast("long").alias("byte_offset"))
 
 
 def batches(records: DataFrame, size: int) -> DataFrame:
     """(log_id, batch, first_lsn, n, bytes, payloads): records of a log in batches of about ``size`` bytes, in order."""
-    at = F.floor((F.sum("payload_size").over(IN_LOG) - F.col("payload_size")) / size)
+    at = F.floor((F.sum("payload_size").over(in_log()) - F.col("payload_size")) / size)
     rows = records.select("log_id", "lsn", "payload", "payload_size", at.cast("long").alias("batch"))
     item = F.sort_array(F.collect_list(F.struct("lsn", "payload")))
     return rows.groupBy("log_id", "batch").agg(F.min("lsn").alias("first_lsn"), F.count(F.lit(1)).alias("n"), F.sum("payload_size").cast("long").alias("bytes"), F.transform(item, lambda s: s["payload"]).alias("payloads"))

@@ -232,7 +232,7 @@ def data_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.data_size(log.partition_directory(records(spark, sf_dir)), at("2024-01-10 06:00:00"), at("2024-01-20 18:30:00"), at("2024-01-31 00:00:00"))
 
 
-@query(f"WITH {REC}, d AS (SELECT date_trunc('day', ts) AS start, max(lsn) AS m FROM rec GROUP BY ALL) SELECT start FROM d WHERE start < (SELECT min(start) FROM d WHERE m > 3000)")
+@query(f"WITH {REC}, d AS (SELECT date_trunc('day', ts) AS start, max(lsn) AS m FROM rec GROUP BY ALL) SELECT start FROM d WHERE start < coalesce((SELECT min(start) FROM d WHERE m > 3000), TIMESTAMP '9999-01-01')")
 def obsolete_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rec = records(spark, sf_dir)
     return log.obsolete_partitions(log.partition_directory(rec), rec.select("log_id").distinct().withColumn("trim_point", F.lit(3000)))

@@ -1,7 +1,7 @@
 """Removal of word windows that occur more than once, with a count-min prefilter.
 
 Four passes.  Partitions sketch the hashes of their windows, and the sketches are merged.  Then only
-windows that the merged sketch estimates repeated are grouped, exactly, by a 128-bit hash.  What repeats
+windows that the merged sketch estimates repeated are grouped, exactly, by 96 bits of hash.  What repeats
 is sent back to its texts, whose covered words are dropped.  Within a slice of a partition equal windows
 count as one when they are sent on, so a window that fills a third of the corpus is a few rows.
 """
@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 from itertools import compress
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,8 @@ def windows_of(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndarra
     split = [t.split() if t else [] for t in texts]
     words = hashing.word_hashes(split)
     start, owner, place = hashing.window_starts(np.array([len(s) for s in split], np.int64), k)
-    return hashing.rolling(words, k, hashing.BASES[0])[start], hashing.rolling(words, k, hashing.BASES[1])[start], owner, place
+    second = (hashing.rolling(words, k, hashing.BASES[1])[start] >> np.uint64(32)).astype(np.uint32)
+    return hashing.rolling(words, k, hashing.BASES[0])[start], second, owner, place
 
 
 def first_hashes(k: int):
@@ -43,8 +45,8 @@ def first_hashes(k: int):
     return of
 
 
-def asks(keys: np.ndarray, texts: list[bytes | None], k: int, may_repeat, parts: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes, bytes]]:
-    """Rows (part, h1, h2, owners, counts, places) of a slice of texts.
+def asks(keys: np.ndarray, texts: list[bytes | None], k: int, may_repeat, parts: int) -> Iterator[tuple[int, int, bytes, bytes, bytes, bytes, bytes]]:
+    """Rows (part, slice, h1, h2, owners, counts, places) of a slice of texts.
 
     In a part's row stand first the windows seen once in the slice, text by text (owners and counts say
     whose), which wait for an answer; behind them one of each that repeats in the slice, for the others
@@ -63,16 +65,17 @@ def asks(keys: np.ndarray, texts: list[bytes | None], k: int, may_repeat, parts:
     single[order] = np.repeat(size == 1, size)
     waiting = np.flatnonzero(single)
     known = order[np.flatnonzero(new)[size > 1]]
+    name = xxhash.xxh3_64_intdigest(keys.tobytes()) >> 1
     part = (h1 >> np.uint64(20)) % np.uint64(parts)
     for p, mine in grouped(part, waiting, known):
         w, kn = mine
         owners, counts = np.unique(owner[w], return_counts=True)
         both = np.concatenate([w, kn])
-        yield int(p), h1[both].tobytes(), h2[both].tobytes(), keys[owners].tobytes(), counts.astype("<u4").tobytes(), place[w].astype("<u4").tobytes()
+        yield int(p), name, h1[both].tobytes(), h2[both].tobytes(), keys[owners].tobytes(), counts.astype("<u4").tobytes(), place[w].astype("<u4").tobytes()
     dup = np.flatnonzero(~single)
     if len(dup):
         owners, counts = np.unique(owner[dup], return_counts=True)
-        yield -1, b"", b"", keys[owners].tobytes(), counts.astype("<u4").tobytes(), place[dup].astype("<u4").tobytes()
+        yield -1, name, b"", b"", keys[owners].tobytes(), counts.astype("<u4").tobytes(), place[dup].astype("<u4").tobytes()
 
 
 def grouped(part: np.ndarray, *kinds: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -82,10 +85,10 @@ def grouped(part: np.ndarray, *kinds: np.ndarray) -> Iterator[tuple[int, list[np
         yield p, [k[np.searchsorted(part[k], p, "left") : np.searchsorted(part[k], p, "right")] for k in sorted_kinds]
 
 
-def answers(rows: list[tuple[bytes, bytes, bytes, bytes, bytes]]) -> Iterator[tuple[int, bytes]]:
-    """(owner, places) of the windows that repeat among all rows of a part."""
-    h1 = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows])
-    h2 = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows])
+def answers(rows: list[tuple[int, bytes, bytes, bytes, bytes, bytes]]) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """(slice, owners, counts, places) of the windows that repeat among all rows of a part, a row for each row."""
+    h1 = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows])
+    h2 = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows])
     order = np.lexsort((h2, h1))
     a, b = h1[order], h2[order]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
@@ -94,27 +97,31 @@ def answers(rows: list[tuple[bytes, bytes, bytes, bytes, bytes]]) -> Iterator[tu
     repeated[order] = np.repeat(size > 1, size)
     at = 0
     for r in rows:
-        places = np.frombuffer(r[4], "<u4")
+        places, counts = np.frombuffer(r[5], "<u4"), np.frombuffer(r[4], "<u4")
         mine = repeated[at : at + len(places)]
-        # one that repeats in another slice was sent once, and counts as two there; it repeats here too
-        yield from by_owner(np.frombuffer(r[2], np.int64), np.frombuffer(r[3], "<u4"), places, mine)
-        at += len(r[0]) // 8
+        if mine.any():
+            left = np.bincount(np.repeat(np.arange(len(counts)), counts)[mine], minlength=len(counts))
+            yield r[0], np.frombuffer(r[3], np.int64)[left > 0].tobytes(), left[left > 0].astype("<u4").tobytes(), places[mine].tobytes()
+        at += len(r[1]) // 8
 
 
-def by_owner(owners: np.ndarray, counts: np.ndarray, places: np.ndarray, mine: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    ends = np.cumsum(counts)
-    for owner, lo, hi in zip(owners.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
-        if mine[lo:hi].any():
-            yield owner, places[lo:hi][mine[lo:hi]].tobytes()
+def by_owner(rows: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, list[bytes]]:
+    """Owners of a slice's answers, and the places of each."""
+    counts = np.concatenate([np.frombuffer(r[1], "<u4") for r in rows])
+    owner = np.repeat(np.concatenate([np.frombuffer(r[0], np.int64) for r in rows]), counts)
+    places = np.concatenate([np.frombuffer(r[2], "<u4") for r in rows])
+    order = np.argsort(owner, kind="stable")
+    owners, first = np.unique(owner[order], return_index=True)
+    return owners, [p.tobytes() for p in np.split(places[order], first[1:])]
 
 
-def without(text: bytes | None, places: list[bytes] | None, k: int) -> tuple[int, int, bytes]:
+def without(text: bytes | None, places: bytes | None, k: int) -> tuple[int, int, bytes]:
     """Number of words, of words removed, and the kept words joined by a space."""
     words = text.split() if text else []
     if not places:
         return len(words), 0, b" ".join(words)
     change = np.zeros(len(words) + 1, np.int32)
-    at = np.unique(np.concatenate([np.frombuffer(p, "<u4") for p in places])).astype(np.int64)
+    at = np.unique(np.frombuffer(places, "<u4")).astype(np.int64)
     np.add.at(change, at, 1)
     np.add.at(change, at + k, -1)
     keep = np.cumsum(change[:-1]) == 0
@@ -140,44 +147,63 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     may_repeat = merged_sketch(docs.select("text"), first_hashes(window), expected)
     parts = max(shuffle_partitions(spark), expected // GROUP)
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    fields = ["part", "h1", "h2", "owners", "counts", "places"]
+    fields = ["part", "slice", "h1", "h2", "owners", "counts", "places"]
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, texts in hashing.slices(batch, 1, 12_000_000):
+            for at, to, texts in hashing.slices(batch, 1):
                 keys = batch.column(0).slice(at, to - at).to_numpy()
                 rows = list(asks(keys, texts, window, may_repeat.value, parts))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], fields)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), *[pa.binary()] * 5], strict=True)], fields)
 
     def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
 
-        def out(found: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-            rows = list(found)
+        def out(rows: list[tuple[int, bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["_owner", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), *[pa.binary()] * 3], strict=True)], ["slice", "owners", "counts", "places"])
 
         for batch in batches:
-            columns = [batch.column(0).to_pylist(), *[batch.column(i) for i in range(1, 6)]]
+            columns = [batch.column(0).to_pylist(), *[batch.column(i) for i in range(1, 7)]]
             for j, part in enumerate(columns[0]):
                 row = tuple(c[j].as_py() for c in columns[1:])
                 if part < 0:
-                    places = np.frombuffer(row[4], "<u4")
-                    yield from out(by_owner(np.frombuffer(row[2], np.int64), np.frombuffer(row[3], "<u4"), places, np.ones(len(places), bool)))
+                    yield from out([(row[0], *row[3:])])
                     continue
                 if part != current and held:
-                    yield from out(answers(held))
+                    yield from out(list(answers(held)))
                     held = []
                 current = part
                 held.append(row)
         if held:
-            yield from out(answers(held))
+            yield from out(list(answers(held)))
+
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+
+        def out() -> pa.RecordBatch:
+            owners, places = by_owner(held)
+            return pa.RecordBatch.from_arrays([pa.array(owners), pa.array(places, pa.binary())], ["_owner", "places"])
 
-    asked = keyed.select("_key", "text").mapInArrow(ask, "part int, h1 binary, h2 binary, owners binary, counts binary, places binary")
-    # what needs no answer goes along, spread by its owners
-    dealt = asked.repartition(int(parts), F.col("part"), F.when(F.col("part") < 0, F.xxhash64("owners"))).sortWithinPartitions("part")
-    found = dealt.mapInArrow(answer, "_owner long, places binary").groupBy("_owner").agg(F.collect_list("places").alias("places"))
+        for batch in batches:
+            columns = [batch.column(0).to_pylist(), *[batch.column(i) for i in range(1, 4)]]
+            for j, name in enumerate(columns[0]):
+                if name != current and held:
+                    yield out()
+                    held = []
+                current = name
+                held.append(tuple(c[j].as_py() for c in columns[1:]))
+        if held:
+            yield out()
+
+    asked = keyed.select("_key", "text").mapInArrow(ask, "part int, slice long, h1 binary, h2 binary, owners binary, counts binary, places binary")
+    # what needs no answer goes along, spread by its slice
+    dealt = asked.repartition(int(parts), F.col("part"), F.when(F.col("part") < 0, F.col("slice"))).sortWithinPartitions("part")
+    answered = dealt.mapInArrow(answer, "slice long, owners binary, counts binary, places binary")
+    found = answered.repartition(shuffle_partitions(spark), "slice").sortWithinPartitions("slice").mapInArrow(gather, "_owner long, places binary")
+    # rows that repeat doc_id and text have one key and equal places
+    found = found.groupBy("_owner").agg(F.max("places").alias("places"))
     joined = keyed.join(found, keyed["_key"] == found["_owner"], "left").select("doc_id", "text", "places")
 
     def drop(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from logweir.llm.storage import shuffle_partitions
 ROWS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 LEAST_BITS, MOST_BITS = 16, 28
 CHUNK_BITS = 22
-FLUSH = 4_000_000
+FLUSH = 1_500_000
 
 
 def width_bits(expected: int) -> int:

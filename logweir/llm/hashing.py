@@ -14,7 +14,7 @@ BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 class WordHashes:
     """xxh3 of words, with the words seen lately kept; two generations bound the memory."""
 
-    def __init__(self, limit: int = 200_000, longest: int = 48):
+    def __init__(self, limit: int = 120_000, longest: int = 48):
         self.limit, self.longest = limit, longest
         self.hot = self._generation({})
 
@@ -78,7 +78,7 @@ def window_starts(counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, n
     return first[owner] + place, owner, place
 
 
-def slices(batch, column: int, limit: int = 6_000_000):
+def slices(batch, column: int, limit: int = 4_000_000):
     """(from, to, texts as bytes or None) of a record batch, some megabytes of text at a time."""
     at, col = 0, batch.column(column)
     while at < batch.num_rows:

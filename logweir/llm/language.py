@@ -20,7 +20,6 @@ from logweir.llm.samples import class_sample
 TEXTS_PER_LANGUAGE = 400
 LONGEST_TEXT = 20_000
 CHARACTERS = 40_000
-LANGUAGES = 200
 STRETCH = 512
 
 
@@ -86,14 +85,17 @@ def suffix_automaton(codes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def parse_table(transitions: np.ndarray, ends: bool = True) -> np.ndarray:
-    """Where a parse goes from a state on a character, times two, plus one where a phrase ends before it.
+def parse_table(transitions: np.ndarray) -> np.ndarray:
+    """Where a parse goes from a state on a character, times two, plus one where a phrase begins with it.
 
-    A phrase ends where the automaton has no transition; the character then starts the next phrase, and
-    if it doesn't occur in the training text at all it is a phrase of its own.
+    A phrase ends where the automaton has no transition, and the character begins the next.  The last row
+    is the state before the first phrase, and after a character that doesn't occur in the training text,
+    which is a phrase of its own.
     """
-    start = np.where(transitions[0] >= 0, transitions[0], 0)
-    return np.where(transitions >= 0, 2 * transitions, 2 * start[None, :] + 1).astype(np.int32)
+    none = len(transitions)
+    start = np.where(transitions[0] >= 0, transitions[0], none)
+    inner = np.where(transitions >= 0, 2 * transitions, 2 * start[None, :] + 1)
+    return np.concatenate([inner, 2 * start[None, :] + 1]).astype(np.int32)
 
 
 class LanguageModel:
@@ -128,15 +130,16 @@ class LanguageModel:
             grid[: lengths[column], column] = stretches[k]
         alive = np.searchsorted(-lengths, -np.arange(STRETCH), side="left")  # stretches longer than step
         for k, table in enumerate(self.tables):
-            state, ended = np.zeros(len(stretches), np.int32), np.ones(len(stretches), np.int64)
+            state = np.full(len(stretches), len(table) // self.alphabet.size - 1, np.int32)
+            begun = np.zeros(len(stretches), np.int64)
             for step in range(STRETCH):
                 n = alive[step]
                 if not n:
                     break
                 to = table[state[:n] * self.alphabet.size + grid[step, :n]]
-                ended[:n] += to & 1
+                begun[:n] += to & 1
                 state[:n] = to >> 1
-            counts[k] = np.bincount(owner_, ended, len(texts)).astype(np.int64)
+            counts[k] = np.bincount(owner_, begun, len(texts)).astype(np.int64)
         return counts, letters
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -168,7 +171,7 @@ def identify_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """
     import pyarrow as pa
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LANGUAGES and CHARACTERS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # some megabytes a language, bounded by CHARACTERS
 
     def identify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "lang_pred", "score"]

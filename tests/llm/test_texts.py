@@ -230,7 +230,8 @@ def test_shard_blocks_and_filter():
 
 
 def test_mix(spark):
-    docs = awkward(spark).select("doc_id", "source", mixing.n_words(awkward(spark)["text"]).alias("size"))
+    table = awkward(spark)
+    docs = table.select("doc_id", "source", mixing.n_words(table["text"]).alias("size"))
     got = mixing.systematic_mix(docs).collect()
     assert len(got) == len(awkward_documents()) and all(0 <= r["copies"] <= 3 and r["taken"] == r["copies"] * r["size"] for r in got)
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.systematic_mix(docs.repartition(3)).collect()), key=repr)

@@ -195,3 +195,42 @@ def nodesets(logs: DataFrame, nodes: DataFrame, size: int, seed: str = "nodeset"
 def narrowest_replication(groups: DataFrame) -> DataFrame:
     """(scope, factor): the greatest replication that any group (name, replication: map scope -> factor) asks for in each scope."""
     return groups.select(F.explode("replication").alias("scope", "factor")).groupBy("scope").agg(F.max("factor").alias("factor"))
+
+
+def copyset_filter(records: DataFrame, required: list[int]) -> DataFrame:
+    """Copies that a reader asks for: those with any of the ``required`` nodes in their copyset; holes always, drained ones never."""
+    asked = F.arrays_overlap("copyset", F.array(*[F.lit(n).cast("long") for n in required]))
+    return records.filter((F.col("kind") == "HOLE") | (asked & ~F.coalesce(F.col("drained"), F.lit(False))))
+
+
+def cluster_state(replies: DataFrame) -> DataFrame:
+    """(node_id, status, dead_nodes) of nodes' views (node_id, reply, peer, peer_alive): ALIVE, SUSPECT or DEAD by the reply."""
+    status = F.when(F.col("reply") == "OK", "ALIVE").when(F.col("reply") == "TIMEOUT", "SUSPECT").otherwise("DEAD")
+    dead = F.sort_array(F.collect_set(F.when(~F.col("peer_alive"), F.col("peer"))))
+    return replies.groupBy("node_id").agg(F.first(status).alias("status"), F.array_join(F.transform(dead, lambda d: d.cast("string")), ",").alias("dead_nodes"))
+
+
+def shard_status(events: DataFrame) -> DataFrame:
+    """(shard, status, version) after the events (shard, version, kind) of rebuildings, in order of their versions.
+
+    A shard that needs rebuilding is UNDERREPLICATION; once rebuilt, AUTHORITATIVE_EMPTY; marked as lost,
+    UNAVAILABLE; acknowledged by its node, FULLY_AUTHORITATIVE again.  Rebuilt counts only after it was
+    asked for.
+    """
+    ordered = F.sort_array(F.collect_list(F.struct("version", "kind")))
+
+    def step(now: Column, e: Column) -> Column:
+        return (
+            F.when(e["kind"] == "NEEDS_REBUILD", "UNDERREPLICATION").when((e["kind"] == "REBUILT") & (now == "UNDERREPLICATION"), "AUTHORITATIVE_EMPTY")
+            .when(e["kind"] == "LOST", "UNAVAILABLE").when(e["kind"] == "ACK", "FULLY_AUTHORITATIVE").otherwise(now)
+        )
+
+    return events.groupBy("shard").agg(F.aggregate(ordered, F.lit("FULLY_AUTHORITATIVE"), step).alias("status"), F.max("version").alias("version"))
+
+
+def boycotts(reports: DataFrame, window_sec: int, most: int) -> DataFrame:
+    """(node, ts) of reports (node, ts) that lead to a boycott: at most ``most`` nodes within a window, the first reported first."""
+    slot = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / window_sec)
+    first = reports.groupBy(slot.alias("_slot"), "node").agg(F.min("ts").alias("ts"))
+    w = Window.partitionBy("_slot").orderBy("ts", "node")
+    return first.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).select("node", "ts")

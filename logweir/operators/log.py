@@ -211,3 +211,14 @@ def update_checkpoints(checkpoints: DataFrame, updates: DataFrame) -> DataFrame:
     """(customer, log_id, lsn) after updates; an update with a null lsn removes the checkpoint."""
     both = checkpoints.withColumn("_new", F.lit(0)).unionByName(updates.withColumn("_new", F.lit(1)))
     return both.groupBy("customer", "log_id").agg(F.max_by("lsn", "_new").alias("lsn")).filter(F.col("lsn").isNotNull())
+
+
+def groups_by_name(groups: DataFrame, namespace: str) -> DataFrame:
+    """Log groups (name, logid_lo, logid_hi) within a namespace, by the prefix of their path."""
+    return groups.filter(F.col("name").startswith(namespace))
+
+
+def bounded_sample(records: DataFrame, by: str, k: int, seed: int = 0) -> DataFrame:
+    """``k`` records of each group at most, drawn evenly by a hash, so reruns agree."""
+    w = Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), "log_id", "lsn"), "lsn")
+    return records.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")

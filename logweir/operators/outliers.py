@@ -67,3 +67,19 @@ def largest_beyond(samples: DataFrame, group: str, name: str, value: str, deviat
     spread = F.sqrt(F.greatest((F.col("_q") - v * v) / n - mean * mean, F.lit(0.0)))
     limit = mean + deviations * spread + margin * mean
     return sums.filter(n > 0).select(group, F.col("_top.k").alias(name), v.alias(value), limit.alias("limit")).filter(F.col(value) >= F.col("limit"))
+
+
+def append_outliers(samples: DataFrame, period_sec: int, sensitivity: float, grace: int) -> DataFrame:
+    """(node, since, periods, worst) of nodes whose appends fail too often for long enough.
+
+    ``samples`` has node, ts, successes and fails.  In each period a node fails if its share of failures is
+    above ``sensitivity``; it is an outlier once more than ``grace`` periods in a row failed.
+    """
+    from pyspark.sql import Window
+
+    period = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / period_sec)
+    ratios = samples.groupBy("node", period.alias("_p")).agg((F.sum("fails") / F.nullif(F.sum("fails") + F.sum("successes"), F.lit(0))).alias("_share"))
+    failing = ratios.filter(F.col("_share") > sensitivity)
+    run = F.col("_p") - F.row_number().over(Window.partitionBy("node").orderBy("_p"))
+    runs = failing.withColumn("_run", run).groupBy("node", "_run").agg(F.min("_p").alias("since"), F.count(F.lit(1)).alias("periods"), F.max("_share").alias("worst"))
+    return runs.filter(F.col("periods") > grace).drop("_run")

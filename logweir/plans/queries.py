@@ -508,6 +508,83 @@ def json_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.typed(tables.json_tables(answers)[0], {"shard": "INTEGER", "name": "TEXT", "is_failing": "BOOL"})
 
 
+@query(f"WITH {COPIES} SELECT log_id, lsn, node FROM copies WHERE kind = 'HOLE' OR (list_has_any(copyset, [1, 5]) AND NOT recovery)")
+def copyset_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.copyset_filter(copies(spark, sf_dir).withColumn("drained", F.col("recovery")), [1, 5]).select("log_id", "lsn", "node")
+
+
+@query(f"WITH {REPLICA}, e AS (SELECT unnest([2, 4, 16, 32, 64, 128, 256, 512, 2048]) AS b, unnest(['DIFFERENT_COPYSET_IN_LATEST_WAVE', 'COPYSET_WITHOUT_SELF', 'SMALL_COPYSET', 'NO_ACCURATE_COPYSET', 'DATA_MISMATCH', 'BAD_REPLICATION_LAST_WAVE', 'BAD_REPLICATION', 'HOLE_RECORD_CONFLICT', 'DUPLICATES_IN_COPYSET']) AS error) SELECT error, count(*) AS n FROM g JOIN e ON errors::BIGINT & b > 0 GROUP BY error")
+def replica_error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.error_counts(replica_check(spark, sf_dir)).select("error", "n")
+
+
+@query("""WITH r AS (SELECT c_nationkey AS node_id, c_custkey % 25 AS peer, c_acctbal > -500 AS alive FROM customer) SELECT node_id, CASE WHEN node_id % 5 = 0 THEN 'SUSPECT' WHEN node_id % 7 = 0 THEN 'DEAD' ELSE 'ALIVE' END AS status,
+coalesce(string_agg(DISTINCT CASE WHEN NOT alive THEN peer END::VARCHAR, ',' ORDER BY CASE WHEN NOT alive THEN peer END::VARCHAR), '') AS dead_nodes FROM r GROUP BY node_id""")
+def cluster_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("c_nationkey")
+    replies = read(spark, sf_dir, "customer").select(n.alias("node_id"), F.when(n % 5 == 0, "TIMEOUT").when(n % 7 == 0, "DOWN").otherwise("OK").alias("reply"), (F.col("c_custkey") % 25).cast("string").alias("peer"), (F.col("c_acctbal") > -500).alias("peer_alive"))
+    return integrity.cluster_state(replies)
+
+
+@query(None)
+def shard_status_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("NEEDS_REBUILD", "REBUILT", "LOST", "ACK", "OTHER")]), (F.col("event_id") * 7 % 5 + 1).cast("int"))
+    return integrity.shard_status(read(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("shard"), F.col("event_id").alias("version"), kind.alias("kind")))
+
+
+@query("""WITH f AS (SELECT epoch_ms(ts) // 1000 // 86400 AS slot, user_id AS node, min(ts) AS ts FROM events WHERE event_type = 'error' GROUP BY ALL)
+SELECT node, ts FROM (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY ts, node) AS r FROM f) WHERE r <= 3""")
+def boycott_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports = read(spark, sf_dir, "events").filter("event_type = 'error'").select(F.col("user_id").alias("node"), "ts")
+    return integrity.boycotts(reports, 86400, 3)
+
+
+@query("""WITH p AS (SELECT user_id AS node, epoch_ms(ts) // 1000 // 86400 AS p, sum((event_type = 'error')::INTEGER)::DOUBLE / count(*) AS share FROM events GROUP BY ALL), f AS (SELECT *, p - row_number() OVER (PARTITION BY node ORDER BY p) AS run FROM p WHERE share > 0.2)
+SELECT node, min(p)::BIGINT AS since, count(*) AS periods, round(max(share), 9) AS worst FROM f GROUP BY node, run HAVING count(*) > 1""")
+def append_outlier_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = (F.col("event_type") == "error").cast("long")
+    samples = read(spark, sf_dir, "events").select(F.col("user_id").alias("node"), "ts", (1 - failed).alias("successes"), failed.alias("fails"))
+    return outliers.append_outliers(samples, 86400, 0.2, 1).withColumn("worst", F.round("worst", 9))
+
+
+@query(f"WITH {REC}, a AS (SELECT filter_key AS name, count(*) AS v FROM rec GROUP BY ALL), b AS (SELECT filter_key AS name, count(*) AS v FROM rec WHERE lsn <= 500 GROUP BY ALL) SELECT a.name, a.v - coalesce(b.v, 0) AS value FROM a LEFT JOIN b USING (name)")
+def counter_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec = records(spark, sf_dir)
+    count = lambda r: r.groupBy(F.col("filter_key").alias("name")).agg(F.count(F.lit(1)).alias("value"))
+    return stats.counter_difference(count(rec), count(rec.filter("lsn <= 500")))
+
+
+@query(f"WITH {COMPACT}, o AS (SELECT bucket, n FROM h WHERE p = '1-URGENT'), a AS (SELECT bucket, sum(n)::BIGINT AS n FROM h GROUP BY bucket) SELECT 'all' AS k, a.bucket, greatest(a.n - coalesce(o.n, 0), 0) AS n FROM a LEFT JOIN o USING (bucket)")
+def hist_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = order_histogram(spark, sf_dir)
+    all_ = h.groupBy(F.lit("all").alias("k"), "bucket").agg(F.sum("n").alias("n"))
+    return stats.histogram_subtracted(all_, h.filter("p = '1-URGENT'").select(F.lit("all").alias("k"), "bucket", "n"), ["k"])
+
+
+@query("WITH v AS (SELECT (c_custkey * c_custkey * 37)::BIGINT AS v FROM customer), u AS (SELECT v, CASE WHEN v >= 1099511627776 THEN 1099511627776 WHEN v >= 1073741824 THEN 1073741824 WHEN v >= 1048576 THEN 1048576 WHEN v >= 1024 THEN 1024 ELSE 1 END AS u FROM v), w AS (SELECT v, u, CASE WHEN v // u < 10 THEN u WHEN v // u < 100 THEN u * 10 WHEN v // u < 900 THEN u * 100 ELSE u * 124 END AS w FROM u WHERE v > 0) SELECT CASE WHEN v // u < 900 THEN v // w * w ELSE u * 900 END::BIGINT AS low, (CASE WHEN v // u < 900 THEN v // w * w ELSE u * 900 END + w)::BIGINT AS high, count(*) AS n FROM w GROUP BY ALL")
+def hist_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = (F.col("c_custkey") * F.col("c_custkey") * 37).cast("long")
+    low, high = stats.size_bounds(F.col("v"))
+    return read(spark, sf_dir, "customer").select(v.alias("v")).filter("v > 0").groupBy(low.alias("low"), high.alias("high")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT scope, max(factor)::INTEGER AS factor FROM (SELECT 'NODE' AS scope, 1 + p_size % 4 AS factor FROM part UNION ALL SELECT 'RACK', 1 + p_size % 3 FROM part WHERE p_partkey % 2 = 0) GROUP BY scope")
+def narrowest_replication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    node, rack = (F.col("p_size") % 4 + 1).cast("int"), (F.col("p_size") % 3 + 1).cast("int")
+    both = F.when(F.col("p_partkey") % 2 == 0, F.create_map(F.lit("NODE"), node, F.lit("RACK"), rack)).otherwise(F.create_map(F.lit("NODE"), node))
+    return integrity.narrowest_replication(read(spark, sf_dir, "part").select(both.alias("replication")))
+
+
+@query(None)
+def record_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.bounded_sample(records(spark, sf_dir), "filter_key", 20)
+
+
+@query(f"WITH {GROUPS} SELECT name, logid_lo, logid_hi FROM groups WHERE starts_with(name, 'NATION_1')")
+def groups_in_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.groups_by_name(groups(spark, sf_dir), "NATION_1")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -6,6 +6,8 @@ executors).  Only where that setting is absent, as in tests in local mode, a fol
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="logweir-")
+        own = tempfile.mkdtemp(prefix="logweir-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _OWN[app] = "file://" + own
     return _OWN[app]
 
 

@@ -188,7 +188,8 @@ def copies(images: DataFrame, matches: int = MATCHES) -> DataFrame:
     the component is the least image_id that links reach.  Equal pictures are one class.  n_links counts
     linked classes that were compared.  A null image, one that can't be read, or one without corners has
     none and is linked with its equals alone (a null with nothing).  Pictures of any size are taken whole;
-    repeated rows are in one class; null ids don't count as least.  An empty table gives no rows.
+    repeated rows are in one class; null ids don't count as least.  An empty table gives no rows; other
+    columns are not read.
 
     In a table's bucket each picture is paired with three of the bucket (the least, the greatest, and the
     least by hash), so pairs are linear in the members; then, with what is linked as one, again with

@@ -167,7 +167,7 @@ def identify_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     The score is how much fewer phrases the language needs than the runner-up, as a share (0 to 1).  A
     null text, or one without a letter, is ``und`` with score 0.  Of languages that need equally many the
     first by code point wins.  Texts of any length are parsed to the end.  Repeated rows give repeated
-    results; other columns are not read.
+    results, an empty table none; other columns are not read.
     """
     import pyarrow as pa
 

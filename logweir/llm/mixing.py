@@ -63,7 +63,8 @@ def systematic_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: in
 
     Rows with a null source form a source of their own, the last.  Documents without words have size
     0; they may be emitted but take no words.  A source without any words gets target 0 and is not emitted.
-    Repeated rows are documents of their own.  An empty table gives an empty mix.
+    Repeated rows are documents of their own.  An empty table gives an empty mix.  Other
+    columns are not read.
     """
     docs = materialize(docs.select("doc_id", "source", "size"), "mix-sizes")
     targets = source_targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)

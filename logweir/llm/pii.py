@@ -271,7 +271,8 @@ def pseudonymize(docs: DataFrame, key: str, column: str = "text", kinds: str | N
     The columns are those of ``docs`` and, unless ``kinds`` is None, one of that name with an array of the
     kinds replaced in order of their places, in place of any such column.  Values that break their format's rule, such as a number whose check digit is wrong, stay.
     Null texts stay null, with no kinds; texts of any length are searched to the end.  Rows are
-    treated each for itself, so repeated rows, ties and other columns don't matter.
+    treated each for itself, so repeated rows, ties and other columns don't matter, and an empty table
+    stays empty.
     """
     text = F.col(column)
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))

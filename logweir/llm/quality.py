@@ -111,7 +111,8 @@ def train_quality(rows: DataFrame, label: str = "quality", per_class: int = TEXT
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     """doc_id, score of every whole text of ``docs`` (doc_id, text): the probability of label 1.
 
-    A null text is scored as an empty one.  Equal texts get equal scores, whatever their other columns.
+    A null text is scored as an empty one.  Equal texts and repeated rows get equal scores, whatever their
+    other columns; texts of any length are compressed whole, stretch by stretch.  An empty table gives no rows.
     """
     import pyarrow as pa
 

@@ -67,9 +67,10 @@ def replica_errors(copies: DataFrame, replication: int) -> DataFrame:
     any_ = lambda c: F.max(c.cast("int")) > 0
     kind = lambda k: any_(F.col("kind") == k)
     hole, bridge = kind("HOLE") & kind("RECORD"), kind("BRIDGE") & kind("RECORD")
-    mismatch = F.count_distinct(F.when(F.col("kind") == "RECORD", F.col("payload_hash"))) > 1
+    several = lambda c: F.coalesce(F.min(c) < F.max(c), F.lit(False))  # noqa: E731  without the expansion that distinct counts need
+    mismatch = several(F.when(F.col("kind") == "RECORD", F.col("payload_hash")))
     errors = (
-        bit(F.count_distinct(F.when(F.col("_last"), F.array_sort("copyset"))) > 1, "DIFFERENT_COPYSET_IN_LATEST_WAVE")
+        bit(several(F.when(F.col("_last"), F.array_sort("copyset"))), "DIFFERENT_COPYSET_IN_LATEST_WAVE")
         + bit(any_(~F.array_contains("copyset", F.col("node"))), "COPYSET_WITHOUT_SELF")
         + bit(any_(F.size("copyset") < replication), "SMALL_COPYSET")
         + bit(any_(F.size("copyset") > F.size(F.array_distinct("copyset"))), "DUPLICATES_IN_COPYSET")
@@ -77,8 +78,8 @@ def replica_errors(copies: DataFrame, replication: int) -> DataFrame:
         + bit(hole, "HOLE_RECORD_CONFLICT")
         + bit(bridge, "BRIDGE_RECORD_CONFLICT")
         + bit(~hole & ~bridge & mismatch, "DATA_MISMATCH")
-        + bit(F.count_distinct(F.when(F.col("_last"), F.col("domain"))) < 2, "BAD_REPLICATION_LAST_WAVE")
-        + bit(F.count_distinct("domain") < 2, "BAD_REPLICATION")
+        + bit(~several(F.when(F.col("_last"), F.col("domain"))), "BAD_REPLICATION_LAST_WAVE")
+        + bit(~several(F.col("domain")), "BAD_REPLICATION")
     )
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n_copies"), errors.cast("long").alias("errors")).filter("errors > 0")
 

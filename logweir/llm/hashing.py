@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: Odd bases of the rolling hashes.
@@ -78,8 +82,37 @@ def window_starts(counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, n
     return first[owner] + place, owner, place
 
 
+def steady_memory() -> None:
+    """Let freed arrays go back to the system at once, so that one stage's peak doesn't stay with a worker that serves the next.
+
+    The C library otherwise raises the size from which it maps memory, and keeps what lies below; Arrow
+    has pools of its own.  Without such a library nothing changes.
+    """
+    global _STEADY
+    forget("tokens", "_KEPT")
+    if _STEADY:
+        return
+    _STEADY = True
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(AttributeError, OSError):
+        tune = ctypes.CDLL(None).mallopt
+        tune(-3, 1 << 17)  # M_MMAP_THRESHOLD
+        tune(-1, 1 << 20)  # M_TRIM_THRESHOLD
+
+
+_STEADY = False
+
+
+def forget(module: str, cache: str) -> None:
+    """Empty a cache that another operator's stage has left in this worker."""
+    other = sys.modules.get(f"logweir.llm.{module}")
+    if other is not None:
+        getattr(other, cache).clear()
+
+
 def slices(batch, column: int, limit: int = 4_000_000):
     """(from, to, texts as bytes or None) of a record batch, some megabytes of text at a time."""
+    steady_memory()
     at, col = 0, batch.column(column)
     while at < batch.num_rows:
         texts, size, to = [], 0, at

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from logweir.llm import hashing
 from logweir.llm.components import connected_components
 from logweir.llm.countmin import merged_sketch
-from logweir.llm.storage import materialize, shuffle_partitions
+from logweir.llm.storage import lean_batches, materialize, shuffle_partitions
 
 WORDS = 4
 #: The threshold as a fraction: linked if UNDER * intersection >= OVER * union.
@@ -64,6 +64,7 @@ def set_hashes(k: int):
 
 
 def stored_hashes(batches: Iterable) -> Iterator[np.ndarray]:
+    hashing.steady_memory()
     for batch in batches:
         for data in batch.column(0):
             yield (np.frombuffer(data.as_py(), np.uint64) & ~RARE) << np.uint64(1)
@@ -188,6 +189,8 @@ def link_sets(tree: PrefixTree, names: list[int], probes: list[tuple[int, list[i
 
 def join_block(base: list[tuple[bytes, bytes]], probes: list[tuple[bytes, bytes]] | None, over: int, under: int) -> Iterator[tuple[bytes, bytes]]:
     """(digest, digest) edges that span the components of a block; with ``probes``, of links across alone."""
+    hashing.steady_memory()
+    hashing.forget("hashing", "_SEEN")
     found = dict(base) if probes is None else dict(base) | dict(probes)
     digests = sorted(found)
     at = {d: i for i, d in enumerate(digests)}
@@ -221,6 +224,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, over: int = OVER, un
     import pyarrow as pa
 
     spark = docs.sparkSession
+    lean_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", "text").alias("key"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     may_repeat = merged_sketch(docs.select("text"), set_hashes(words), size // 6)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from logweir.llm import tokens
 from logweir.llm.ranking import rank_within
-from logweir.llm.storage import materialize
+from logweir.llm.storage import lean_batches, materialize
 
 #: A stretch of the plan: pieces of ``length`` with rank lo <= rank < hi; every ``per`` of them share a sequence.
 Stretch = tuple[int, int, int, int, int, int]  # length, lo, hi, first sequence, offset, per
@@ -257,6 +257,7 @@ def pack(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None, en
     import pyarrow as pa
 
     spark = docs.sparkSession
+    lean_batches(spark)
     pieces = materialize(pieces_of(docs, capacity, tokenizer, end_id, with_ids, split_words), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= capacity rows
     stretches, _ = plan_packing(histogram, capacity, groups)

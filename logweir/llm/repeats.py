@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from logweir.llm import hashing
 from logweir.llm.countmin import merged_sketch
-from logweir.llm.storage import shuffle_partitions
+from logweir.llm.storage import lean_batches, shuffle_partitions
 
 WINDOW = 35
 #: Windows in a group that is settled in memory at once, about.
@@ -141,6 +141,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     import pyarrow as pa
 
     spark = docs.sparkSession
+    lean_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     expected = size // 6

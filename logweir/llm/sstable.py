@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweir.llm import tokens
-from logweir.llm.storage import fresh_path, materialize, shuffle_partitions
+from logweir.llm.storage import fresh_path, lean_batches, materialize, shuffle_partitions
 
 MAGIC = b"LWSST01\n"
 FOOTER = struct.Struct("<QQQQQQ8s")  # index at, length; filter at, length; entries; ids; magic
@@ -185,6 +185,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     import pyarrow as pa
 
     spark = docs.sparkSession
+    lean_batches(spark)
     tokenizer = tokenizer or tokens.default_path()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0

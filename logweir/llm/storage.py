@@ -56,3 +56,13 @@ def release(df: DataFrame) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def lean_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Texts go to Python some megabytes at a time, unless the session sets a size of its own.
+
+    Batches are in memory on both sides at once; the default of 64 MB is much for texts and n-gram sets.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864", "67108864b", "64m", "64MB"):
+        spark.conf.set(key, size)

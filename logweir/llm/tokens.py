@@ -13,6 +13,8 @@ import os
 import re
 import sys
 
+from logweir.llm.hashing import forget
+
 #: Letters that stand alone under NFC, then ASCII punctuation: two pieces at most.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
@@ -91,6 +93,7 @@ _KEPT: dict[tuple, WordIds] = {}
 
 def word_ids(path: str, split_words: bool = True) -> WordIds:
     """One encoder per Python worker, which serves many tasks."""
+    forget("hashing", "_SEEN")
     if (path, split_words) not in _KEPT:
         _KEPT[path, split_words] = WordIds(path, split_words=split_words)
     return _KEPT[path, split_words]

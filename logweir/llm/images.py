@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweir.llm.components import connected_components
-from logweir.llm.storage import materialize
+from logweir.llm.storage import materialize, shuffle_partitions
 
 SCALES = (1.0, 1.5, 2.0)
 CORNERS = (14, 10, 6)
@@ -25,6 +25,11 @@ TURNS = 32
 #: Differing bits of a match, pixels by which it may miss the common placement, and matches that make a copy.
 NEAR, MISS, MATCHES = 20, 3.5, 7
 SEED = 8
+#: A code of more pictures than this is common; pictures with a common code are compared chunk by chunk, of
+#: about so many bytes of corners, and in so many chunks at least.
+BUCKET, CHUNK_BYTES, CHUNKS = 256, 16_000_000, 8
+#: Distances that are held at once.
+CELLS = 1 << 18
 
 
 def pattern() -> np.ndarray:
@@ -157,28 +162,185 @@ def unpack_features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(rows[:, :16]).view("<f4").astype(np.float64), rows[:, 16:]
 
 
-def agreeing(a: bytes, b: bytes) -> int:
-    """The most matches between two pictures' corners that one placement explains.
+Corners = tuple[np.ndarray, np.ndarray]
+
+
+def words(bits: np.ndarray) -> np.ndarray:
+    """Descriptors as rows of 64-bit words."""
+    return np.ascontiguousarray(bits).view(np.uint64)
+
+
+def band_codes(bits: np.ndarray) -> np.ndarray:
+    """[corner, band]: each descriptor's bands as codes of their tables."""
+    weights = 1 << np.arange(BAND, dtype=np.int64)
+    return np.unpackbits(bits, axis=1)[:, : BAND * BANDS].reshape(-1, BANDS, BAND) @ weights + (np.arange(BANDS, dtype=np.int64) << BAND)
+
+
+def nearest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of the descriptors ``y``, the first nearest one of ``x`` within NEAR, and the bits in which the nearest differs."""
+    least, first = np.full(len(y), 255, np.uint8), np.zeros(len(y), np.int64)
+    step = max(1, CELLS // max(1, len(y)))
+    for at in range(0, len(x), step):
+        apart = np.bitwise_count(x[at : at + step, None, 0] ^ y[:, 0])
+        for k in range(1, x.shape[1]):
+            apart += np.bitwise_count(x[at : at + step, None, k] ^ y[:, k])
+        here = apart.min(0)
+        less = np.flatnonzero((here < least) & (here <= NEAR))
+        first[less] = apart[:, less].argmin(0) + at
+        least = np.minimum(least, here)
+    return first, least
+
+
+def mutual(x: np.ndarray, y: np.ndarray, j: np.ndarray, i: np.ndarray, least: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the corners ``j`` of ``y`` that are in turn the nearest, within their picture, of the corner ``i`` of ``x``.
+
+    ``j`` holds all corners within NEAR of one of ``x``, picture by picture, so what is nearer is among them.
+    """
+    if not len(j):
+        return j, i, owner
+    begin = np.flatnonzero(np.diff(owner, prepend=-1))
+    group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(j))))
+    good = np.zeros(len(j), bool)
+    step = max(1, CELLS // len(j))
+    for at in range(0, len(x), step):
+        apart = np.bitwise_count(x[at : at + step, None, 0] ^ y[j, 0])
+        for k in range(1, x.shape[1]):
+            apart += np.bitwise_count(x[at : at + step, None, k] ^ y[j, k])
+        best = np.minimum.reduceat(apart, begin, axis=1)
+        mine = np.flatnonzero((i >= at) & (i < at + step))
+        good[mine] = best[i[mine] - at, group[mine]] == least[mine]
+    good = np.flatnonzero(good)
+    first = good[np.sort(np.unique(group[good] * len(x) + i[good], return_index=True)[1])]
+    return j[first], i[first], owner[first]
+
+
+def one_placement(p: np.ndarray, q: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Of each picture, the most matches that one placement explains: [picture, match] corners ``p`` with ``q``.
 
     Every match proposes a placement: its change of scale, its turn, and the shift that lays its corner on
-    the other; all matches are tried under each.
+    the other; all matches are tried under each.  ``there`` tells which matches exist.
     """
-    (p, x), (q, y) = unpack_features(a), unpack_features(b)
-    if not len(p) or not len(q):
-        return 0
-    apart = np.bitwise_count(x[:, None] ^ y[None]).sum(2)
-    best = apart.argmin(1)
-    i = np.flatnonzero((apart[np.arange(len(p)), best] <= NEAR) & (apart.argmin(0)[best] == np.arange(len(p))))
-    j = best[i]
-    if len(i) < MATCHES:
-        return len(i)
-    s, t = q[j, 2] / p[i, 2], q[j, 3] - p[i, 3]
+    p, q = p.astype(np.float32), q.astype(np.float32)
+    s, t = q[..., 2] / p[..., 2], q[..., 3] - p[..., 3]
     c, d = s * np.cos(t), s * np.sin(t)
-    turn = np.stack([np.stack([c, d], 1), np.stack([-d, c], 1)], 1)
-    moved = np.einsum("hab,mb->hma", turn, p[i, :2])
-    shift = q[j, :2] - moved[np.arange(len(i)), np.arange(len(i))]
-    miss = np.abs(moved + shift[:, None] - q[j, :2][None]).max(2)
-    return int((miss <= MISS * np.maximum(1, s)[:, None]).sum(1).max())
+    most, step = np.zeros(len(p), np.int64), max(1, CELLS // max(1, there.size))
+    for at in range(0, there.shape[1], step):
+        h = slice(at, at + step)
+        dy, dx = p[:, None, :, 0] - p[:, h, 0, None], p[:, None, :, 1] - p[:, h, 1, None]
+        bound = (MISS * np.maximum(1, s[:, h]))[..., None]
+        near = np.abs(c[:, h, None] * dy + d[:, h, None] * dx + q[:, h, 0, None] - q[:, None, :, 0]) <= bound
+        near &= np.abs(c[:, h, None] * dx - d[:, h, None] * dy + q[:, h, 1, None] - q[:, None, :, 1]) <= bound
+        near &= there[:, None, :] & there[:, h, None]
+        most = np.maximum(most, near.sum(2).max(1))
+    return most
+
+
+def linked(a: Corners, numbers: np.ndarray, bits: np.ndarray, starts: np.ndarray, matches: int) -> np.ndarray:
+    """Which pictures have ``matches`` corners or more that agree with those of ``a`` on one placement.
+
+    The pictures' corners follow each other; ``starts`` has where each begins, and the end of the last.
+    Corners match if each is the other's nearest in the two pictures, the first of equally near ones.
+    """
+    p, x = a
+    out = np.zeros(len(starts) - 1, bool)
+    if not len(p):
+        return out
+    lo = 0
+    while lo < len(out):
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + CELLS // len(p), side="right")) - 1)
+        base, cuts = starts[lo], starts[lo : hi + 1] - starts[lo]
+        y = bits[base : starts[hi]]
+        i, least = nearest(x, y)
+        owner = np.repeat(np.arange(hi - lo), np.diff(cuts))
+        j = np.flatnonzero(least <= NEAR)
+        chosen = np.zeros((hi - lo, len(p)), bool)
+        chosen[owner[j], i[j]] = True
+        j = j[chosen.sum(1)[owner[j]] >= matches]
+        j, i, owner = mutual(x, y, j, i[j], least[j], owner[j])
+        counts = np.bincount(owner, minlength=hi - lo)
+        full = np.flatnonzero(counts >= matches)
+        if len(full):
+            keep = counts[owner] >= matches
+            j, i, owner = j[keep], i[keep], owner[keep]
+            sizes = counts[full]
+            begin = np.cumsum(sizes) - sizes
+            order = np.argsort(sizes, kind="stable")
+            for at in np.array_split(order, max(1, len(order) * int(sizes.max()) ** 2 // (4 * CELLS))):
+                if not len(at):
+                    continue
+                there = np.arange(int(sizes[at].max())) < sizes[at][:, None]
+                m = np.where(there, begin[at][:, None] + np.arange(there.shape[1]), begin[at][:, None])
+                out[lo + full[at]] = one_placement(p[i[m]], numbers[j[m] + base], there) >= matches
+        lo = hi
+    return out
+
+
+def agreeing(a: bytes, b: bytes, matches: int = MATCHES) -> bool:
+    """Whether two pictures' corners, as packed, are linked."""
+    (p, x), (q, y) = unpack_features(a), unpack_features(b)
+    return bool(linked((p, words(x)), q, words(y), np.array([0, len(q)]), matches)[0])
+
+
+class Chunk:
+    """Corners of many pictures one after the other, and pictures by code."""
+
+    def __init__(self, table):
+        self.node = table.column("node").to_numpy()
+        parts = [unpack_features(f.as_py()) for f in table.column("features")]
+        self.starts = np.concatenate([[0], np.cumsum([len(p) for p, _ in parts])]).astype(np.int64)
+        bits = np.concatenate([b for _, b in parts])
+        self.numbers, self.bits = np.concatenate([p for p, _ in parts]), words(bits)
+        owner = np.repeat(np.arange(len(parts)), np.diff(self.starts))
+        entries = np.unique(np.stack([band_codes(bits).ravel(), np.repeat(owner, BANDS)], 1), axis=0)
+        self.codes, first = np.unique(entries[:, 0], return_index=True)
+        self.members = np.split(entries[:, 1], first[1:])
+
+    def corners(self, i: int) -> Corners:
+        return self.numbers[self.starts[i] : self.starts[i + 1]], self.bits[self.starts[i] : self.starts[i + 1]]
+
+
+def compared(left: Chunk, right: Chunk | None, matches: int) -> list[tuple[int, int | None, int]]:
+    """All pairs that share a code, each compared once: (node, None, links) and edges (node, other, 0) that span them."""
+    same = right is None
+    right = left if same else right
+    n = len(right.node)
+    met = np.zeros((len(left.node), -(-n // 8)), np.uint8)
+    _, at_l, at_r = np.intersect1d(left.codes, right.codes, assume_unique=True, return_indices=True)
+    for i, j in zip(at_l.tolist(), at_r.tolist(), strict=True):
+        if not same or len(left.members[i]) > 1:
+            row = np.zeros(n, bool)
+            row[right.members[j]] = True
+            met[left.members[i]] |= np.packbits(row)
+    links_l, links_r = np.zeros(len(left.node), np.int64), np.zeros(n, np.int64)
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while up.get(x, x) != x:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    for i in range(len(left.node)):
+        j = np.flatnonzero(np.unpackbits(met[i], count=n))
+        j = j[j > i] if same else j
+        if not len(j):
+            continue
+        counts = right.starts[j + 1] - right.starts[j]
+        starts = np.concatenate([[0], np.cumsum(counts)])
+        take = np.repeat(right.starts[j] - starts[:-1], counts) + np.arange(starts[-1])
+        found = j[linked(left.corners(i), right.numbers[take], right.bits[take], starts, matches)]
+        links_l[i] += len(found)
+        links_r[found] += 1
+        for k in found.tolist():
+            a, b = find(int(left.node[i])), find(int(right.node[k]))
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    if same:
+        links_l = links_l + links_r
+    rows: list[tuple[int, int | None, int]] = [(int(left.node[k]), None, int(links_l[k])) for k in np.flatnonzero(links_l)]
+    if not same:
+        rows += [(int(right.node[k]), None, int(links_r[k])) for k in np.flatnonzero(links_r)]
+    return rows + [(x, find(x), 0) for x in list(up)]
 
 
 def copies(images: DataFrame, matches: int = MATCHES) -> DataFrame:
@@ -191,9 +353,10 @@ def copies(images: DataFrame, matches: int = MATCHES) -> DataFrame:
     repeated rows are in one class; null ids don't count as least.  An empty table gives no rows; other
     columns are not read.
 
-    In a table's bucket each picture is paired with three of the bucket (the least, the greatest, and the
-    least by hash), so pairs are linear in the members; then, with what is linked as one, again with
-    those of other components.  Copies share many buckets, and their components come out whole nearly always.
+    All pairs that share a code are compared, each once.  Pairs of pictures that both have a common code
+    (see BUCKET) are compared chunk by chunk, where links are counted and never listed; of other pairs, at
+    least one picture has only codes that few others have, and these pairs are listed.  A copy of which no
+    corner keeps a whole band of bits is missed.
     """
     import pyarrow as pa
 
@@ -204,7 +367,6 @@ def copies(images: DataFrame, matches: int = MATCHES) -> DataFrame:
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["node", "digest", "least", "n_corners", "features", "codes"]
-        weights = 1 << np.arange(BAND, dtype=np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
@@ -221,9 +383,7 @@ def copies(images: DataFrame, matches: int = MATCHES) -> DataFrame:
                     if f is None:
                         rows.append((0, b"", []))
                         continue
-                    bits = np.unpackbits(f["bits"], axis=1)[:, : BAND * BANDS].reshape(-1, BANDS, BAND) @ weights
-                    codes = bits + (np.arange(BANDS, dtype=np.int64) << BAND)
-                    rows.append((len(f["bits"]), pack_features(f), np.unique(codes).tolist()))
+                    rows.append((len(f["bits"]), pack_features(f), np.unique(band_codes(f["bits"])).tolist()))
                 arrays = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.list_(pa.int64())))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *arrays], names)
 
@@ -231,35 +391,65 @@ def copies(images: DataFrame, matches: int = MATCHES) -> DataFrame:
     described = materialize(described, "image-features")
     entries = described.select("node", F.explode("codes").alias("code"))
     own = described.select("node", "features")
+    sizes = entries.groupBy("code").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").withColumn("_common", F.col("_n") > BUCKET)
+    sized = materialize(entries.join(sizes.select("code", "_common"), "code"), "image-codes")
+    common = materialize(sized.filter("_common").select("node").distinct(), "image-common")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(own.select(F.col("node").alias("a"), F.col("features").alias("fa")), "a").join(own.select(F.col("node").alias("b"), F.col("features").alias("fb")), "b")
-
-        def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = [agreeing(x.as_py(), y.as_py()) >= matches for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], ["a", "b", "same"])
-
-        return materialize(both.select("a", "b", "fa", "fb").mapInArrow(check, "a long, b long, same boolean"), "image-pairs")
-
-    def candidates(entries: DataFrame, group: str) -> DataFrame:
-        """Pairs of nodes of different groups that share codes twice or more, from three stars in each bucket."""
-        stars = entries.groupBy("code").agg(
-            F.min(group).alias("_low"), F.max(group).alias("_high"),
-            F.array(F.min(F.struct(group, "node"))["node"], F.max(F.struct(group, "node"))["node"], F.min(F.struct(F.xxhash64("node", F.lit(SEED)), F.col("node").alias("node")))["node"]).alias("_centres"),
-        ).filter(F.col("_low") != F.col("_high"))
-        met = entries.join(stars.select("code", "_centres"), "code").select("node", group, "code", F.explode("_centres").alias("_c"))
-        pairs = met.filter(F.col("node") != F.col("_c")).select(F.greatest("node", "_c").alias("a"), F.least("node", "_c").alias("b"), "code").distinct()
-        return pairs.groupBy("a", "b").count().filter("count > 1").select("a", "b")
-
-    first = verified(candidates(entries.withColumn("_group", F.col("node")), "_group"))
-    tied = connected_components(first.filter("same").select("a", "b"), "image-components")
-    grouped = entries.join(tied, "node", "left").select("node", "code", F.coalesce("component", "node").alias("_group"))
-    again = candidates(grouped, "_group").join(first.select("a", "b"), ["a", "b"], "left_anti")
-    pairs = materialize(first.unionByName(verified(again)).filter("same").select("a", "b"), "image-links")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    degrees = ends.groupBy("node").agg(F.count(F.lit(1)).alias("_links"))
-    members = connected_components(pairs, "image-components").join(described.select("node", "least"), "node")
+    # Pairs of which not both have a common code.
+    rare = sized.filter(~F.col("_common")).join(common.withColumn("_in", F.lit(True)), "node", "left").select("code", "node", F.coalesce("_in", F.lit(False)).alias("_in"))
+    one, two = rare.select("code", F.col("node").alias("a"), F.col("_in").alias("_ia")), rare.select("code", F.col("node").alias("b"), F.col("_in").alias("_ib"))
+    pairs = one.join(two, "code").filter((F.col("a") > F.col("b")) & ~(F.col("_ia") & F.col("_ib"))).select("a", "b").distinct()
+    both = pairs.join(own.select(F.col("node").alias("a"), F.col("features").alias("fa")), "a").join(own.select(F.col("node").alias("b"), F.col("features").alias("fb")), "b")
+
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [agreeing(x.as_py(), y.as_py(), matches) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    listed = materialize(both.select("a", "b", "fa", "fb").mapInArrow(check, "a long, b long"), "image-pairs")
+
+    # Pairs that both have one, by pairs of chunks.
+    chunked = common.join(own, "node")
+    total = chunked.agg(F.sum(F.length("features"))).first()[0] or 0
+    chunks = max(CHUNKS, -(-total // CHUNK_BYTES))
+    c = F.pmod(F.xxhash64("node"), F.lit(chunks)).cast("int")
+    where = F.transform(F.sequence(F.lit(0), F.lit(chunks - 1)), lambda o: F.struct(F.least(c, o).alias("lo"), F.greatest(c, o).alias("hi"), (c <= o).alias("base")))
+    dealt = chunked.withColumn("_p", F.explode(where)).select("_p.*", "node", "features")
+    dealt = dealt.repartition(max(shuffle_partitions(images.sparkSession), chunks * (chunks + 1) // 2), "lo", "hi").sortWithinPartitions("lo", "hi")
+
+    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            base = t.column("base").to_numpy()
+            left = t.filter(pa.array(base))
+            right = None if current[0] == current[1] else t.filter(pa.array(~base))
+            if left.num_rows and (right is None or right.num_rows):
+                rows = compared(Chunk(left), Chunk(right) if right is not None else None, matches)
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["a", "b", "weight"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy() for k in range(2)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                k = tuple(keys[lo].tolist())
+                if k != current:
+                    if held:
+                        yield from done()
+                    current, held = k, []
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from done()
+
+    counted = materialize(dealt.select("lo", "hi", "base", "node", "features").mapInArrow(join, "a long, b long, weight long"), "image-links")
+    ends = listed.select(F.col("a").alias("node"), F.lit(1).alias("weight")).unionByName(listed.select(F.col("b").alias("node"), F.lit(1).alias("weight")))
+    ends = ends.unionByName(counted.filter(F.col("b").isNull()).select(F.col("a").alias("node"), "weight"))
+    degrees = ends.groupBy("node").agg(F.sum("weight").alias("_links"))
+    edges = listed.unionByName(counted.filter(F.col("b").isNotNull()).select("a", "b"))
+    members = connected_components(edges, "image-components").join(described.select("node", "least"), "node")
     members = materialize(members, "image-members")
     names = members.groupBy("component").agg(F.min("least").alias("_id"))
     named = members.join(names, "component").select("node", "_id")

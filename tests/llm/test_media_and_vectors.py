@@ -185,3 +185,22 @@ def test_pseudonyms_of_awkward_rows(spark):
     (text, kinds), (none, nothing), (long, many) = changed(spark, [secret, None, "pay 4111111111111111 " * 3000])
     assert kinds == ["secret"] and text != secret and re.fullmatch(r'token = "[0-9a-f]{40}" x', text)
     assert none is None and nothing == [] and many == ["card"] * 3000 and "4111111111111111" not in long
+
+
+def placed_pictures(spark, pictures):
+    rows = [(i, images.write_pgm(np.asarray(p, np.uint8))) for i, p in enumerate(pictures)]
+    return {r["image_id"]: r for r in images.copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+
+
+@pytest.mark.parametrize("bucket", [256, 4])
+def test_image_links_are_all_counted(spark, bucket, monkeypatch):
+    monkeypatch.setattr(images, "BUCKET", bucket)
+    noise = np.random.default_rng(7)
+    copies = [np.clip(picture(k // 40) + noise.normal(0, 3, (72, 72)), 0, 255) for k in range(80)]
+    got = placed_pictures(spark, copies + [picture(k) for k in range(100, 130)])
+    assert sum(got[i]["n_links"] >= 39 for i in range(80)) >= 76
+    packed = [images.pack_features(f) for f in images.describe(np.array(copies, np.uint8))]
+    codes = [set(images.band_codes(images.unpack_features(f)[1]).ravel().tolist()) for f in packed]
+    for i in range(0, 80, 9):
+        want = sum(bool(codes[i] & codes[k]) and images.agreeing(packed[max(i, k)], packed[min(i, k)]) for k in range(80) if k != i)
+        assert abs(got[i]["n_links"] - want) <= 2  # nodes may be numbered in another order than ids

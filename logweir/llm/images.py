@@ -18,7 +18,8 @@ from logweir.llm.components import connected_components
 from logweir.llm.storage import materialize, shuffle_partitions
 
 SCALES = (1.0, 1.5, 2.0)
-CORNERS = (14, 10, 6)
+#: Pixels around a corner in which it is the strongest.
+APART = 2
 RADIUS = 7
 BITS, BAND, BANDS = 128, 24, 5
 TURNS = 32
@@ -97,29 +98,31 @@ def blurred(stack: np.ndarray) -> np.ndarray:
     return (rows[:, :, :-2] + rows[:, :, 1:-1] + rows[:, :, 2:]) / 9
 
 
-def corners(stack: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """[picture, corner, (y, x)] of the strongest local peaks of the Harris response, and whether each exists."""
+def corners(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[picture, corner, (y, x)] of all peaks of the Harris response, and whether each exists.
+
+    A peak is the greatest within APART pixels, so whether there is one depends on its neighbourhood alone,
+    and a crop has the corners of its source.
+    """
     n, h, w = stack.shape
     room = RADIUS + 1
     if h <= 2 * room + 1 or w <= 2 * room + 1:
-        return np.zeros((n, most, 2), np.int64), np.zeros((n, most), bool)
+        return np.zeros((n, 0, 2), np.int64), np.zeros((n, 0), bool)
     gy, gx = np.gradient(stack, axis=(1, 2))
     yy, xx, xy = blurred(gy * gy), blurred(gx * gx), blurred(gy * gx)
     r = yy * xx - xy * xy - 0.05 * (yy + xx) ** 2
-    p = np.pad(r, ((0, 0), (1, 1), (1, 1)), constant_values=-np.inf)
-    peak = np.ones(r.shape, bool)
-    for dy in range(3):
-        for dx in range(3):
-            if (dy, dx) != (1, 1):
+    p = np.pad(r, ((0, 0), (APART, APART), (APART, APART)), constant_values=-np.inf)
+    peak = r > 1e-3
+    for dy in range(2 * APART + 1):
+        for dx in range(2 * APART + 1):
+            if (dy, dx) != (APART, APART):
                 other = p[:, dy : dy + h, dx : dx + w]
-                peak &= (r > other) if (dy, dx) < (1, 1) else (r >= other)
-    score = np.where(peak & (r > 1e-3), r, -np.inf)[:, room:-room, room:-room].reshape(n, -1)
-    k = min(most, score.shape[1])
-    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-    there = np.isfinite(np.take_along_axis(score, best, 1))
+                peak &= (r > other) if (dy, dx) < (APART, APART) else (r >= other)
+    inner = peak[:, room:-room, room:-room].reshape(n, -1)
+    most = int(inner.sum(1).max(initial=0))
+    best = np.argsort(~inner, axis=1, kind="stable")[:, :most]
     at = np.stack([best // (w - 2 * room) + room, best % (w - 2 * room) + room], axis=2)
-    pad = most - k
-    return np.pad(at, ((0, 0), (0, pad), (0, 0)), constant_values=room), np.pad(there, ((0, 0), (0, pad)))
+    return at, np.take_along_axis(inner, best, 1)
 
 
 def describe(stack: np.ndarray) -> list[dict[str, np.ndarray]]:
@@ -127,22 +130,27 @@ def describe(stack: np.ndarray) -> list[dict[str, np.ndarray]]:
     n = len(stack)
     found: list[list[np.ndarray]] = [[] for _ in range(4)]
     exists = []
-    for by, most in zip(SCALES, CORNERS, strict=True):
+    for by in SCALES:
         level = smaller(stack.astype(np.float32), by)
         if min(level.shape[1:]) <= 2 * RADIUS + 3:
             continue
-        at, there = corners(level, most)
+        at, there = corners(level)
         soft = blurred(level)
         pick = np.arange(n)[:, None, None]
-        disc = level[pick, at[:, :, None, 0] + DISC[:, 0], at[:, :, None, 1] + DISC[:, 1]]
-        angle = np.arctan2((disc * DISC[:, 0]).sum(2), (disc * DISC[:, 1]).sum(2))
-        turn = np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS
-        tests = PATTERN[turn]
-        spots = soft[pick[..., None], at[:, :, None, None, 0] + tests[..., 0], at[:, :, None, None, 1] + tests[..., 1]]
+        angle, bits = np.zeros(at.shape[:2], level.dtype), np.zeros((*at.shape[:2], BITS // 8), np.uint8)
+        step = max(1, 10_000 // n)
+        for lo in range(0, at.shape[1], step):  # corners in memory at a time
+            here = at[:, lo : lo + step]
+            disc = level[pick, here[:, :, None, 0] + DISC[:, 0], here[:, :, None, 1] + DISC[:, 1]]
+            angle[:, lo : lo + step] = np.arctan2((disc * DISC[:, 0]).sum(2), (disc * DISC[:, 1]).sum(2))
+            turn = np.rint(angle[:, lo : lo + step] / (2 * np.pi) * TURNS).astype(int) % TURNS
+            tests = PATTERN[turn]
+            spots = soft[pick[..., None], here[:, :, None, None, 0] + tests[..., 0], here[:, :, None, None, 1] + tests[..., 1]]
+            bits[:, lo : lo + step] = np.packbits(spots[..., 0] < spots[..., 1], axis=2)
         found[0].append((at + 0.5) * by)
         found[1].append(np.full(at.shape[:2], by))
         found[2].append(angle)
-        found[3].append(np.packbits(spots[..., 0] < spots[..., 1], axis=2))
+        found[3].append(bits)
         exists.append(there)
     if not exists:
         return [{"place": np.zeros((0, 2)), "scale": np.zeros(0), "angle": np.zeros(0), "bits": np.zeros((0, BITS // 8), np.uint8)}] * n

@@ -204,3 +204,19 @@ def test_image_links_are_all_counted(spark, bucket, monkeypatch):
     for i in range(0, 80, 9):
         want = sum(bool(codes[i] & codes[k]) and images.agreeing(packed[max(i, k)], packed[min(i, k)]) for k in range(80) if k != i)
         assert abs(got[i]["n_links"] - want) <= 2  # nodes may be numbered in another order than ids
+
+
+def texture(seed, n):
+    rng = np.random.default_rng(seed)
+    wave = np.hypot(*np.meshgrid(np.fft.fftfreq(n), np.fft.fftfreq(n)))
+    x = np.fft.ifft2(np.fft.fft2(rng.normal(size=(n, n))) * np.exp(-((wave / 0.12) ** 2))).real
+    return np.clip(128 + 50 * x / x.std(), 0, 255).astype(np.uint8)
+
+
+@pytest.mark.parametrize("n", [72, 144, 256])
+def test_crops_of_a_quarter(n):
+    for seed in range(8):
+        whole = texture(seed, n)
+        crop = whole[n // 5 : n // 5 + n // 2, n // 5 + 1 : n // 5 + 1 + n // 2]
+        a, b = (images.pack_features(images.describe(p[None])[0]) for p in (whole, crop))
+        assert images.agreeing(a, b) and images.agreeing(b, a)

@@ -8,6 +8,7 @@ Hamming distance, and a copy needs enough matches that agree on one shift, turn
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -467,11 +468,12 @@ def copies(images: DataFrame, matches: int = MATCHES) -> DataFrame:
 
 
 def mosaics(vectors: DataFrame, side: int = 8, tile: int = 9) -> DataFrame:
-    """image_id, image: each vector as a picture of ``side`` x ``side`` grey tiles, in order of its components.
+    """image_id, image: each vector as a picture of ``side`` x ``side`` grey tiles or more, in order of its components.
 
     The given tables have no media column; this makes one, of all vectors, in which near-copies of a
-    vector are edited copies of a picture.  Null vectors have null pictures; vectors of other lengths fill
-    the tiles from the first on, in grey where there is no component.
+    vector are edited copies of a picture.  Null vectors have null pictures; shorter vectors
+    fill the tiles from the first on, in grey where there is no component, and longer ones get the least
+    square of tiles that holds all their components.
     """
     import pyarrow as pa
 
@@ -482,10 +484,11 @@ def mosaics(vectors: DataFrame, side: int = 8, tile: int = 9) -> DataFrame:
                 if not v.is_valid:
                     out.append(None)
                     continue
-                x = np.array([0.0 if c is None else c for c in v.as_py()], np.float64)[: side * side]
-                x = np.nan_to_num(np.pad(x, (0, side * side - len(x))))
+                x = np.array([0.0 if c is None else c for c in v.as_py()], np.float64)
+                own = max(side, math.isqrt(max(0, len(x) - 1)) + 1)
+                x = np.nan_to_num(np.pad(x, (0, own * own - len(x))))
                 grey = np.clip(128 + 110 * np.tanh(x / (np.sqrt((x * x).mean()) + 1e-12)), 0, 255)
-                out.append(write_pgm(np.kron(grey.reshape(side, side), np.ones((tile, tile))).astype(np.uint8)))
+                out.append(write_pgm(np.kron(grey.reshape(own, own), np.ones((tile, tile))).astype(np.uint8)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["image_id", "image"])
 
     return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(draw, "image_id long, image binary")

@@ -220,3 +220,11 @@ def test_crops_of_a_quarter(n):
         crop = whole[n // 5 : n // 5 + n // 2, n // 5 + 1 : n // 5 + 1 + n // 2]
         a, b = (images.pack_features(images.describe(p[None])[0]) for p in (whole, crop))
         assert images.agreeing(a, b) and images.agreeing(b, a)
+
+
+def test_mosaics_hold_all_components(spark):
+    x = [float(i % 7) for i in range(100)]
+    rows = [(0, x[:64]), (1, x), (2, [*x[:99], -5.0]), (3, x[:65]), (4, []), (5, None)]
+    got = {r["image_id"]: r["image"] for r in images.mosaics(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert [None if got[i] is None else images.read_pgm(bytes(got[i])).shape[0] for i in range(6)] == [72, 90, 90, 81, 72, None]
+    assert len({bytes(got[i]) for i in range(5)}) == 5

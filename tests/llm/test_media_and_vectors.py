@@ -228,3 +228,11 @@ def test_mosaics_hold_all_components(spark):
     got = {r["image_id"]: r["image"] for r in images.mosaics(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
     assert [None if got[i] is None else images.read_pgm(bytes(got[i])).shape[0] for i in range(6)] == [72, 90, 90, 81, 72, None]
     assert len({bytes(got[i]) for i in range(5)}) == 5
+
+
+def test_ibans_before_other_words(spark):
+    ibans = ["BE68539007547034", "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "NO9386011117947", "DE89370400440532013000"]
+    texts = [f"{v}{after}" for v in ibans for after in (" I pay", " A new", " 2024", " ABCD 12", ".")]
+    for text, (new, kinds) in zip(texts, changed(spark, texts), strict=True):
+        v = next(x for x in ibans if text.startswith(x))
+        assert kinds == ["iban"] and new[: len(v)] != v and new[len(v) :] == text[len(v) :], (text, new, kinds)

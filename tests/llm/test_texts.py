@@ -324,3 +324,13 @@ def test_quality(spark):
     assert quality.filter_quality(empty(spark), model, 0.3).count() == 0
     untrained = quality.train_quality(docs.limit(0).withColumn("quality", docs["n_chars"]))
     assert 0 <= untrained.score(None) <= 1
+
+
+def test_classes_of_long_texts_are_sampled(spark):
+    from logweir.llm.samples import class_sample
+
+    long = "".join(chr(97 + i % 26) for i in range(5000))
+    rows = [(i, long, "long") for i in range(3)] + [(10, "short", "short"), (11, None, "short"), (12, "x", None)]
+    got = class_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang", 10, 100)
+    assert set(got) == {"long", "short"} and got["short"] == ["short"]
+    assert len(got["long"]) == 3 and all(len(t) == 100 and t in long for t in got["long"]) and len(set(got["long"])) > 1

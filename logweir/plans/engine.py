@@ -24,11 +24,13 @@ class StatementError(ValueError):
 
 @dataclass
 class Status:
-    """How the last statement went: nodes asked, those that failed and why, and seconds to plan it."""
+    """How the last statement went: nodes asked, how many answers failed, up to 1000 of a table's and why, all of them as DataFrames, and seconds to plan it."""
 
     contacted: int = 0
     failed: dict[int, str] = field(default_factory=dict)
     latency: float = 0.0
+    failed_count: int = 0
+    failures: list[DataFrame] = field(default_factory=list)
 
 
 class Engine:
@@ -55,7 +57,9 @@ class Engine:
         """A table from the nodes' JSON answers (node_id, answer), with the catalog's columns or types by name."""
         columns = columns or catalog.declared().get(name)
         if columns is None:
-            keys = [r[0] for r in json_tables(answers)[0].select(F.explode(F.map_keys("cells")).alias("k")).distinct().orderBy("k").limit(1000).collect()]
+            keys = [r[0] for r in json_tables(answers)[0].select(F.explode(F.map_keys("cells")).alias("k")).distinct().orderBy("k").limit(1001).collect()]
+            if len(keys) > 1000:
+                raise StatementError(f"the answers of {name} have more than 1000 columns; declare them")
             columns = {k: catalog.type_of(k) for k in keys}
         self.answers[name] = answers
         self.register(name, lambda s: typed(json_tables(answers)[0], columns), f"answers of {name}")
@@ -95,7 +99,10 @@ class Engine:
         for n in used:
             if n in self.answers:
                 self.status.contacted += self.answers[n].count()
-                self.status.failed |= {r["node_id"]: r["reason"] for r in json_tables(self.answers[n])[1].limit(1000).collect()}
+                failures = json_tables(self.answers[n])[1]
+                self.status.failures.append(failures)
+                self.status.failed_count += failures.count()
+                self.status.failed |= {r["node_id"]: r["reason"] for r in failures.limit(1000).collect()}
         out = self.spark.sql(text)
         self.status.latency = time.monotonic() - began
         return out

@@ -89,3 +89,19 @@ def test_registered_queries_agree_with_sql(spark):
         if not same:
             different.append(name)
     assert not different
+
+
+def test_all_failures_are_counted(spark):
+    engine = Engine(spark)
+    rows = [(0, '{"headers": ["x"], "rows": [["1"]]}')] + [(i, "down") for i in range(1, 1301)]
+    engine.register_answers("narrow", spark.createDataFrame(rows, "node_id long, answer string"), {"x": "TEXT"})
+    engine.sql("SELECT x FROM narrow")
+    assert engine.status.contacted == 1301 and engine.status.failed_count == 1300
+    assert sum(f.count() for f in engine.status.failures) == 1300
+
+
+def test_too_many_columns_are_refused(spark):
+    names, values = (", ".join(f'"{c}{i}"' for i in range(1001)) for c in ("c", ""))
+    answers = spark.createDataFrame([(0, f'{{"headers": [{names}], "rows": [[{values}]]}}')], "node_id long, answer string")
+    with pytest.raises(StatementError):
+        Engine(spark).register_answers("wide", answers)

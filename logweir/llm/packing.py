@@ -22,6 +22,9 @@ from logweir.llm import tokens
 from logweir.llm.ranking import rank_within
 from logweir.llm.storage import lean_batches, materialize
 
+#: Numbers of groups that are tried; the plan with the fewest sequences is used.
+GROUPS = (8, 12, 16, 24)
+
 #: A stretch of the plan: pieces of ``length`` with rank lo <= rank < hi; every ``per`` of them share a sequence.
 Stretch = tuple[int, int, int, int, int, int]  # length, lo, hi, first sequence, offset, per
 
@@ -71,8 +74,10 @@ def simplex_masters(sizes: list[int], demand: list[int], capacity: int, rounds:
     return {c: float(v) for c, v in zip(columns, x, strict=True) if v > 1e-9}
 
 
-def plan_packing(counts: dict[int, int], capacity: int, groups: tuple[int, ...] = (24, 48, 0), small: float = 0.125) -> tuple[list[Stretch], int]:
-    """The plan that uses the fewest sequences, of one for each number of groups; 0 groups: best fit alone."""
+def plan_packing(counts: dict[int, int], capacity: int, groups: tuple[int, ...] = GROUPS, small: float = 0.125) -> tuple[list[Stretch], int]:
+    """The plan that uses the fewest sequences, of one for each number of groups."""
+    if not groups or min(groups) < 1:
+        raise ValueError("a plan has one group or more")
     return min((grouped_plan(counts, capacity, g, small) for g in groups), key=lambda plan: plan[1])
 
 
@@ -105,9 +110,7 @@ def grouped_plan(counts: dict[int, int], capacity: int, groups: int, small: floa
                 rooms[room] = []
             rooms[room].append((first, n, capacity - room))
 
-    if not groups:
-        rest = [[s, 0, counts[s]] for s in large]
-    elif n_large:
+    if n_large:
         per_group = -(-n_large // groups)
         grouped: list[list[list[int]]] = []
         left, sizes, demand = 0, [], []
@@ -244,7 +247,7 @@ def pieces_of(docs: DataFrame, capacity: int, tokenizer: str | None, end_id: int
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(cut, schema)
 
 
-def pack(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None, end_id: int | None = 1, groups: tuple[int, ...] = (24, 48, 0), with_ids: bool = False, split_words: bool = True) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None, end_id: int | None = 1, groups: tuple[int, ...] = GROUPS, with_ids: bool = False, split_words: bool = True) -> DataFrame:
     """Pack ``docs`` (doc_id, text) into sequences of at most ``capacity`` tokens.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids if ``with_ids``.  A

@@ -3,7 +3,9 @@
 The vocabulary in use drops white space before it splits a text, so the ids of a text are the ids of
 its white-space separated parts, one after the other.  Each part is encoded by the tokenizers library
 once and kept; a part of ASCII or Latin-1 letters with punctuation after them goes straight to the
-library's model, as normalizing, splitting and byte mapping have one possible result for it.
+library's model, as normalizing, splitting and byte mapping have one possible result for it.  Whether a
+vocabulary does it this way (lower case, byte letters) is tried on samples when it is loaded; with any
+other one every part takes the library's whole path.
 """
 
 from __future__ import annotations
@@ -18,6 +20,9 @@ from logweir.llm.hashing import forget
 #: Letters that stand alone under NFC, then ASCII punctuation: two pieces at most.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
+#: Words on which the direct way is held against the library's.
+SAMPLES = ("the", "The", "WORLD", "mañana", "ÉCOLE", "straße,", "naïve!?", "Über...", "end).", "x", "Q;", "internationalisation", "ÀÉÎÕÜ", "a(", "don-", "e&&", "ÿ%%%")
+
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
@@ -48,7 +53,9 @@ class WordIds:
 
         self.tokenizer, self.limit, self.longest, self.split_words = Tokenizer.from_file(path), limit, longest, split_words
         self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.pieces: dict[str, bytes] = {}
         self.plain = type(self.model).__name__ == "BPE" and split_words
+        self.plain = self.plain and all(self._plain(m) == self._whole(w) for w in SAMPLES for m in [PLAIN.fullmatch(w)])
         self.hot = self._generation({})
 
     def _generation(self, old: dict) -> dict:
@@ -65,18 +72,36 @@ class WordIds:
 
         return Words()
 
-    def encode(self, part: bytes) -> bytes:
-        text = part.decode("utf-8", "replace")
-        m = self.plain and PLAIN.fullmatch(text)
-        if m:
-            ids = [t.id for piece in m.groups() if piece for t in self.model.tokenize("".join(map(self.letters.__getitem__, piece.lower().encode())))]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
         out = array.array("I", ids)
         if sys.byteorder == "big":
             out.byteswap()
         return out.tobytes()
 
+    def _whole(self, text: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of letters, or of punctuation; capitals and endings make many words of few of them."""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) > self.limit:
+                self.pieces.clear()
+            ids = self._bytes([t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, piece.encode())))])
+            if len(piece) <= self.longest:
+                self.pieces[piece] = ids
+        return ids
+
+    def _plain(self, m: re.Match) -> bytes:
+        letters, rest = m.groups()
+        return self._piece(letters.lower()) + self._piece(rest) if rest else self._piece(letters.lower())
+
+    def encode(self, part: bytes) -> bytes:
+        text = part.decode("utf-8", "replace")
+        m = self.plain and PLAIN.fullmatch(text)
+        return self._plain(m) if m else self._whole(text)
+
     def ids(self, text: bytes | None) -> bytes:
         """Ids of one whole UTF-8 text; none for null."""
         if not text:

@@ -1,32 +1,22 @@
-"""Count-min sketches of 64-bit hashes, made by partition and merged, that tell what may occur twice.
+"""Count-min sketches, made by slice and merged by part of the hash space, that tell what may occur twice.
 
-A count-min sketch never estimates too low, so a hash whose estimate is below two occurs once; nothing
-that repeats is lost.  The sketch has a fixed largest size: past it estimates get too high more often,
-which costs the steps after it work but no results.  What is broadcast is one bit per counter (estimate
-of two or more), so its size is bounded by ``MOST_BITS`` whatever the input.
+A count-min sketch never estimates too low, so what is estimated below two occurs once; nothing that
+repeats is lost.  A part's sketch has twice as many counters in each row as hashes were asked about, and parts
+are added as the input grows (see ``dealt``), so estimates are as good at any size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-
 import numpy as np
-import zstandard
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
-
-from logweir.llm.storage import shuffle_partitions
 
 #: Odd multipliers of the rows' hash functions.
 ROWS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-LEAST_BITS, MOST_BITS = 16, 28
-CHUNK_BITS = 22
-FLUSH = 1_500_000
+LEAST_BITS = 10
 
 
 def width_bits(expected: int) -> int:
-    """Counters in a row, as a power of two: twice what is expected, within the bounds."""
-    return max(LEAST_BITS, min(MOST_BITS, int(2 * max(1, expected) - 1).bit_length()))
+    """Counters in a row, as a power of two: twice what is expected or more."""
+    return max(LEAST_BITS, (2 * max(1, expected) - 1).bit_length())
 
 
 def positions(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -34,120 +24,33 @@ def positions(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
         return (hashes * np.uint64(ROWS[row])) >> np.uint64(64 - bits)
 
 
-def packed(sorted_positions: np.ndarray, counts: np.ndarray) -> bytes:
-    """Ascending positions and a count each (255: or more), as differences with their bytes in planes."""
-    steps = np.diff(sorted_positions, prepend=np.uint32(0)).astype("<u4")
-    return zstandard.ZstdCompressor(level=1).compress(np.uint32(len(steps)).tobytes() + steps.view(np.uint8).reshape(-1, 4).T.tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes())
+def sketch(codes: np.ndarray, counts: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A slice's sketch: the counters that it touches in each row, and what it adds to them."""
+    out = []
+    for row in range(len(ROWS)):
+        at, which = np.unique(positions(codes, row, bits), return_inverse=True)
+        out.append((at.astype(np.int64), np.bincount(which, counts, len(at)).astype(np.int64)))
+    return out
 
 
-def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    planes = np.frombuffer(raw, np.uint8, 4 * n, 4).reshape(4, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int64), np.frombuffer(raw, np.uint8, offset=4 + 4 * n)
+class CountMin:
+    """Sketches merged, in counters that stop at 65,535."""
 
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.rows = np.zeros((len(ROWS), 1 << bits), np.uint16)
 
-def partial_sketch(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
-    """(part, payload) of one partition's sketch; a part is a chunk of a row's counters."""
-    chunk = min(bits, CHUNK_BITS)
-    for row in range(len(ROWS)):
-        at, n = np.unique(positions(hashes, row, bits).astype(np.uint32), return_counts=True)
-        cuts = np.searchsorted(at, np.arange(0, (1 << bits) + 1, 1 << chunk))
-        for c, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if hi > lo:
-                yield (row << (bits - chunk)) + c, packed(at[lo:hi] - np.uint32(c << chunk), n[lo:hi])
-
-
-class MayRepeat:
-    """Which hashes the merged sketch estimates to occur twice or more."""
-
-    def __init__(self, bits: int, rows: np.ndarray):
-        self.bits, self.rows = bits, rows
-
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.ones(len(hashes), bool)
-        for r in range(len(ROWS)):
-            at = positions(hashes, r, self.bits)
-            out &= (self.rows[r][at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-        return out
-
-
-class Levels:
-    """How often the merged sketch estimates hashes to occur: the bit length of the count, 15 at most."""
-
-    def __init__(self, bits: int, rows: np.ndarray):
-        self.bits, self.rows = bits, rows
-
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.full(len(hashes), 15, np.uint8)
-        for r in range(len(ROWS)):
-            at = positions(hashes, r, self.bits)
-            out = np.minimum(out, self.rows[r][at >> np.uint64(1)] >> ((at & np.uint64(1)) << np.uint64(2)).astype(np.uint8) & 15)
-        return out
-
-
-def merged_sketch(texts: DataFrame, hashes_of: Callable[[Iterable], Iterator[np.ndarray]], expected: int, levels: bool = False) -> Broadcast:
-    """The sketch of what ``hashes_of`` yields from ``texts``'s record batches, merged and broadcast.
-
-    ``expected`` (about how many hashes there are) sets the width.  Partitions' sketches hold the counters
-    that they touched; a task merges the parts that it gets one after the other, an array of 2**22 counters
-    at a time, so its memory depends neither on the input nor on the number of partitions.  With ``levels``
-    the result tells the size of the counts in four bits, and has a quarter of the counters at most.
-    """
-    import pyarrow as pa
-
-    bits = width_bits(expected)
-    if levels:
-        bits = min(bits, MOST_BITS - 2)
-    chunk = min(bits, CHUNK_BITS)
-    parts = len(ROWS) << (bits - chunk)
-
-    def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        n_held = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows = list(partial_sketch(np.concatenate(held), bits))
-            held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "payload"])
-
-        for hashes in hashes_of(batches):
-            held.append(hashes)
-            n_held += len(hashes)
-            if n_held >= FLUSH:
-                yield from flush()
-                n_held = 0
-        if held:
-            yield from flush()
-
-    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, counts = None, np.zeros(1 << chunk, np.uint16)
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if levels:
-                sizes = np.searchsorted(1 << np.arange(15), counts, side="right").astype(np.uint8)
-                told = (sizes[::2] | sizes[1::2] << 4).tobytes()
-            else:
-                told = np.packbits(counts > 1, bitorder="little").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([told], pa.binary())], ["part", "bits"])
-
-        for batch in batches:
-            for part, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if part != current:
-                    if current is not None:
-                        yield from done()
-                    current = part
-                    counts[:] = 0
-                at, n = unpacked(payload.as_py())
-                counts[at] = np.minimum(counts[at] + n, 1 << 14)
-        if current is not None:
-            yield from done()
-
-    spark = texts.sparkSession
-    partial = texts.mapInArrow(sketch, "part int, payload binary")
-    merged = partial.repartition(max(1, min(parts, shuffle_partitions(spark))), "part").sortWithinPartitions("part").mapInArrow(merge, "part int, bits binary")
-    rows = np.zeros((len(ROWS), (1 << bits) // (2 if levels else 8)), np.uint8)
-    flat = rows.reshape(parts, -1)
-    for r in merged.toLocalIterator():  # 2 * 2**MOST_BITS bits at most, a partition at a time
-        flat[r["part"]] = np.frombuffer(r["bits"], np.uint8)
-    return spark.sparkContext.broadcast((Levels if levels else MayRepeat)(bits, rows))
+    def merge(self, partial: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        for row, (at, n) in zip(self.rows, partial, strict=True):
+            row[at] = np.minimum(row[at] + n, 65_535)
+
+    def estimate(self, codes: np.ndarray) -> np.ndarray:
+        return np.minimum(*(self.rows[r][positions(codes, r, self.bits)] for r in range(len(ROWS))))
+
+
+def may_repeat(codes: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
+    """Of all slices' codes in a part, whether the merged sketch estimates that they occur twice or more."""
+    merged = CountMin(width_bits(sum(map(len, codes))))
+    for c, n in zip(codes, counts, strict=True):
+        merged.merge(sketch(c, n, merged.bits))
+    return [(merged.estimate(c) > 1).astype(np.uint8) for c in codes]

@@ -1,10 +1,9 @@
 """Jaccard join of word n-gram sets by prefix trees.
 
-n-grams have a global order by frequency, as merged count-min sketches estimate it.  Two sets of the
-threshold's similarity share an n-gram among the rarest few of each, so only those index a document, and
-of them only n-grams that occur elsewhere.  A first sketch tells which n-grams may occur in several
-documents; a document whose rarest few are all its own is linked with nothing and goes no further.  A
-second sketch, of the others alone, sizes their counts, so that widespread passages index nothing.
+n-grams have a global order by frequency, counted by part of the hash space (see ``dealt``).  Two sets of
+the threshold's similarity share an n-gram among the rarest few of each, so only those index a document,
+and of them only n-grams that occur elsewhere; widespread passages index nothing.  A document whose
+rarest few are all its own is linked with nothing and goes no further.
 What shares indexed n-grams forms blocks; in a block the ordered sets are stored in a prefix tree, which
 each set traverses, sharing the overlap with a path among all sets below it and leaving a subtree where
 the lengths that remain can't reach the threshold, or where all sets are linked with it already.
@@ -17,12 +16,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweir.llm import hashing
+from logweir.llm import dealt, hashing
 from logweir.llm.components import connected_components
-from logweir.llm.countmin import merged_sketch
 from logweir.llm.storage import lean_batches, materialize, shuffle_partitions
 
 WORDS = 4
@@ -54,22 +52,6 @@ def gram_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
     return out
 
 
-def set_hashes(k: int):
-    def of(batches: Iterable) -> Iterator[np.ndarray]:
-        for batch in batches:
-            for _, _, texts in hashing.slices(batch, 0):
-                yield np.concatenate(gram_sets(texts, k)) << np.uint64(1)
-
-    return of
-
-
-def stored_hashes(batches: Iterable) -> Iterator[np.ndarray]:
-    hashing.steady_memory()
-    for batch in batches:
-        for data in batch.column(0):
-            yield (np.frombuffer(data.as_py(), np.uint64) & ~RARE) << np.uint64(1)
-
-
 def n_index(size: int, over: int, under: int) -> int:
     """How many of a set's last n-grams index it: all sets linked with it share one of them."""
     return size - -(-over * size // under) + 1
@@ -218,55 +200,55 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, over: int = OVER, un
     null doc_id alone has a null component.  Texts of any length are taken whole.  An empty table gives no
     rows.  Other columns are not read.
 
-    ``with_key`` adds ``key``, the xxhash64 of doc_id and text, to tell rows that share a doc_id apart.
+    ``with_key`` adds ``key``, two hashes of doc_id and text, to tell rows that share a doc_id apart.
     Sets larger than a block's limits together are joined chunk by chunk, each pair of chunks once.
     """
     import pyarrow as pa
 
     spark = docs.sparkSession
     lean_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", "text").alias("key"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    may_repeat = merged_sketch(docs.select("text"), set_hashes(words), size // 6)
-
-    def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = ["doc_id", "key", "n_shingles", "digest", "grams"]
-        types = [pa.int64(), pa.binary(), pa.binary()]
-        for batch in batches:
-            for at, to, texts in hashing.slices(batch, 1):
-                sets = gram_sets(texts, words)
-                flat = np.concatenate(sets)
-                common = may_repeat.value(flat << np.uint64(1))
-                rows, end = [], 0
-                for s in sets:
-                    mine = common[end : end + len(s)]
-                    end += len(s)
-                    few = n_index(len(s), over, under) - int(len(s) - mine.sum())
-                    if not len(s) or few <= 0:
-                        rows.append((len(s), None, None))
-                        continue
-                    grams = np.concatenate([s[mine], s[~mine] | RARE]).tobytes()
-                    rows.append((len(s), xxhash.xxh3_128_digest(grams), grams))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(2).slice(at, to - at), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]], fields)
-
-    indexed = docs.mapInArrow(index, "doc_id long, key long, n_shingles long, digest binary, grams binary")
-    indexed = materialize(indexed, "jaccard-index")
+    docs, size = dealt.sliced(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *row_key(with_key)))
+    bits = dealt.part_bits(size // 6, shuffle_partitions(spark))
+
+    def ask(table: pa.Table) -> pa.Table:
+        hashing.steady_memory()
+        grams, counts = np.unique(np.concatenate(gram_sets(table.column("text").to_pylist(), words)) << np.uint64(1), return_counts=True)
+        rows = list(dealt.ask(grams, counts, bits))
+        name = table.column("slice")[0].as_py()
+        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([name] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["part", "slice", "payload"])
+
+    keys_of = ["_k1", "_k2"] * with_key
+    fields = ["doc_id", *keys_of, "n_shingles", "digest", "grams", "keys"]
+    types = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+
+    def index(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table([pa.array([], t) for t in [pa.int64()] * (1 + len(keys_of)) + types], fields)
+        hashing.steady_memory()
+        sets = gram_sets(table.column("text").to_pylist(), words)
+        flat = np.concatenate(sets)
+        asked, which = np.unique(flat << np.uint64(1), return_inverse=True)
+        levels = dealt.told(asked, bits, dict(zip(answers.column("part").to_pylist(), answers.column("told").to_pylist(), strict=True)))[which]
+        rows, end = [], 0
+        for s in sets:
+            level = levels[end : end + len(s)]
+            end += len(s)
+            few, common = n_index(len(s), over, under), level > 1
+            if not len(s) or few <= len(s) - int(common.sum()):
+                rows.append((len(s), None, None, None))
+                continue
+            rarest = np.lexsort((s, level))[:few]
+            grams = np.concatenate([s[common], s[~common] | RARE]).tobytes()
+            rows.append((len(s), xxhash.xxh3_128_digest(grams), grams, s[rarest][level[rarest] > 1].astype(np.int64)))
+        given = [table.column(c).combine_chunks() for c in ["doc_id", *keys_of]]
+        return pa.table([*given, *[pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]], fields)
+
+    answers = dealt.answered(docs.groupBy("slice").applyInArrow(ask, dealt.ASKS), bits, dealt.levels)
+    schema = ", ".join(["doc_id long", *[f"{k} long" for k in keys_of], "n_shingles long, digest binary, grams binary, keys array<long>"])
+    indexed = materialize(docs.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(index, schema), "jaccard-index")
     sets = indexed.filter(F.col("digest").isNotNull())
-    level = merged_sketch(sets.select("grams"), stored_hashes, sets.agg(F.sum("n_shingles")).first()[0] or 0, levels=True)
-
-    def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for data in batch.column(3):
-                grams = np.frombuffer(data.as_py(), np.uint64) & ~RARE
-                levels = level.value(grams << np.uint64(1))
-                rarest = np.lexsort((grams, levels))[: n_index(len(grams), over, under)]
-                out.append(grams[rarest][levels[rarest] > 1].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "digest", "n_shingles", "keys"])
-
-    classes = sets.select("doc_id", "digest", "n_shingles", "grams").mapInArrow(keys, "doc_id long, digest binary, n_shingles long, keys array<long>")
-    classes = classes.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n"))
-    classes = materialize(classes.withColumn("node", F.xxhash64("digest")), "jaccard-classes")
+    classes = sets.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")  # written, so ids are fixed
     keyed = classes.select("node", F.explode("keys").alias("key"))
     least = keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("_top")).filter(F.col("b") != F.col("_top"))
     shared = keyed.join(least, "key").select(F.col("node").alias("a"), "b").filter(F.col("a") != F.col("b"))
@@ -283,7 +265,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, over: int = OVER, un
     firsts = classes.select("digest", "least")
     n = shuffle_partitions(spark)
     named_sets = sets.select("digest", "doc_id", "grams").join(placed, "digest").filter(F.col("doc_id").eqNullSafe(F.col("least")))
-    dealt = named_sets.repartition(n, "block", "lo", "hi").sortWithinPartitions("block", "lo", "hi")
+    spread = named_sets.repartition(n, "block", "lo", "hi").sortWithinPartitions("block", "lo", "hi")
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, base, probes = None, [], []
@@ -304,14 +286,19 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, over: int = OVER, un
         if current is not None:
             yield from done()
 
-    edges = dealt.select("digest", "grams", "block", "lo", "hi", "base").mapInArrow(join, "a binary, b binary")
+    edges = spread.select("digest", "grams", "block", "lo", "hi", "base").mapInArrow(join, "a binary, b binary")
     members = connected_components(edges, "jaccard-links")
     members = materialize(members.join(firsts, members["node"] == firsts["digest"]).select("node", "component", "least"), "jaccard-members")
     names = members.groupBy("component").agg(F.min("least").alias("_id"))
     named = members.join(names, "component").select("node", "_id")
-    equal = indexed.select("doc_id", "key", "n_shingles", "digest").join(firsts, "digest", "left")
+    equal = indexed.select("doc_id", *keys_of, "n_shingles", "digest").join(firsts, "digest", "left")
     out = equal.join(named, equal["digest"] == named["node"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("_id", "least", "doc_id").alias("component_id"), *["key"] * with_key)
+    return out.select("doc_id", "n_shingles", F.coalesce("_id", "least", "doc_id").alias("component_id"), *[F.struct("_k1", "_k2").alias("key")] * with_key)
+
+
+def row_key(wanted: bool = True) -> list[Column]:
+    """Two hashes of doc_id and text, 128 bits in all."""
+    return [F.xxhash64("doc_id", "text").alias("_k1"), F.xxhash64("text", F.lit(1), "doc_id").alias("_k2")] if wanted else []
 
 
 def keep_one_each(docs: DataFrame, words: int = WORDS, over: int = OVER, under: int = UNDER) -> DataFrame:
@@ -321,13 +308,10 @@ def keep_one_each(docs: DataFrame, words: int = WORDS, over: int = OVER, under:
     any.  A row without a doc_id stays unless it is linked with one that has an id.
     """
     key = "__logweir_key"
-    docs_keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    docs_keyed = docs.withColumn(key, F.struct(*row_key()))
     found = materialize(jaccard_components(docs, words, over, under, with_key=True), "jaccard-kept")
     best = found.filter(F.col("component_id").isNotNull()).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("_best"))
     alone = found.filter(F.col("component_id").isNull()).select("key").distinct()
     kept = best.select(F.col("_best.key").alias("key")).unionByName(alone).withColumnRenamed("key", key)
-    out = docs_keyed.join(kept, key, "left_semi")
-    repeated = found.filter(F.col("component_id").isNotNull()).groupBy("key").count().filter("count > 1")
-    if not repeated.isEmpty():
-        out = out.dropDuplicates([key])
+    out = docs_keyed.join(kept, key, "left_semi").dropDuplicates([key])
     return out.select(*[f"`{c}`" for c in docs.columns])

@@ -1,131 +1,121 @@
 """Removal of word windows that occur more than once, with a count-min prefilter.
 
-Four passes.  Partitions sketch the hashes of their windows, and the sketches are merged.  Then only
-windows that the merged sketch estimates repeated are grouped, exactly, by 96 bits of hash.  What repeats
-is sent back to its texts, whose covered words are dropped.  Within a slice of a partition equal windows
-count as one when they are sent on, so a window that fills a third of the corpus is a few rows.
+Every window picks the least of the hashes of its sub-windows of a few words.  Windows with the same words
+pick alike, from different places, so the number of places with a pick is no less than the number of
+windows with the same words; one pick serves about a dozen windows that follow each other.  Slices sketch
+their picks, the sketches are merged by part of the hash space and tell which picks may repeat.  A second
+pass groups, exactly by 128 bits of hash, only windows whose pick may repeat, and says of each whether it
+does.  The texts are shuffled once, by slice, and all passes read that shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweir.llm import hashing
-from logweir.llm.countmin import merged_sketch
+from logweir.llm import dealt, hashing
+from logweir.llm.countmin import may_repeat
 from logweir.llm.storage import lean_batches, shuffle_partitions
 
 WINDOW = 35
-#: Windows in a group that is settled in memory at once, about.
-GROUP = 2_000_000
-
-
-def windows_of(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes of every window of the texts, whose it is and where it starts in its text."""
-    split = [t.split() if t else [] for t in texts]
-    words = hashing.word_hashes(split)
-    start, owner, place = hashing.window_starts(np.array([len(s) for s in split], np.int64), k)
-    second = (hashing.rolling(words, k, hashing.BASES[1])[start] >> np.uint64(32)).astype(np.uint32)
-    return hashing.rolling(words, k, hashing.BASES[0])[start], second, owner, place
-
-
-def first_hashes(k: int):
-    def of(batches: Iterable) -> Iterator[np.ndarray]:
-        for batch in batches:
-            for _, _, texts in hashing.slices(batch, 0):
-                words = hashing.word_hashes(split := [t.split() if t else [] for t in texts])
-                start, _, _ = hashing.window_starts(np.array([len(s) for s in split], np.int64), k)
-                yield hashing.rolling(words, k)[start]
-
-    return of
-
-
-def asks(keys: np.ndarray, texts: list[bytes | None], k: int, may_repeat, parts: int) -> Iterator[tuple[int, int, bytes, bytes, bytes, bytes, bytes]]:
-    """Rows (part, slice, h1, h2, owners, counts, places) of a slice of texts.
-
-    In a part's row stand first the windows seen once in the slice, text by text (owners and counts say
-    whose), which wait for an answer; behind them one of each that repeats in the slice, for the others
-    to know.  A row of part -1 has the places of the latter: they need no answer.
-    """
-    h1, h2, owner, place = windows_of(texts, k)
-    some = np.flatnonzero(may_repeat(h1))
-    h1, h2, owner, place = h1[some], h2[some], owner[some], place[some]
-    order = np.lexsort((h2, h1))
-    if not len(order):
-        return
-    a, b = h1[order], h2[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    size = np.diff(np.append(np.flatnonzero(new), len(order)))
-    single = np.zeros(len(order), bool)
-    single[order] = np.repeat(size == 1, size)
-    waiting = np.flatnonzero(single)
-    known = order[np.flatnonzero(new)[size > 1]]
-    name = xxhash.xxh3_64_intdigest(keys.tobytes()) >> 1
-    part = (h1 >> np.uint64(20)) % np.uint64(parts)
-    for p, mine in grouped(part, waiting, known):
-        w, kn = mine
-        owners, counts = np.unique(owner[w], return_counts=True)
-        both = np.concatenate([w, kn])
-        yield int(p), name, h1[both].tobytes(), h2[both].tobytes(), keys[owners].tobytes(), counts.astype("<u4").tobytes(), place[w].astype("<u4").tobytes()
-    dup = np.flatnonzero(~single)
-    if len(dup):
-        owners, counts = np.unique(owner[dup], return_counts=True)
-        yield -1, name, b"", b"", keys[owners].tobytes(), counts.astype("<u4").tobytes(), place[dup].astype("<u4").tobytes()
-
-
-def grouped(part: np.ndarray, *kinds: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(part, the members of each kind in it, in order)."""
-    sorted_kinds = [k[np.argsort(part[k], kind="stable")] for k in kinds]
-    for p in np.unique(np.concatenate([part[k] for k in kinds])):
-        yield p, [k[np.searchsorted(part[k], p, "left") : np.searchsorted(part[k], p, "right")] for k in sorted_kinds]
-
-
-def answers(rows: list[tuple[int, bytes, bytes, bytes, bytes, bytes]]) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-    """(slice, owners, counts, places) of the windows that repeat among all rows of a part, a row for each row."""
-    h1 = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows])
-    h2 = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows])
+#: Words of the sub-windows that are picked from.
+PICK = 8
+#: Windows in a part of the exact pass, about, and bytes that are kept of a word on average.
+EXACT, WORD_BYTES = 1_500_000, 6
+
+
+def least_of(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of every ``n`` consecutive values, and where the first such one is, by doubling."""
+    at = np.arange(len(values))
+    width = 1
+    while width < n:
+        step = min(width, n - width)
+        right = values[step:] < values[:-step]
+        values, at = np.where(right, values[step:], values[:-step]), np.where(right, at[step:], at[:-step])
+        width += step
+    return values, at
+
+
+class Windows:
+    """The windows of a slice's texts: where they start, their picks, and their hashes."""
+
+    def __init__(self, texts: list[bytes | None], k: int):
+        self.k = k
+        self.split = [t.split() if t else [] for t in texts]
+        self.counts = np.array([len(s) for s in self.split], np.int64)
+        self.words = hashing.word_hashes(self.split)
+        self.start, self.owner, self.place = hashing.window_starts(self.counts, k)
+        pick = min(PICK, k)
+        value, at = least_of(hashing.rolling(self.words, pick), k - pick + 1) if len(self.start) else (self.words[:0], self.start)
+        self.value, self.at = value[self.start], at[self.start]
+
+    def picks(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct picks, ascending, and from how many places each is picked."""
+        new = np.concatenate([[True], np.diff(self.at) != 0]) if len(self.at) else np.zeros(0, bool)
+        return np.unique(self.value[new], return_counts=True)
+
+    def hashes(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self.start[some]
+        return hashing.rolling(self.words, self.k, hashing.BASES[0])[at], hashing.rolling(self.words, self.k, hashing.BASES[1])[at]
+
+
+class Suspects:
+    """The windows of a slice that may repeat, equal ones as one, in order of their hashes."""
+
+    def __init__(self, windows: Windows, bits: int, answers: dict[int, bytes]):
+        picks, _ = windows.picks()
+        flags = dealt.told(picks, bits, answers)
+        self.some = np.flatnonzero(flags[np.searchsorted(picks, windows.value)]) if len(picks) else np.zeros(0, np.int64)
+        h1, h2 = windows.hashes(self.some) if len(self.some) else (windows.words[:0], windows.words[:0])
+        order = np.lexsort((h2, h1))
+        h1, h2 = h1[order], h2[order]
+        new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]) if len(order) else np.zeros(0, bool)
+        self.h1, self.h2 = h1[new], h2[new]
+        self.sizes = np.diff(np.append(np.flatnonzero(new), len(order)))
+        self.which = np.zeros(len(order), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+
+    def asks(self, bits: int) -> Iterator[tuple[int, bytes]]:
+        parts, cuts = dealt.cuts_of(self.h1, bits)
+        for p, lo, hi in zip(parts.tolist(), cuts[:-1], cuts[1:], strict=True):
+            yield p, self.h1[lo:hi].tobytes() + self.h2[lo:hi].tobytes() + (self.sizes[lo:hi] > 1).tobytes()
+
+    def repeated(self, bits: int, answers: dict[int, bytes]) -> np.ndarray:
+        """Which windows repeat, by their number among all of the slice."""
+        parts, cuts = dealt.cuts_of(self.h1, bits)
+        flags = [np.unpackbits(np.frombuffer(answers[p], np.uint8), count=hi - lo) for p, lo, hi in zip(parts.tolist(), cuts[:-1], cuts[1:], strict=True)]
+        return self.some[np.concatenate(flags)[self.which] > 0] if flags else self.some[:0]
+
+
+def exactly(payloads: list[bytes]) -> list[bytes]:
+    """Of a part's windows, a list from each slice, whether each occurs again, here or in its own slice."""
+    lengths = [len(p) // 17 for p in payloads]
+    h1 = np.concatenate([np.frombuffer(p, np.uint64, n) for p, n in zip(payloads, lengths, strict=True)])
+    h2 = np.concatenate([np.frombuffer(p, np.uint64, n, 8 * n) for p, n in zip(payloads, lengths, strict=True)])
+    again = np.concatenate([np.frombuffer(p, bool, n, 16 * n) for p, n in zip(payloads, lengths, strict=True)])
     order = np.lexsort((h2, h1))
     a, b = h1[order], h2[order]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
     size = np.diff(np.append(np.flatnonzero(new), len(order)))
-    repeated = np.zeros(len(order), bool)
-    repeated[order] = np.repeat(size > 1, size)
-    at = 0
-    for r in rows:
-        places, counts = np.frombuffer(r[5], "<u4"), np.frombuffer(r[4], "<u4")
-        mine = repeated[at : at + len(places)]
-        if mine.any():
-            left = np.bincount(np.repeat(np.arange(len(counts)), counts)[mine], minlength=len(counts))
-            yield r[0], np.frombuffer(r[3], np.int64)[left > 0].tobytes(), left[left > 0].astype("<u4").tobytes(), places[mine].tobytes()
-        at += len(r[1]) // 8
-
-
-def by_owner(rows: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, list[bytes]]:
-    """Owners of a slice's answers, and the places of each."""
-    counts = np.concatenate([np.frombuffer(r[1], "<u4") for r in rows])
-    owner = np.repeat(np.concatenate([np.frombuffer(r[0], np.int64) for r in rows]), counts)
-    places = np.concatenate([np.frombuffer(r[2], "<u4") for r in rows])
-    order = np.argsort(owner, kind="stable")
-    owners, first = np.unique(owner[order], return_index=True)
-    return owners, [p.tobytes() for p in np.split(places[order], first[1:])]
-
-
-def without(text: bytes | None, places: bytes | None, k: int) -> tuple[int, int, bytes]:
-    """Number of words, of words removed, and the kept words joined by a space."""
-    words = text.split() if text else []
-    if not places:
-        return len(words), 0, b" ".join(words)
+    again = again.copy()
+    again[order] |= np.repeat(size > 1, size)
+    return [np.packbits(x).tobytes() for x in np.split(again, np.cumsum(lengths)[:-1])]
+
+
+def without(words: list[bytes], places: np.ndarray, k: int) -> tuple[int, bytes]:
+    """Number of words removed, and the kept ones joined by a space."""
+    if not len(places):
+        return 0, b" ".join(words)
     change = np.zeros(len(words) + 1, np.int32)
-    at = np.unique(np.frombuffer(places, "<u4")).astype(np.int64)
-    np.add.at(change, at, 1)
-    np.add.at(change, at + k, -1)
+    change[places] += 1
+    np.add.at(change, places + k, -1)
     keep = np.cumsum(change[:-1]) == 0
-    return len(words), int(len(words) - keep.sum()), b" ".join(compress(words, keep.tolist()))
+    return int(len(words) - keep.sum()), b" ".join(compress(words, keep.tolist()))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -138,83 +128,54 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Rows that repeat a text lose all that a window covers, and so do rows that repeat a doc_id as well.
     Null doc_ids are kept.  An empty table gives no rows.  Other columns are not read.
     """
-    import pyarrow as pa
-
     spark = docs.sparkSession
     lean_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    expected = size // 6
-    may_repeat = merged_sketch(docs.select("text"), first_hashes(window), expected)
-    parts = max(shuffle_partitions(spark), expected // GROUP)
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    fields = ["part", "slice", "h1", "h2", "owners", "counts", "places"]
-
-    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, to, texts in hashing.slices(batch, 1):
-                keys = batch.column(0).slice(at, to - at).to_numpy()
-                rows = list(asks(keys, texts, window, may_repeat.value, parts))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), *[pa.binary()] * 5], strict=True)], fields)
-
-    def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, []
-
-        def out(rows: list[tuple[int, bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), *[pa.binary()] * 3], strict=True)], ["slice", "owners", "counts", "places"])
-
-        for batch in batches:
-            columns = [batch.column(0).to_pylist(), *[batch.column(i) for i in range(1, 7)]]
-            for j, part in enumerate(columns[0]):
-                row = tuple(c[j].as_py() for c in columns[1:])
-                if part < 0:
-                    yield from out([(row[0], *row[3:])])
-                    continue
-                if part != current and held:
-                    yield from out(list(answers(held)))
-                    held = []
-                current = part
-                held.append(row)
-        if held:
-            yield from out(list(answers(held)))
-
-    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, []
-
-        def out() -> pa.RecordBatch:
-            owners, places = by_owner(held)
-            return pa.RecordBatch.from_arrays([pa.array(owners), pa.array(places, pa.binary())], ["_owner", "places"])
-
-        for batch in batches:
-            columns = [batch.column(0).to_pylist(), *[batch.column(i) for i in range(1, 4)]]
-            for j, name in enumerate(columns[0]):
-                if name != current and held:
-                    yield out()
-                    held = []
-                current = name
-                held.append(tuple(c[j].as_py() for c in columns[1:]))
-        if held:
-            yield out()
-
-    asked = keyed.select("_key", "text").mapInArrow(ask, "part int, slice long, h1 binary, h2 binary, owners binary, counts binary, places binary")
-    # what needs no answer goes along, spread by its slice
-    dealt = asked.repartition(int(parts), F.col("part"), F.when(F.col("part") < 0, F.col("slice"))).sortWithinPartitions("part")
-    answered = dealt.mapInArrow(answer, "slice long, owners binary, counts binary, places binary")
-    found = answered.repartition(shuffle_partitions(spark), "slice").sortWithinPartitions("slice").mapInArrow(gather, "_owner long, places binary")
-    # rows that repeat doc_id and text have one key and equal places
-    found = found.groupBy("_owner").agg(F.max("places").alias("places"))
-    joined = keyed.join(found, keyed["_key"] == found["_owner"], "left").select("doc_id", "text", "places")
-
-    def drop(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, to, texts in hashing.slices(batch, 1):
-                places = batch.column(2).slice(at, to - at).to_pylist()
-                rows = [without(t, p, window) for t, p in zip(texts, places, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, to - at), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
-                    ["doc_id", "n_words", "n_removed", "kept_text"],
-                )
-
-    return joined.mapInArrow(drop, "doc_id long, n_words long, n_removed long, kept_text binary").withColumn("kept_text", F.col("kept_text").cast("string"))
+    docs, size = dealt.sliced(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")))
+    windows = size // WORD_BYTES
+    least = shuffle_partitions(spark)
+    bits = dealt.part_bits(windows * 2 // max(2, window - PICK + 2), least)
+    exact_bits = dealt.part_bits(windows * dealt.PART // EXACT, least)
+
+    def texts(table: pa.Table) -> list[bytes | None]:
+        hashing.steady_memory()
+        return table.column("text").to_pylist()
+
+    def ask_picks(table: pa.Table) -> pa.Table:
+        rows = list(dealt.ask(*Windows(texts(table), window).picks(), bits))
+        name = table.column("slice")[0].as_py()
+        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([name] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["part", "slice", "payload"])
+
+    def ask_windows(table: pa.Table, first: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table([pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.binary())], ["part", "slice", "payload"])
+        rows = list(Suspects(Windows(texts(table), window), bits, by_part(first)).asks(exact_bits))
+        name = table.column("slice")[0].as_py()
+        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([name] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["part", "slice", "payload"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        hashing.steady_memory()
+        told = exactly([x.as_py() for x in table.column("payload")])
+        return pa.table({"slice": table.column("slice"), "part": table.column("part"), "told": pa.array(told, pa.binary())})
+
+    def drop(table: pa.Table, both: pa.Table) -> pa.Table:
+        names, types = ["doc_id", "n_words", "n_removed", "kept_text"], [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        if not table.num_rows:
+            return pa.table([pa.array([], t) for t in types], names)
+        w = Windows(texts(table), window)
+        exact = np.asarray(both.column("exact")) > 0
+        gone = Suspects(w, bits, by_part(both.filter(pa.array(~exact)))).repeated(exact_bits, by_part(both.filter(pa.array(exact))))
+        cuts = np.searchsorted(w.owner[gone], np.arange(len(w.split) + 1))
+        places = w.place[gone]
+        rows = [without(words, places[lo:hi], window) for words, lo, hi in zip(w.split, cuts[:-1], cuts[1:], strict=True)]
+        kept = [r[1].decode("utf-8", "replace") for r in rows]
+        return pa.table([table.column("doc_id").combine_chunks(), pa.array(w.counts), pa.array([r[0] for r in rows], pa.int64()), pa.array(kept, pa.string())], names)
+
+    first = dealt.answered(docs.groupBy("slice").applyInArrow(ask_picks, dealt.ASKS), bits, may_repeat)
+    asked = docs.groupBy("slice").cogroup(first.groupBy("slice")).applyInArrow(ask_windows, dealt.ASKS)
+    exact = asked.repartition(max(least, 1 << exact_bits), "part").groupBy("part").applyInArrow(answer, dealt.ANSWERS)
+    both = first.withColumn("exact", F.lit(0)).unionByName(exact.withColumn("exact", F.lit(1)))
+    return docs.groupBy("slice").cogroup(both.groupBy("slice")).applyInArrow(drop, "doc_id long, n_words long, n_removed long, kept_text string")
+
+
+def by_part(answers: pa.Table) -> dict[int, bytes]:
+    return dict(zip(answers.column("part").to_pylist(), answers.column("told").to_pylist(), strict=True))

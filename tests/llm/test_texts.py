@@ -9,8 +9,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 
-from logweir.llm import countmin, jaccard, language, mixing, packing, quality, repeats, sstable, tokens
+from logweir.llm import countmin, dealt, jaccard, language, mixing, packing, quality, repeats, sstable, tokens
 from tests.llm.fixtures import awkward, awkward_documents, edited, empty, prose
 
 
@@ -41,8 +42,7 @@ def test_remove_repeats(spark, k):
 
 
 def test_remove_repeats_with_a_full_sketch_loses_nothing(spark, monkeypatch):
-    monkeypatch.setattr(countmin, "LEAST_BITS", 4)
-    monkeypatch.setattr(countmin, "MOST_BITS", 4)
+    monkeypatch.setattr(countmin, "width_bits", lambda expected: 4)
     got = repeats.remove_repeats(awkward(spark), 20).collect()
     found = sorted([(r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in got], key=repr)
     assert found == brute_repeats(awkward_documents(), 20)
@@ -50,19 +50,62 @@ def test_remove_repeats_with_a_full_sketch_loses_nothing(spark, monkeypatch):
 
 def test_sketch_never_underestimates():
     rng = np.random.default_rng(0)
-    h = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
+    h = rng.integers(0, 1 << 47, 5000).astype(np.uint64)
     h = np.concatenate([h, h[:700], h[:30]])
-    for bits in (6, 12, 16):
-        chunk = min(bits, countmin.CHUNK_BITS)
-        counts = np.zeros((len(countmin.ROWS) << (bits - chunk), 1 << chunk), int)
-        for part in (h[:3000], h[3000:]):
-            for p, data in countmin.partial_sketch(part, bits):
-                at, n = countmin.unpacked(data)
-                counts[p, at] += n
-        true = Counter(h.tolist())
-        est = np.min([counts[r << (bits - chunk)][countmin.positions(h, r, bits)] for r in range(len(countmin.ROWS))], axis=0)
-        capped = np.array([min(true[x], 2) for x in h.tolist()])
-        assert (est >= capped).all()
+    true = Counter(h.tolist())
+    slices = [np.unique(part, return_counts=True) for part in (h[:3000], h[3000:])]
+    for bits in (4, 8, 14):
+        merged = countmin.CountMin(bits)
+        for codes, counts in slices:
+            merged.merge(countmin.sketch(codes, counts, bits))
+        assert all(e >= true[x] for x, e in zip(h.tolist(), merged.estimate(h).tolist(), strict=True))
+    told = countmin.may_repeat([c for c, _ in slices], [n for _, n in slices])
+    assert all(t or true[x] == 1 for (codes, _), t_ in zip(slices, told, strict=True) for x, t in zip(codes.tolist(), t_.tolist(), strict=True))
+
+
+def test_sketches_let_no_more_through_as_the_input_grows():
+    rng = np.random.default_rng(1)
+    shares = []
+    for n in (3_000, 30_000, 300_000):
+        codes = np.unique(rng.integers(0, 1 << 48, n).astype(np.uint64))
+        slices = np.array_split(codes, 10)
+        told = np.concatenate(countmin.may_repeat(slices, [np.ones(len(s), np.int64) for s in slices]))
+        shares.append(told.mean())
+    assert max(shares) < 0.2 and abs(shares[-1] - shares[0]) < 0.12
+
+
+def test_windows_with_the_same_words_pick_alike_from_different_places():
+    words = [b"%d" % w for w in np.random.default_rng(2).integers(0, 4, 3000)] + [b"x"] * 80
+    for k in (3, 9, 35):
+        w = repeats.Windows([b" ".join(words), b" ".join(words[100:700]), b"", None], k)
+        picks, places = w.picks()
+        count = dict(zip(picks.tolist(), places.tolist(), strict=True))
+        same = Counter()
+        seen = defaultdict(set)
+        for owner, place, value, at in zip(w.owner.tolist(), w.place.tolist(), w.value.tolist(), w.at.tolist(), strict=True):
+            text = tuple(w.split[owner][place : place + k])
+            same[text] += 1
+            seen[text].add(value)
+            assert w.start[0] <= at
+        for text, n in same.items():
+            assert len(seen[text]) == 1 and count[min(seen[text])] >= n
+
+
+def test_asks_and_answers_fit():
+    rng = np.random.default_rng(4)
+    hashes = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64) << np.uint64(2)) for n in (1, 500, 3000)]
+    hashes.append(hashes[2][::3])
+    for bits in (1, 5):
+        asks = [dict(dealt.ask(h, np.full(len(h), 2), bits)) for h in hashes]
+        answers: list[dict] = [{} for _ in hashes]
+        for p in {p for a in asks for p in a}:
+            who = [i for i, a in enumerate(asks) if p in a]
+            got = [dealt.unpacked(asks[i][p]) for i in who]
+            for i, t in zip(who, dealt.levels([g[0] for g in got], [g[1] for g in got]), strict=True):
+                answers[i][p] = zstandard.ZstdCompressor().compress(t.tobytes())
+        for h, a in zip(hashes, answers, strict=True):
+            want = [int(2 * sum(x in set(o.tolist()) for o in hashes)).bit_length() for x in h.tolist()]
+            assert dealt.told(h, bits, a).tolist() == want
 
 
 def brute_components(rows, k, over, under):

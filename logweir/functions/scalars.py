@@ -69,11 +69,52 @@ def pretty_time(ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd HH:mm:ss.SSS")
 
 
+def duration_text(ns: Column) -> Column:
+    """Nanoseconds as a whole number of the largest unit that divides them: ``90s``, ``2min``, ``1d``; ``max`` and ``min`` for the ends."""
+    out = F.when(ns == (1 << 63) - 1, "max").when(ns == -(1 << 63), "min")
+    for unit in ("w", "d", "h", "min", "s", "ms", "us"):
+        out = out.when((ns % UNITS[unit] == 0) & (ns != 0), F.concat((ns / UNITS[unit]).cast("long").cast("string"), F.lit(unit)))
+    return out.otherwise(F.concat(ns.cast("string"), F.lit("ns")))
+
+
+def hex_payload(payload: Column) -> Column:
+    """Bytes as upper-case hexadecimal digits."""
+    return F.hex(payload.cast("binary"))
+
+
+# Batches of payloads as one value: the checksum, then the count and each payload behind its length, as big-endian 32-bit numbers.
+
+
+def encoded_batch(payloads: Column) -> Column:
+    """A batch as bytes, from an array of binary payloads; null for null, or if a payload is null."""
+    number = lambda n: F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0"))
+    parts = F.transform(payloads, lambda p: F.concat(number(F.octet_length(p)), p.cast("binary")))
+    body = F.concat(number(F.size(payloads)), F.aggregate(parts, F.unhex(F.lit("")), lambda a, p: F.concat(a, p)))
+    return F.when(payloads.isNotNull(), F.concat(number(F.crc32(body)), body))
+
+
+def decoded_batch(batch: Column) -> Column:
+    """The payloads of an encoded batch as an array of binaries; null if its checksum, count or lengths don't hold."""
+    number = lambda at: F.conv(F.hex(F.substring(batch, at, F.lit(4))), 16, 10).cast("long")
+    whole = (F.octet_length(batch) >= 8) & (number(F.lit(1)) == F.crc32(F.substring(batch, F.lit(5), F.octet_length(batch))))
+    n = number(F.lit(5))
+    start = F.struct(F.lit(9).cast("int").alias("at"), F.array().cast("array<binary>").alias("out"))
+
+    def step(acc: Column, _: Column) -> Column:
+        size = number(acc["at"])
+        return F.struct((acc["at"] + 4 + size).cast("int").alias("at"), F.concat(acc["out"], F.array(F.substring(batch, acc["at"] + 4, size.cast("int")))).alias("out"))
+
+    read = F.aggregate(F.sequence(F.lit(1), n), start, step)
+    read = F.when(n > 0, read).otherwise(start)
+    return F.when(whole, F.when(read["at"] == F.octet_length(batch) + 1, read["out"]))
+
+
 def fnv1a_64(data: Column) -> Column:
     """FNV-1a over the bytes of a binary or string column, as a signed long."""
     prime = F.lit(0x100000001B3).cast("decimal(38,0)")
     whole = F.lit(str(1 << 64)).cast("decimal(38,0)")
-    codes = F.transform(F.sequence(F.lit(1), (F.length(F.hex(data)) / 2).cast("int")), lambda i: F.conv(F.substring(F.hex(data), (i * 2 - 1).cast("int"), F.lit(2)), 16, 10).cast("int"))
+    raw = data.cast("binary")
+    codes = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int"))
 
     def step(acc: Column, byte: Column) -> Column:
         low = acc.cast("decimal(38,0)") % F.lit(256).cast("decimal(38,0)")
@@ -83,5 +124,5 @@ def fnv1a_64(data: Column) -> Column:
         return (((high * prime) % F.lit(1 << 32).cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(38,0)") + rest * prime) % whole).cast("decimal(20,0)")
 
     start = F.lit(str(0xCBF29CE484222325)).cast("decimal(20,0)")
-    unsigned = F.when(F.length(F.hex(data)) == 0, start).otherwise(F.aggregate(codes, start, step))
+    unsigned = F.when(F.octet_length(raw) == 0, start).otherwise(F.aggregate(codes, start, step))
     return F.when(unsigned >= F.lit(str(1 << 63)).cast("decimal(20,0)"), unsigned - F.lit(str(1 << 64)).cast("decimal(21,0)")).otherwise(unsigned).cast("long")

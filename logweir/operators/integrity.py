@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweir.operators import cells
+
 # Bits of the replica checker's findings.
 ERRORS = {
     "DATALOSS": 1 << 0, "DIFFERENT_COPYSET_IN_LATEST_WAVE": 1 << 1, "COPYSET_WITHOUT_SELF": 1 << 2, "COPYSET_NOT_IN_NODESET": 1 << 3,
@@ -52,45 +54,70 @@ def digest_mutations(copies: DataFrame, seal_epoch: int) -> DataFrame:
     return out.withColumn("needs_mutation", (F.size("amend") > 0) | (F.size("conflict") > 0))
 
 
-def replica_errors(copies: DataFrame, replication: int) -> DataFrame:
+def replica_errors(copies: DataFrame, replication: int, domains: int = 2, nodesets: DataFrame | None = None) -> DataFrame:
     """(log_id, lsn, n_copies, errors) of records whose copies break a rule; ``errors`` has a bit for each (ERRORS).
 
-    Copies are (log_id, lsn, node, wave, copyset, payload_hash, kind: RECORD, HOLE or BRIDGE, domain).
+    Copies are (log_id, lsn, node, wave, copyset, payload_hash, kind: RECORD, HOLE or BRIDGE, domain).  The
+    latest wave is 0 if there is one, else the greatest.  One of its copysets is accurate if as many of its
+    nodes as copies are asked for hold the record with it, and well replicated if these are in ``domains``
+    domains.  ``nodesets`` (log_id, nodeset: array) tells which nodes a log's copies may name.  A record has a
+    few copies, so one aggregation brings them together.
     """
     key = ["log_id", "lsn"]
-    latest = F.when(F.min("wave").over(Window.partitionBy(*key)) == 0, F.lit(0)).otherwise(F.max("wave").over(Window.partitionBy(*key)))
-    rows = copies.withColumn("_last", F.col("wave") == latest)
-    here = rows.groupBy(*key).agg(F.collect_set("node").alias("_nodes"))
-    rows = rows.join(here, key)
-    accurate = F.size(F.array_intersect("copyset", "_nodes")) >= F.least(F.size("copyset"), F.lit(replication))
+    one = F.struct("node", "wave", F.array_sort("copyset").alias("set"), "payload_hash", "kind", "domain")
+    rows = copies.groupBy(*key).agg(F.collect_list(one).alias("c"))
+    if nodesets is not None:
+        rows = rows.join(nodesets.select("log_id", "nodeset"), "log_id", "left")
+    c = F.col("c")
+    waves = F.transform(c, lambda x: x["wave"])
+    last = F.when(F.array_min(waves) == 0, F.array_min(waves)).otherwise(F.array_max(waves))
+    rows = rows.withColumn("_last", F.filter(c, lambda x: x["wave"] == last))
+    late = F.col("_last")
+    kinds = F.transform(c, lambda x: x["kind"])
+    has = lambda k: F.array_contains(kinds, k)
+    hole, bridge = has("HOLE") & has("RECORD"), has("BRIDGE") & has("RECORD")
+    different = lambda of, f: F.size(F.array_distinct(F.transform(of, f))) > 1
+    holders = lambda x: F.filter(late, lambda y: y["set"] == x["set"])
+    n_of = lambda some, f: F.size(F.array_distinct(F.transform(some, f)))
+    accurate = lambda x: n_of(holders(x), lambda y: y["node"]) >= F.least(F.size(x["set"]), F.lit(replication))
+    good = F.exists(late, lambda x: accurate(x) & (n_of(holders(x), lambda y: y["domain"]) >= domains))
+    spread = n_of(c, lambda y: y["domain"]) >= domains
     bit = lambda test, name: F.when(test, ERRORS[name]).otherwise(0)
-    any_ = lambda c: F.max(c.cast("int")) > 0
-    kind = lambda k: any_(F.col("kind") == k)
-    hole, bridge = kind("HOLE") & kind("RECORD"), kind("BRIDGE") & kind("RECORD")
-    several = lambda c: F.coalesce(F.min(c) < F.max(c), F.lit(False))  # noqa: E731  without the expansion that distinct counts need
-    mismatch = several(F.when(F.col("kind") == "RECORD", F.col("payload_hash")))
     errors = (
-        bit(several(F.when(F.col("_last"), F.array_sort("copyset"))), "DIFFERENT_COPYSET_IN_LATEST_WAVE")
-        + bit(any_(~F.array_contains("copyset", F.col("node"))), "COPYSET_WITHOUT_SELF")
-        + bit(any_(F.size("copyset") < replication), "SMALL_COPYSET")
-        + bit(any_(F.size("copyset") > F.size(F.array_distinct("copyset"))), "DUPLICATES_IN_COPYSET")
-        + bit(~any_(accurate), "NO_ACCURATE_COPYSET")
+        bit(different(late, lambda x: x["set"]), "DIFFERENT_COPYSET_IN_LATEST_WAVE")
+        + bit(F.exists(c, lambda x: ~F.array_contains(x["set"], x["node"])), "COPYSET_WITHOUT_SELF")
+        + bit(F.exists(c, lambda x: F.size(x["set"]) < replication), "SMALL_COPYSET")
+        + bit(F.exists(c, lambda x: F.size(x["set"]) > F.size(F.array_distinct(x["set"]))), "DUPLICATES_IN_COPYSET")
+        + bit(~F.exists(late, accurate), "NO_ACCURATE_COPYSET")
         + bit(hole, "HOLE_RECORD_CONFLICT")
         + bit(bridge, "BRIDGE_RECORD_CONFLICT")
-        + bit(~hole & ~bridge & mismatch, "DATA_MISMATCH")
-        + bit(~several(F.when(F.col("_last"), F.col("domain"))), "BAD_REPLICATION_LAST_WAVE")
-        + bit(~several(F.col("domain")), "BAD_REPLICATION")
+        + bit(~hole & ~bridge & different(F.filter(c, lambda x: x["kind"] == "RECORD"), lambda x: x["payload_hash"]), "DATA_MISMATCH")
+        + bit(~good, "BAD_REPLICATION_LAST_WAVE")
+        + bit(~good & ~spread, "BAD_REPLICATION")
     )
-    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n_copies"), errors.cast("long").alias("errors")).filter("errors > 0")
+    if nodesets is not None:
+        outside = F.exists(c, lambda x: F.size(F.array_except(x["set"], F.col("nodeset"))) > 0)
+        errors = errors + bit(F.col("nodeset").isNotNull() & outside & (F.col("log_id") >= 0), "COPYSET_NOT_IN_NODESET")
+    return rows.select(*key, F.size(c).cast("long").alias("n_copies"), errors.cast("long").alias("errors")).filter("errors > 0")
+
+
+def lost_numbers(found_gaps: DataFrame) -> DataFrame:
+    """(log_id, lsn, n_copies, errors): DATALOSS for each DATALOSS gap (log_id, type, lo, hi), at its first number; n_copies is 0."""
+    return found_gaps.filter(F.col("type") == "DATALOSS").select("log_id", F.col("lo").alias("lsn"), F.lit(0).cast("long").alias("n_copies"), F.lit(ERRORS["DATALOSS"]).cast("long").alias("errors"))
 
 
 def error_counts(found: DataFrame, examples: int = 3) -> DataFrame:
-    """(error, n, examples) of each kind of finding, with the first few records as examples."""
+    """(error, n, examples) of each kind of finding, with the first few records as examples.
+
+    Findings are cut into cells by hash, and of each cell the first few are kept before they come together.
+    """
     names = F.array(*[F.when(F.col("errors").bitwiseAND(b) > 0, F.lit(n)) for n, b in ERRORS.items()])
     rows = found.select("log_id", "lsn", F.explode(F.filter(names, lambda n: n.isNotNull())).alias("error"))
-    w = Window.partitionBy("error").orderBy("log_id", "lsn")
     counts = rows.groupBy("error").agg(F.count(F.lit(1)).alias("n"))
-    few = rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= examples)
+    first = lambda by: Window.partitionBy(*by).orderBy("log_id", "lsn")
+    few = rows.withColumn("_cell", F.pmod(F.xxhash64("log_id", "lsn"), F.lit(1024)))
+    few = few.withColumn("_r", F.row_number().over(first(["error", "_cell"]))).filter(F.col("_r") <= examples)
+    few = few.withColumn("_r", F.row_number().over(first(["error"]))).filter(F.col("_r") <= examples)
     return counts.join(few.groupBy("error").agg(F.sort_array(F.collect_list(F.struct("log_id", "lsn"))).alias("examples")), "error")
 
 
@@ -101,10 +128,10 @@ def delivery_errors(reads: DataFrame) -> DataFrame:
     number met before is DUPLICATE; one below the highest before it is REORDERING; a bad checksum is
     CHECKSUM_MISMATCH and counts for nothing else.
     """
-    w = Window.partitionBy("log_id", "writer_id").orderBy("read_pos").rowsBetween(Window.unboundedPreceding, -1)
     good = F.col("good")
     once = Window.partitionBy("log_id", "writer_id", "seq", "good").orderBy("read_pos")
-    rows = reads.withColumn("_times", F.row_number().over(once)).withColumn("_high", F.max(F.when(good, F.col("seq"))).over(w))
+    rows = cells.running(reads, ["log_id", "writer_id"], "read_pos", F.when(good, F.col("seq")), "max", "_high", before=True)
+    rows = rows.withColumn("_times", F.row_number().over(once))
     error = F.when(~good, "CHECKSUM_MISMATCH").when(F.col("_times") > 1, "DUPLICATE").when(F.col("seq") < F.col("_high"), "REORDERING")
     return rows.select("log_id", "writer_id", "read_pos", error.alias("error")).filter(F.col("error").isNotNull())
 
@@ -117,20 +144,47 @@ def lost_records(acked: DataFrame, reads: DataFrame) -> DataFrame:
     return rows.select("log_id", "writer_id", "seq", error.alias("error")).filter(F.col("error").isNotNull())
 
 
-def f_majority(shards: DataFrame, replication: int) -> DataFrame:
-    """(log_id, n_domains, n_present, outcome) of shards (log_id, domain, status, present).
+def lost_acks(reads: DataFrame, acks: DataFrame) -> DataFrame:
+    """(log_id, writer_id, seq, error): LOST_ACK for what was read but not acknowledged by the time its writer had nothing as old in flight.
 
-    Present shards are a majority if the absent ones can't hold all copies of a record in as many domains.
-    Shards that lost their data (EMPTY) don't count; those that may have some (UNAVAILABLE) make a result
-    that rests on them non-authoritative.
+    ``reads`` has log_id, writer_id, read_pos, seq and oldest_in_flight, ``acks`` log_id, writer_id, seq and the
+    read_pos of the record that carried the acknowledgement.  A record is due at the first record read from
+    its own place on whose oldest number in flight is above its own; numbers in flight only grow along a log.
     """
-    by = shards.groupBy("log_id", "domain").agg(
-        F.bool_and(F.col("present") | (F.col("status") == "EMPTY")).alias("_covered"), F.bool_and((F.col("status") == "EMPTY") | F.col("present") | (F.col("status") == "UNAVAILABLE")).alias("_weak")
-    )
-    missing, strong = F.sum((~F.col("_covered")).cast("int")), F.sum((~F.col("_weak")).cast("int"))
-    none = missing == 0
-    outcome = F.when(none, "AUTHORITATIVE_COMPLETE").when(missing < replication, "AUTHORITATIVE_INCOMPLETE").when(strong < replication, "NON_AUTHORITATIVE").otherwise("NO_MAJORITY")
-    return by.groupBy("log_id").agg(F.count(F.lit(1)).alias("n_domains"), F.sum(F.col("_covered").cast("int")).alias("n_present"), outcome.alias("outcome"))
+    by = ["log_id", "writer_id"]
+    first = reads.groupBy(*by, "seq").agg(F.min("read_pos").alias("read_pos"))
+    asked = first.select(*by, F.col("seq").alias("_v"), F.lit(0).alias("_asks"), "seq", "read_pos", F.lit(None).cast("long").alias("_pos"))
+    bounds = reads.groupBy(*by, F.col("oldest_in_flight").alias("_v")).agg(F.min("read_pos").alias("_pos"))
+    bounds = bounds.select(*by, (F.col("_v") - 1).alias("_v"), F.lit(1).alias("_asks"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("long").alias("read_pos"), "_pos")
+    # the first place whose bound is above a number: the least over all greater bounds, from the top down
+    down = asked.unionByName(bounds).withColumn("_down", -2 * F.col("_v") + 1 - F.col("_asks"))
+    due = cells.running(down, by, "_down", F.col("_pos"), "min", "_due").filter("_asks = 0")
+    seen = acks.groupBy(*by, "seq").agg(F.min("read_pos").alias("_acked"))
+    late = F.col("_due").isNotNull() & (F.col("_acked").isNull() | (F.col("_acked") > F.greatest("_due", "read_pos")))
+    return due.join(seen, [*by, "seq"], "left").filter(late).select(*by, "seq", F.lit("LOST_ACK").alias("error"))
+
+
+def f_majority(shards: DataFrame, replication: dict[str, int]) -> DataFrame:
+    """(log_id, outcome) of which shards of a log's storage set answered.
+
+    ``shards`` has log_id, shard, status, present and domains (a map from scope to the shard's domain).  A
+    scope with replication R has a majority if all but R - 1 of its domains with data are complete: a
+    complete domain's shards with data are all fully authoritative and present, and there is one.  One scope is enough.  The
+    answer is complete if all fully authoritative shards are present.  UNDERREPLICATION shards are never
+    complete; AUTHORITATIVE_EMPTY ones have no data.
+    """
+    full, empty = F.col("status") == "FULLY_AUTHORITATIVE", F.col("status") == "AUTHORITATIVE_EMPTY"
+    wanted = F.create_map(*[x for k, v in replication.items() for x in (F.lit(k), F.lit(v))])
+    by_domain = shards.select("log_id", F.explode("domains").alias("scope", "domain"), "status", "present").filter(F.col("scope").isin(list(replication)))
+    by_domain = by_domain.groupBy("log_id", "scope", "domain").agg(F.count(F.lit(1)).alias("_n"), F.sum((full & F.col("present")).cast("int")).alias("_here"), F.sum(empty.cast("int")).alias("_empty"))
+    complete = (F.col("_here") > 0) & (F.col("_here") + F.col("_empty") == F.col("_n"))
+    scopes = by_domain.groupBy("log_id", "scope").agg(F.sum(complete.cast("int")).alias("_complete"), F.sum((F.col("_empty") < F.col("_n")).cast("int")).alias("_with_data"))
+    enough = F.col("_complete") >= F.greatest(F.col("_with_data") - wanted[F.col("scope")] + 1, F.lit(0))
+    majority = scopes.groupBy("log_id").agg(F.bool_or(enough).alias("_majority"))
+    whole = shards.groupBy("log_id").agg((F.sum((full & F.col("present")).cast("int")) == F.sum(full.cast("int"))).alias("_all"))
+    m, a = F.col("_majority"), F.col("_all")
+    outcome = F.when(m & a, "AUTHORITATIVE_COMPLETE").when(m, "AUTHORITATIVE_INCOMPLETE").when(a, "NON_AUTHORITATIVE").otherwise("NONE")
+    return majority.join(whole, "log_id").select("log_id", outcome.alias("outcome"))
 
 
 def capacity_loss(nodes: DataFrame, percent: float) -> DataFrame:
@@ -143,15 +197,20 @@ def capacity_loss(nodes: DataFrame, percent: float) -> DataFrame:
 
 
 def impact(epochs: DataFrame, shards: DataFrame, replication: int) -> DataFrame:
-    """(log_id, epoch, n_left, writes_lost, reads_lost) for epochs (log_id, epoch, shards: array) if some shards go.
+    """(log_id, epoch, n_left, writes_lost, reads_lost, rebuild_lost) for epochs (log_id, epoch, shards: array) if some shards go.
 
-    ``shards`` has shard, writable and readable as they would be.  Writes need as many shards as copies;
-    reads need more than all but so many.
+    ``shards`` has shard, writable and readable as they would be, and may have a domain.  Writes need as many
+    shards as copies, in as many domains if domains are given; reads need more than all but so many; rebuilding
+    a lost shard needs a readable copy to read and as many writable shards as copies among the readable ones.
     """
     rows = epochs.select("log_id", "epoch", F.explode("shards").alias("shard")).join(shards, "shard", "left")
-    ok = lambda c: F.sum(F.coalesce(F.col(c), F.lit(False)).cast("int"))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    ok = lambda c: F.sum(flag(c).cast("int"))
+    place = F.col("domain") if "domain" in shards.columns else F.col("shard")
+    writable = F.count_distinct(F.when(flag("writable"), place))
     return rows.groupBy("log_id", "epoch").agg(
-        ok("readable").alias("n_left"), (ok("writable") < replication).alias("writes_lost"), (ok("readable") < F.count(F.lit(1)) - replication + 1).alias("reads_lost")
+        ok("readable").alias("n_left"), (writable < replication).alias("writes_lost"), (ok("readable") < F.count(F.lit(1)) - replication + 1).alias("reads_lost"),
+        ((ok("readable") == 0) | (F.sum((flag("writable") & flag("readable")).cast("int")) < replication)).alias("rebuild_lost"),
     )
 
 
@@ -172,6 +231,56 @@ def epoch_metadata(epochs: DataFrame, metadata: DataFrame) -> DataFrame:
     return all_.withColumn("_f", F.coalesce(back, ahead)).filter("_q = 1").select("log_id", "epoch", "_f.*")
 
 
+def storage_sets(metadata: DataFrame, asked: DataFrame) -> DataFrame:
+    """(log_id, lo, hi, nodes): all nodes that hold records of the epochs lo to hi (``asked``: log_id, lo, hi).
+
+    ``metadata`` (log_id, since, nodes: array) holds from its epoch up to the next one's; the first also before.
+    """
+    w = Window.partitionBy("log_id").orderBy("since")
+    spans = metadata.select("log_id", F.when(F.row_number().over(w) == 1, F.lit(0)).otherwise(F.col("since")).alias("_from"), (F.lead("since").over(w) - 1).alias("_to"), "nodes")
+    met = asked.join(spans, "log_id").filter((F.col("_from") <= F.col("hi")) & (F.col("_to").isNull() | (F.col("_to") >= F.col("lo"))))
+    return met.groupBy("log_id", "lo", "hi").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("nodes")))).alias("nodes"))
+
+
+def rebuilding_plan(metadata: DataFrame, logs: DataFrame, lost: list[int]) -> DataFrame:
+    """(log_id, since_epoch, until_epoch) of what must be rebuilt when the nodes of ``lost`` lose their data.
+
+    ``metadata`` is as for ``storage_sets``; ``logs`` (log_id, oldest_epoch, last_epoch) bounds each log's
+    epochs by retention and by its tail.  Stretches of epochs whose nodes include a lost one, as far as
+    they are within the bounds, are put together where they adjoin.
+    """
+    w = Window.partitionBy("log_id").orderBy("since")
+    spans = metadata.select("log_id", F.when(F.row_number().over(w) == 1, F.lit(0)).otherwise(F.col("since")).cast("long").alias("_from"), (F.lead("since").over(w) - 1).alias("_to"), "nodes")
+    hit = spans.filter(F.arrays_overlap("nodes", F.array(*[F.lit(n).cast("long") for n in lost])))
+    rows = hit.join(logs, "log_id").select("log_id", F.greatest("_from", "oldest_epoch").alias("lo"), F.least(F.coalesce("_to", "last_epoch"), "last_epoch").alias("hi")).filter("lo <= hi")
+    return merged_ranges(rows, ["log_id"]).select("log_id", F.col("lo").alias("since_epoch"), F.col("hi").alias("until_epoch"))
+
+
+def common_ranges(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., lo, hi): what is in the ranges of both sides; each side's own ranges are merged first."""
+    x = merged_ranges(a, by)
+    y = merged_ranges(b, by).withColumnsRenamed({"lo": "_lo", "hi": "_hi"})
+    both = x.join(y, by).filter((F.col("lo") <= F.col("_hi")) & (F.col("_lo") <= F.col("hi")))
+    return both.select(*by, F.greatest("lo", "_lo").alias("lo"), F.least("hi", "_hi").alias("hi"))
+
+
+def ranges_without(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., lo, hi): what is in the ranges of ``a`` and in none of ``b``."""
+    x = merged_ranges(a, by)
+    cut = common_ranges(a, b, by).withColumnsRenamed({"lo": "_lo", "hi": "_hi"})
+    cut = cut.withColumnsRenamed({b: f"_by{i}" for i, b in enumerate(by)})
+    within = (F.col("_lo") >= F.col("lo")) & (F.col("_hi") <= F.col("hi"))
+    for i, b in enumerate(by):
+        within = within & F.col(b).eqNullSafe(F.col(f"_by{i}"))
+    rows = x.join(cut, within, "left")
+    w = Window.partitionBy(*by, "lo", "hi").orderBy("_lo")
+    first = F.row_number().over(w) == 1
+    pieces = rows.withColumn("_next", F.lead("_lo").over(w)).withColumn("_first", first)
+    head = pieces.filter(F.col("_first") & (F.col("_lo").isNull() | (F.col("_lo") > F.col("lo")))).select(*by, "lo", F.coalesce(F.col("_lo") - 1, "hi").alias("hi"))
+    rest = pieces.filter(F.col("_lo").isNotNull()).select(*by, (F.col("_hi") + 1).alias("lo"), F.coalesce(F.col("_next") - 1, "hi").alias("hi")).filter("lo <= hi")
+    return head.unionByName(rest)
+
+
 def merged_ranges(ranges: DataFrame, by: list[str]) -> DataFrame:
     """(by..., lo, hi): ranges that overlap or touch as one."""
     w = Window.partitionBy(*by).orderBy("lo", "hi")
@@ -181,16 +290,58 @@ def merged_ranges(ranges: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by, "_i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_i")
 
 
-def nodesets(logs: DataFrame, nodes: DataFrame, size: int, seed: str = "nodeset") -> DataFrame:
-    """(log_id, node, place): for each log its ``size`` nodes by weighted rendezvous hashing.
+#: Nodes of a cluster, whose list is brought to each log to choose from; more are refused.
+MOST_NODES = 100_000
+
 
-    ``nodes`` (node, weight) is a cluster's list of nodes.  A log keeps its nodes when others come or go.
+def nodesets(logs: DataFrame, nodes: DataFrame, size: int, seed: str = "nodeset", how: str = "consistent") -> DataFrame:
+    """(log_id, node, place): for each log its ``size`` nodes.
+
+    ``nodes`` (node, weight, and domain for some) is a cluster's list of nodes, MOST_NODES at most.  Kinds:
+    ``all`` nodes of positive weight; ``consistent``, by weighted rendezvous hashing, so that a log keeps its
+    nodes when others come or go; ``random``, the same with equal weights; ``cross_domain``, random with the
+    first nodes from different domains, round by round; ``weight_aware``, by weight in rounds over the domains.
     """
-    u = (F.xxhash64(F.lit(seed), "log_id", "node").bitwiseAND((1 << 53) - 1).cast("double") + 1) / float(1 << 53)
-    listed = nodes.filter("weight > 0").agg(F.collect_list(F.struct("node", "weight")).alias("_nodes"))
+    if how not in ("all", "consistent", "random", "cross_domain", "weight_aware"):
+        raise ValueError(how)
+    columns = ["node", "weight", "domain"] if "domain" in nodes.columns else ["node", "weight"]
+    if how in ("cross_domain", "weight_aware") and "domain" not in columns:
+        raise ValueError(f"{how} needs the nodes' domains")
+    alive = nodes.filter("weight > 0").select(*columns)
+    if alive.count() > MOST_NODES:
+        raise ValueError(f"more than {MOST_NODES} nodes")
+    listed = alive.agg(F.collect_list(F.struct(*columns)).alias("_nodes"))
     scored = logs.select("log_id").join(F.broadcast(listed)).select("log_id", F.explode("_nodes").alias("_n")).select("log_id", "_n.*")
-    w = Window.partitionBy("log_id").orderBy((-F.log(u) / F.col("weight")).asc(), "node")
-    return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= size).select("log_id", "node", "place")
+    u = (F.xxhash64(F.lit(seed), "log_id", "node").bitwiseAND((1 << 53) - 1).cast("double") + 1) / float(1 << 53)
+    weight = F.lit(1.0) if how in ("random", "cross_domain") else F.col("weight")
+    scored = scored.withColumn("_s", F.col("node").cast("double") if how == "all" else -F.log(u) / weight)
+    if how in ("cross_domain", "weight_aware"):
+        scored = scored.withColumn("_round", F.row_number().over(Window.partitionBy("log_id", "domain").orderBy("_s", "node")))
+    else:
+        scored = scored.withColumn("_round", F.lit(0))
+    placed = scored.withColumn("place", F.row_number().over(Window.partitionBy("log_id").orderBy("_round", "_s", "node")))
+    return (placed if how == "all" else placed.filter(F.col("place") <= size)).select("log_id", "node", "place")
+
+
+def tolerable_failures(groups: DataFrame) -> DataFrame:
+    """(scope, factor, tolerable): the least replication of any group (replication: map scope -> factor) in each scope, and how many domains may fail."""
+    least = groups.select(F.explode("replication").alias("scope", "factor")).groupBy("scope").agg(F.min("factor").alias("factor"))
+    return least.select("scope", "factor", (F.col("factor") - 1).alias("tolerable"))
+
+
+def maintenances(found: DataFrame, shards: list[str] | None = None, users: list[str] | None = None, status: list[str] | None = None) -> DataFrame:
+    """(group_id, user, status, n_shards, shards, expires) of maintenances (group_id, user, status, shard, expires), by any of the filters.
+
+    A group is shown as a whole if one of its shards is asked for; its status is the least advanced of its shards'.
+    """
+    order = ["BLOCKED_UNTIL_SAFE", "AWAITING_NODES_CONFIG_CHANGES", "AWAITING_START_DATA_MIGRATION", "STARTED", "COMPLETED"]
+    step = F.array_position(F.array(*[F.lit(o) for o in order]), F.col("status"))
+    rows = found.groupBy("group_id", "user").agg(F.min_by("status", step).alias("status"), F.count_distinct("shard").alias("n_shards"), F.array_join(F.array_sort(F.collect_set("shard")), ",").alias("shards"), F.max("expires").alias("expires"))
+    if shards:
+        rows = rows.join(found.filter(F.col("shard").isin(shards)).select("group_id").distinct(), "group_id", "left_semi")
+    if users:
+        rows = rows.filter(F.col("user").isin(users))
+    return rows.filter(F.col("status").isin(status)) if status else rows
 
 
 def narrowest_replication(groups: DataFrame) -> DataFrame:
@@ -198,17 +349,36 @@ def narrowest_replication(groups: DataFrame) -> DataFrame:
     return groups.select(F.explode("replication").alias("scope", "factor")).groupBy("scope").agg(F.max("factor").alias("factor"))
 
 
-def copyset_filter(records: DataFrame, required: list[int]) -> DataFrame:
-    """Copies that a reader asks for: those with any of the ``required`` nodes in their copyset; holes always, drained ones never."""
+def copyset_filter(records: DataFrame, required: list[int], single: bool = False) -> DataFrame:
+    """Copies that a reader asks for: those with any of the ``required`` nodes in their copyset; holes always, drained ones never.
+
+    With ``single`` each record comes from one node alone: the first of its copyset, in its own order by a hash of the record, that is there.
+    """
     asked = F.arrays_overlap("copyset", F.array(*[F.lit(n).cast("long") for n in required]))
-    return records.filter((F.col("kind") == "HOLE") | (asked & ~F.coalesce(F.col("drained"), F.lit(False))))
+    out = records.filter((F.col("kind") == "HOLE") | (asked & ~F.coalesce(F.col("drained"), F.lit(False))))
+    if not single:
+        return out
+    turn = F.struct(F.xxhash64("log_id", "lsn", "node"), F.col("node"))
+    chosen = out.groupBy("log_id", "lsn").agg(F.min_by("node", turn).alias("_node"))
+    return out.join(chosen, ["log_id", "lsn"]).filter(F.col("node") == F.col("_node")).drop("_node")
 
 
 def cluster_state(replies: DataFrame) -> DataFrame:
-    """(node_id, status, dead_nodes) of nodes' views (node_id, reply, peer, peer_alive): ALIVE, SUSPECT or DEAD by the reply."""
+    """(node_id, status, dead_nodes, boycotted_nodes, unhealthy_nodes, overloaded_nodes) of nodes' views.
+
+    ``replies`` has node_id, reply, peer and peer_alive, and may have peer_boycotted and peer_health (HEALTHY,
+    UNHEALTHY, OVERLOADED).  A node is ALIVE, SUSPECT or DEAD by its reply; lists are in order, with commas.
+    """
     status = F.when(F.col("reply") == "OK", "ALIVE").when(F.col("reply") == "TIMEOUT", "SUSPECT").otherwise("DEAD")
-    dead = F.sort_array(F.collect_set(F.when(~F.col("peer_alive"), F.col("peer"))))
-    return replies.groupBy("node_id").agg(F.first(status).alias("status"), F.array_join(F.transform(dead, lambda d: d.cast("string")), ",").alias("dead_nodes"))
+    no = F.lit(False)
+    of = lambda c, test: test if c in replies.columns else no
+    tests = {
+        "dead_nodes": ~F.col("peer_alive"), "boycotted_nodes": of("peer_boycotted", F.col("peer_boycotted") if "peer_boycotted" in replies.columns else no),
+        "unhealthy_nodes": of("peer_health", F.col("peer_health") == "UNHEALTHY" if "peer_health" in replies.columns else no),
+        "overloaded_nodes": of("peer_health", F.col("peer_health") == "OVERLOADED" if "peer_health" in replies.columns else no),
+    }
+    listed = lambda test: F.array_join(F.transform(F.sort_array(F.collect_set(F.when(test, F.col("peer")))), lambda d: d.cast("string")), ",")
+    return replies.groupBy("node_id").agg(F.min(status).alias("status"), *[listed(t).alias(n) for n, t in tests.items()])
 
 
 def shard_status(events: DataFrame) -> DataFrame:
@@ -218,20 +388,38 @@ def shard_status(events: DataFrame) -> DataFrame:
     UNAVAILABLE; acknowledged by its node, FULLY_AUTHORITATIVE again.  Rebuilt counts only after it was
     asked for.
     """
-    ordered = F.sort_array(F.collect_list(F.struct("version", "kind")))
-
-    def step(now: Column, e: Column) -> Column:
-        return (
-            F.when(e["kind"] == "NEEDS_REBUILD", "UNDERREPLICATION").when((e["kind"] == "REBUILT") & (now == "UNDERREPLICATION"), "AUTHORITATIVE_EMPTY")
-            .when(e["kind"] == "LOST", "UNAVAILABLE").when(e["kind"] == "ACK", "FULLY_AUTHORITATIVE").otherwise(now)
-        )
+    turn = F.when(F.col("kind").isin("NEEDS_REBUILD", "LOST", "ACK"), F.col("version"))
+    rows = events.groupBy("shard").agg(F.max_by("kind", turn).alias("_k"), F.max(turn).alias("_at"), F.max(F.when(F.col("kind") == "REBUILT", F.col("version"))).alias("_done"), F.max("version").alias("version"))
+    needs = (F.col("_at").isNotNull()) & (F.col("_k") == "NEEDS_REBUILD")
+    status = F.when(needs & (F.col("_done") > F.col("_at")), "AUTHORITATIVE_EMPTY").when(needs, "UNDERREPLICATION").when(F.col("_at").isNotNull() & (F.col("_k") == "LOST"), "UNAVAILABLE").otherwise("FULLY_AUTHORITATIVE")
+    return rows.select("shard", status.alias("status"), "version")
 
-    return events.groupBy("shard").agg(F.aggregate(ordered, F.lit("FULLY_AUTHORITATIVE"), step).alias("status"), F.max("version").alias("version"))
 
+def boycotts(reports: DataFrame, most: int, duration_sec: float, spread_sec: float = 0.0, longest_sec: float | None = None, calm_sec: float | None = None) -> DataFrame:
+    """(cluster, node, since, until) of boycotts that follow from outlier reports (cluster, node, at), in seconds, in order of their time.
 
-def boycotts(reports: DataFrame, window_sec: int, most: int) -> DataFrame:
-    """(node, ts) of reports (node, ts) that lead to a boycott: at most ``most`` nodes within a window, the first reported first."""
-    slot = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / window_sec)
-    first = reports.groupBy(slot.alias("_slot"), "node").agg(F.min("ts").alias("ts"))
-    w = Window.partitionBy("_slot").orderBy("ts", "node")
-    return first.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).select("node", "ts")
+    A report of a node that isn't boycotted, while fewer than ``most`` nodes are, boycotts it from ``spread_sec`` later on,
+    for ``duration_sec``.  With ``longest_sec`` the duration adapts: each further boycott of a node doubles it,
+    up to that, and each ``calm_sec`` that pass without one halve it again.  What a cluster decides depends on
+    all it decided before, so its reports, one for each suspicion of a node, are one group.
+    """
+    import pandas as pd
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        until: dict[int, float] = {}
+        length: dict[int, float] = {}
+        out = []
+        for node, at in pdf.sort_values(["at", "node"])[["node", "at"]].itertuples(index=False):
+            active = sum(t >= at for t in until.values())
+            if active >= most or until.get(node, -1.0) >= at:
+                continue
+            span = duration_sec
+            if longest_sec is not None and node in length:
+                quiet = int((at - until[node]) // calm_sec) if calm_sec else 0
+                span = min(longest_sec, max(duration_sec, length[node] * 2 / 2**quiet))
+            length[node], until[node] = span, at + spread_sec + span
+            out.append((pdf["cluster"].iloc[0], node, at + spread_sec, until[node]))
+        return pd.DataFrame(out, columns=["cluster", "node", "since", "until"])
+
+    columns = reports.select(F.col("cluster").cast("long").alias("cluster"), F.col("node").cast("long").alias("node"), F.col("at").cast("double").alias("at"))
+    return columns.groupBy("cluster").applyInPandas(decide, "cluster long, node long, since double, until double")

@@ -5,14 +5,11 @@ Records of a log are ordered by lsn; there is no order between logs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweir.functions.lsn import lsn_to_epoch, lsn_to_esn
-
-
-def in_log() -> WindowSpec:
-    return Window.partitionBy("log_id").orderBy("lsn")
+from logweir.functions.lsn import LSN_OLDEST, lsn_to_epoch, lsn_to_esn
+from logweir.operators import cells
 
 
 def range_read(records: DataFrame, since: int, until: int, logs: list[int] | None = None) -> DataFrame:
@@ -39,37 +36,42 @@ def passes(kind: str, low: str, high: str | None = None) -> Column:
 
 def filtered_out_gaps(records: DataFrame, test: Column) -> DataFrame:
     """(log_id, lo, hi) of runs of filtered records whose numbers follow each other, none between."""
-    out = records.filter(~test).select("log_id", "lsn")
-    run = F.col("lsn") - F.row_number().over(in_log())
-    return out.withColumn("_run", run).groupBy("log_id", "_run").agg(F.min("lsn").alias("lo"), F.max("lsn").alias("hi")).drop("_run")
+    return cells.runs(records.filter(~test).select("log_id", "lsn"), ["log_id"], "lsn")
 
 
 def gaps(records: DataFrame) -> DataFrame:
     """(log_id, lo, hi) of the numbers missing between records of a log, bounds included."""
-    following = F.lead("lsn").over(in_log())
-    return records.select("log_id", "lsn", following.alias("_next")).filter(F.col("_next") > F.col("lsn") + 1).select("log_id", (F.col("lsn") + 1).alias("lo"), (F.col("_next") - 1).alias("hi"))
+    found = cells.steps(records.select("log_id", "lsn"), ["log_id"], "lsn")
+    return found.select("log_id", (F.col("before") + 1).alias("lo"), (F.col("after") - 1).alias("hi"))
 
 
-def typed_gaps(records: DataFrame, trims: DataFrame, since: int = 1, until: int | None = None, window: int = 1) -> DataFrame:
+def typed_gaps(records: DataFrame, trims: DataFrame, since: int = 1, until: int | None = None, window: int = 1, lost: DataFrame | None = None) -> DataFrame:
     """(log_id, type, lo, hi) of what a reader finds missing from ``since`` on.
 
     ``trims`` (log_id, trim_point) says up to where a log was trimmed.  A stretch that the trim point
-    divides is a TRIM gap up to it and another gap behind it.  A gap up to the trim point is TRIM; one
+    divides is a TRIM gap up to it and another gap behind it.  A gap in an epoch of ``lost`` (log_id, epoch),
+    of which no shard is authoritative, is DATALOSS.  Else a gap up to the trim point is TRIM; one
     before a record that is among the first ``window`` of an epoch, with nothing of that epoch delivered
     before, is BRIDGE; one within an epoch is DATALOSS; other changes of epoch are BRIDGE.  Gaps end at
     ``until``.
     """
-    before = F.lag("lsn").over(in_log())
-    rows = records.filter(F.col("lsn") >= since).select("log_id", F.col("lsn").alias("_g"), (F.coalesce(before, F.lit(since - 1)) + 1).alias("_n"), before.isNull().alias("_fresh"))
-    rows = rows.filter(F.col("_n") < F.col("_g")).join(trims, "log_id", "left").withColumn("_t", F.coalesce("trim_point", F.lit(0)))
+    some = records.filter(F.col("lsn") >= since).select("log_id", "lsn")
+    inner = gaps(some).select("log_id", F.col("lo").alias("_n"), (F.col("hi") + 1).alias("_g"), F.lit(False).alias("_fresh"))
+    first = some.groupBy("log_id").agg(F.min("lsn").alias("_g")).filter(F.col("_g") > since)
+    rows = inner.unionByName(first.select("log_id", F.lit(since).cast("long").alias("_n"), "_g", F.lit(True).alias("_fresh")))
+    rows = rows.join(trims, "log_id", "left").withColumn("_t", F.coalesce("trim_point", F.lit(0)))
     split = (F.col("_n") <= F.col("_t")) & (F.col("_t") + 1 < F.col("_g"))
     piece = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
     whole = F.array(piece(F.col("_n"), F.col("_g") - 1))
     parts = F.when(split, F.array(piece(F.col("_n"), F.col("_t")), piece(F.col("_t") + 1, F.col("_g") - 1))).otherwise(whole)
-    rows = rows.withColumn("_p", F.explode(parts)).select("*", "_p.*")
+    rows = rows.withColumn("_p", F.explode(parts)).select("*", "_p.*").withColumn("_dead", F.lit(False))
+    if lost is not None:
+        dead = lost.select(F.col("log_id").alias("_l"), F.col("epoch").alias("_e")).distinct()
+        rows = rows.drop("_dead").join(dead, (F.col("log_id") == F.col("_l")) & (lsn_to_epoch(F.col("lo")) == F.col("_e")), "left").withColumn("_dead", F.col("_e").isNotNull())
     epoch_next, epoch_lo, epoch_done = lsn_to_epoch(F.col("_g")), lsn_to_epoch(F.col("lo")), lsn_to_epoch(F.col("lo") - 1)
     kind = (
-        F.when(F.col("hi") <= F.col("_t"), "TRIM")
+        F.when(F.col("_dead"), "DATALOSS")
+        .when(F.col("hi") <= F.col("_t"), "TRIM")
         .when((lsn_to_esn(F.col("_g")) <= window) & (F.col("_fresh") | (epoch_done < epoch_next)), "BRIDGE")
         .when(epoch_next == epoch_lo, "DATALOSS")
         .otherwise("BRIDGE")
@@ -79,16 +81,32 @@ def typed_gaps(records: DataFrame, trims: DataFrame, since: int = 1, until: int
     return out if until is None else out.filter(F.col("lo") <= until)
 
 
-def find_time(records: DataFrame, at: Column, trims: DataFrame | None = None) -> DataFrame:
-    """(log_id, lsn): the first number at or after a time; past the last record, the number that comes next."""
-    return records.groupBy("log_id").agg(F.coalesce(F.min(F.when(F.col("ts") >= at, F.col("lsn"))), F.max("lsn") + 1).alias("lsn"))
+def find_time(records: DataFrame, at: Column, trims: DataFrame | None = None, logs: DataFrame | None = None) -> DataFrame:
+    """(log_id, lsn) from which on all records at or after a time are read.
 
+    It is the first record at or after the time; past the last record, the number that comes next; before the
+    first, the number behind the trim point.  ``logs`` (log_id) may name logs without records, whose
+    answer is the oldest number.  Records up to the trim point of ``trims`` (log_id, trim_point) don't count.
+    """
+    alive = records.select("log_id", "lsn", "ts")
+    if trims is not None:
+        alive = trimmed(alive, trims)
+    found = alive.groupBy("log_id").agg(F.min(F.when(F.col("ts") >= at, F.col("lsn"))).alias("_first"), F.max("lsn").alias("_last"), F.min_by("ts", "lsn").alias("_oldest"))
+    every = (logs if logs is not None else records).select("log_id").distinct().join(found, "log_id", "left")
+    if trims is not None:
+        every = every.join(trims.groupBy("log_id").agg(F.max("trim_point").alias("_trim")), "log_id", "left")
+    else:
+        every = every.withColumn("_trim", F.lit(0))
+    lsn = F.when(F.col("_last").isNull(), F.lit(LSN_OLDEST)).when(F.col("_oldest") > at, F.coalesce("_trim", F.lit(0)) + 1).otherwise(F.coalesce("_first", F.col("_last") + 1))
+    return every.select("log_id", lsn.cast("long").alias("lsn"))
 
-def find_time_approximate(records: DataFrame, at: Column, partition: str = "day") -> DataFrame:
-    """(log_id, lsn): the first number of the newest time partition that starts at or before a time."""
-    start = F.date_trunc(partition, "ts").cast("timestamp_ntz")
-    directory = records.groupBy("log_id", start.alias("_start")).agg(F.min("lsn").alias("_first"))
-    return directory.groupBy("log_id").agg(F.coalesce(F.max_by("_first", F.when(F.col("_start") <= at, F.col("_start"))), F.min("_first")).alias("lsn"))
+
+def find_time_approximate(directory: DataFrame, at: Column) -> DataFrame:
+    """(log_id, lsn): the first number of a log in its newest time partition that starts at or before a time.
+
+    Only the partition directory (log_id, start, first_lsn, ...) is read, see ``partition_directory``.
+    """
+    return directory.groupBy("log_id").agg(F.coalesce(F.max_by("first_lsn", F.when(F.col("start") <= at, F.col("start"))), F.min("first_lsn")).alias("lsn"))
 
 
 def find_key(records: DataFrame, key: str, column: str = "find_key") -> DataFrame:
@@ -116,8 +134,10 @@ def head_attributes(records: DataFrame, trims: DataFrame) -> DataFrame:
     return trims.join(after, "log_id", "left").select("log_id", "trim_point", "trim_point_timestamp")
 
 
-def empty_logs(logs: DataFrame, records: DataFrame, trims: DataFrame) -> DataFrame:
-    """The log_ids of ``logs`` without a record behind the trim point."""
+def empty_logs(logs: DataFrame, records: DataFrame, trims: DataFrame, pseudo: Column | None = None) -> DataFrame:
+    """The log_ids of ``logs`` without a record behind the trim point; those for which ``pseudo`` holds (bridges, holes) aren't records."""
+    if pseudo is not None:
+        records = records.filter(~F.coalesce(pseudo, F.lit(False)))
     alive = records.join(trims, "log_id", "left").filter(F.col("lsn") > F.coalesce("trim_point", F.lit(0)))
     return logs.select("log_id").distinct().join(alive.select("log_id"), "log_id", "left_anti")
 
@@ -170,31 +190,89 @@ def obsolete_partitions(directory: DataFrame, trims: DataFrame) -> DataFrame:
 
 def byte_offsets(records: DataFrame) -> DataFrame:
     """(log_id, lsn, byte_offset): bytes of the log up to and with each record."""
-    return records.select("log_id", "lsn", F.sum("payload_size").over(in_log()).cast("long").alias("byte_offset"))
+    summed = cells.running(records.select("log_id", "lsn", "payload_size"), ["log_id"], "lsn", F.col("payload_size").cast("long"), "sum", "byte_offset")
+    return summed.select("log_id", "lsn", F.col("byte_offset").cast("long").alias("byte_offset"))
 
 
 def batches(records: DataFrame, size: int) -> DataFrame:
     """(log_id, batch, first_lsn, n, bytes, payloads): records of a log in batches of about ``size`` bytes, in order."""
-    at = F.floor((F.sum("payload_size").over(in_log()) - F.col("payload_size")) / size)
-    rows = records.select("log_id", "lsn", "payload", "payload_size", at.cast("long").alias("batch"))
+    rows = cells.running(records.select("log_id", "lsn", "payload", "payload_size"), ["log_id"], "lsn", F.col("payload_size").cast("long"), "sum", "_sum", before=True)
+    rows = rows.withColumn("batch", F.floor(F.col("_sum") / size).cast("long"))
     item = F.sort_array(F.collect_list(F.struct("lsn", "payload")))
     return rows.groupBy("log_id", "batch").agg(F.min("lsn").alias("first_lsn"), F.count(F.lit(1)).alias("n"), F.sum("payload_size").cast("long").alias("bytes"), F.transform(item, lambda s: s["payload"]).alias("payloads"))
 
 
+def timed_batches(records: DataFrame, size: int, seconds: int) -> DataFrame:
+    """As ``batches``, but a batch also ends with each stretch of ``seconds``: (log_id, stretch, batch, first_lsn, n, bytes, payloads)."""
+    stretch = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / seconds).cast("long")
+    rows = records.select("log_id", "lsn", "payload", "payload_size", stretch.alias("stretch"))
+    rows = cells.running(rows, ["log_id", "stretch"], "lsn", F.col("payload_size").cast("long"), "sum", "_sum", before=True).withColumn("batch", F.floor(F.col("_sum") / size).cast("long"))
+    item = F.sort_array(F.collect_list(F.struct("lsn", "payload")))
+    return rows.groupBy("log_id", "stretch", "batch").agg(F.min("lsn").alias("first_lsn"), F.count(F.lit(1)).alias("n"), F.sum("payload_size").cast("long").alias("bytes"), F.transform(item, lambda s: s["payload"]).alias("payloads"))
+
+
+def sequenced(appends: DataFrame, size: int, passthrough: int) -> DataFrame:
+    """(log_id, batch, first_lsn, n, bytes, payloads) as a log's sequencer batches appends; larger ones than ``passthrough`` bytes go alone.
+
+    An append that goes alone ends the batch before it, so numbers stay in order.
+    """
+    big = (F.col("payload_size") > passthrough).cast("long")
+    rows = appends.select("log_id", "lsn", "payload", "payload_size").withColumn("_big", big)
+    rows = cells.running(rows, ["log_id"], "lsn", F.col("_big"), "sum", "_upto")
+    rows = rows.withColumn("_part", F.col("_upto") * 2 - F.col("_big"))  # odd: alone; even: what lies between
+    rows = cells.running(rows, ["log_id", "_part"], "lsn", F.col("payload_size").cast("long"), "sum", "_sum", before=True).withColumn("_at", F.floor(F.col("_sum") / size).cast("long"))
+    item = F.sort_array(F.collect_list(F.struct("lsn", "payload")))
+    return rows.groupBy("log_id", "_part", "_at").agg(F.min("lsn").alias("first_lsn"), F.count(F.lit(1)).alias("n"), F.sum("payload_size").cast("long").alias("bytes"), F.transform(item, lambda s: s["payload"]).alias("payloads")).drop("_part", "_at")
+
+
 def unbatched(batched: DataFrame) -> DataFrame:
-    """(log_id, lsn, batch_offset, payload): the records of batches, which share a number; a batch of null is lost."""
+    """(log_id, lsn, batch_offset, payload): the records of batches, which share a number; for those of null see ``undecodable``."""
     return batched.select("log_id", F.col("first_lsn").alias("lsn"), F.posexplode("payloads").alias("batch_offset", "payload"))
 
 
+def undecodable(batched: DataFrame) -> DataFrame:
+    """(log_id, type, lo, hi): a DATALOSS gap at the number of each batch that couldn't be decoded (null payloads)."""
+    return batched.filter(F.col("payloads").isNull()).select("log_id", F.lit("DATALOSS").alias("type"), F.col("first_lsn").alias("lo"), F.col("first_lsn").alias("hi"))
+
+
 def append(records: DataFrame, tails: DataFrame) -> DataFrame:
-    """New records (log_id, seq, ...) with numbers that go on behind their log's tail, in order of ``seq``."""
-    w = Window.partitionBy("log_id").orderBy("seq")
-    return records.join(tails.select("log_id", "last_released"), "log_id", "left").withColumn("lsn", F.coalesce("last_released", F.lit(0)) + F.row_number().over(w)).drop("last_released")
+    """New records (log_id, seq, ...) with numbers that go on behind their log's tail, in order of ``seq``, a whole number."""
+    numbered = cells.running(records, ["log_id"], "seq", F.lit(1), "count", "_nth")
+    return numbered.join(tails.select("log_id", "last_released"), "log_id", "left").withColumn("lsn", F.coalesce("last_released", F.lit(0)) + F.col("_nth")).drop("last_released", "_nth")
 
 
-def log_digest(records: DataFrame, since: int, until: int) -> DataFrame:
-    """(log_id, lsns, n): the sorted numbers of each log in a range."""
-    return range_read(records, since, until).groupBy("log_id").agg(F.sort_array(F.collect_list("lsn")).alias("lsns"), F.count(F.lit(1)).alias("n"))
+def log_digest(records: DataFrame, since: int | None = None, until: int | None = None, width: int = 1 << 16) -> DataFrame:
+    """(log_id, part, lsns, n): the sorted numbers of each log in a range, in parts of ``width`` numbers, so that a row stays small."""
+    if since is not None and until is not None:
+        records = range_read(records, since, until)
+    return records.groupBy("log_id", F.floor(F.col("lsn") / width).alias("part")).agg(F.sort_array(F.collect_list("lsn")).alias("lsns"), F.count(F.lit(1)).alias("n"))
+
+
+def read_ordered(records: DataFrame, logs: list[int] | None = None, partitions: int | None = None) -> DataFrame:
+    """Records of several logs, in order within each log: dealt by range of (log_id, lsn), so a hot log spreads, and sorted in each partition."""
+    out = records if logs is None else records.filter(F.col("log_id").isin(logs))
+    keys = [F.col("log_id"), F.col("lsn")]
+    dealt = out.repartitionByRange(*keys) if partitions is None else out.repartitionByRange(partitions, *keys)
+    return dealt.sortWithinPartitions("log_id", "lsn")
+
+
+def read_some(records: DataFrame, found_gaps: DataFrame, log_id: int, since: int, n: int) -> DataFrame:
+    """(kind, lo, hi, payload): what a reader of one log gets next from ``since`` on, up to ``n`` records or one gap.
+
+    Records come until a gap; a gap comes alone, as the first thing.
+    """
+    data = records.filter((F.col("log_id") == log_id) & (F.col("lsn") >= since)).select(F.lit("RECORD").alias("kind"), F.col("lsn").alias("lo"), F.col("lsn").alias("hi"), F.col("payload").cast("string").alias("payload"))
+    holes = found_gaps.filter((F.col("log_id") == log_id) & (F.col("hi") >= since)).select(F.lit("GAP").alias("kind"), F.greatest("lo", F.lit(since)).alias("lo"), "hi", F.lit(None).cast("string").alias("payload"))
+    ahead = data.unionByName(holes).orderBy("lo").limit(n)
+    so_far = Window.orderBy("lo").rowsBetween(Window.unboundedPreceding, 0)  # over n rows at most
+    seen = ahead.withColumn("_gaps", F.sum((F.col("kind") == "GAP").cast("int")).over(so_far)).withColumn("_at", F.row_number().over(Window.orderBy("lo")))
+    return seen.filter((F.col("_gaps") == 0) | ((F.col("_at") == 1) & (F.col("kind") == "GAP"))).select("kind", "lo", "hi", "payload")
+
+
+def after_location(records: DataFrame, log_id: int, lsn: int, n: int) -> DataFrame:
+    """The next ``n`` records in storage order, by log and number, behind a location; the last one's is the location to go on from."""
+    behind = (F.col("log_id") > log_id) | ((F.col("log_id") == log_id) & (F.col("lsn") > lsn))
+    return records.filter(behind).orderBy("log_id", "lsn").limit(n)
 
 
 def shadowed(records: DataFrame, ratio: float) -> DataFrame:
@@ -207,18 +285,44 @@ def dedup_copies(copies: DataFrame) -> DataFrame:
     return copies.dropDuplicates(["log_id", "lsn"])
 
 
+def merged_copies(copies: DataFrame) -> DataFrame:
+    """Records in order within each log, merged from the copies of all shards, one each."""
+    return read_ordered(dedup_copies(copies))
+
+
+def one_trim_gap(found_gaps: DataFrame) -> DataFrame:
+    """Typed gaps (log_id, type, lo, hi) with TRIM gaps that adjoin as one, so that a reader sees a trimmed section once."""
+    from logweir.operators.integrity import merged_ranges
+
+    trim = F.col("type") == "TRIM"
+    whole = merged_ranges(found_gaps.filter(trim).select("log_id", "lo", "hi"), ["log_id"])
+    return found_gaps.filter(~trim).select("log_id", "type", "lo", "hi").unionByName(whole.select("log_id", F.lit("TRIM").alias("type"), "lo", "hi"))
+
+
 def update_checkpoints(checkpoints: DataFrame, updates: DataFrame) -> DataFrame:
     """(customer, log_id, lsn) after updates; an update with a null lsn removes the checkpoint."""
     both = checkpoints.withColumn("_new", F.lit(0)).unionByName(updates.withColumn("_new", F.lit(1)))
     return both.groupBy("customer", "log_id").agg(F.max_by("lsn", "_new").alias("lsn")).filter(F.col("lsn").isNotNull())
 
 
-def groups_by_name(groups: DataFrame, namespace: str) -> DataFrame:
-    """Log groups (name, logid_lo, logid_hi) within a namespace, by the prefix of their path."""
-    return groups.filter(F.col("name").startswith(namespace))
+def groups_by_name(groups: DataFrame, namespace: str, delimiter: str = "/") -> DataFrame:
+    """Log groups (name, logid_lo, logid_hi) in a namespace and those below it, or the group of that name."""
+    root = namespace.rstrip(delimiter)
+    return groups.filter((F.col("name") == root) | F.col("name").startswith(root + delimiter)) if root else groups
+
+
+def group_of_log(groups: DataFrame, log_id: int) -> DataFrame:
+    """The log group that holds a log."""
+    return groups.filter(F.lit(log_id).between(F.col("logid_lo"), F.col("logid_hi")))
 
 
 def bounded_sample(records: DataFrame, by: str, k: int, seed: int = 0) -> DataFrame:
-    """``k`` records of each group at most, drawn evenly by a hash, so reruns agree."""
-    w = Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), "log_id", "lsn"), "lsn")
-    return records.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+    """``k`` records of each group at most, drawn evenly by a hash, so reruns agree.
+
+    Cells of each group give their first ``k`` by the hash, and of these the first ``k`` are kept, so no group comes into one task.
+    """
+    drawn = F.xxhash64(F.lit(seed), "log_id", "lsn")
+    rows = records.withColumn("_h", drawn).withColumn("_cell", F.pmod("_h", F.lit(512)))
+    first = lambda part: F.row_number().over(Window.partitionBy(*part).orderBy("_h", "log_id", "lsn"))
+    rows = rows.withColumn("_r", first([by, "_cell"])).filter(F.col("_r") <= k)
+    return rows.withColumn("_r", first([by])).filter(F.col("_r") <= k).drop("_r", "_h", "_cell")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPSILON = float(np.finfo(np.float32).eps)
@@ -40,14 +40,18 @@ def outliers(names: list, values: list[float], method: str, deviations: float, m
     return []
 
 
-def outliers_by(samples: DataFrame, group: str, name: str, value: str, method: str = "rmsd", deviations: float = 3.0, most: int = 3, margin: float = 0.0) -> DataFrame:
-    """(group, name, value, place) of each group's outliers; a group is what one detector sees, a row per node."""
+def outliers_by(samples: DataFrame, group: str, name: str, value: str, method: str = "rmsd", deviations: float = 3.0, most: int = 3, margin: float = 0.0, above: float | None = None) -> DataFrame:
+    """(group, name, value, place) of each group's outliers; only samples over ``above`` can be.
+
+    A group is what one detector sees: a sample for each node of a cluster, which one task holds.
+    """
     import pandas as pd
 
     kinds = dict(samples.dtypes)
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = outliers(pdf[name].tolist(), pdf[value].tolist(), method, deviations, most, margin)
+        allowed = None if above is None else (pdf[value] > above).tolist()
+        found = outliers(pdf[name].tolist(), pdf[value].tolist(), method, deviations, most, margin, allowed)
         at = {n: k for k, n in enumerate(found)}
         out = pdf[pdf[name].isin(at)].copy()
         out["place"] = out[name].map(at)
@@ -56,30 +60,38 @@ def outliers_by(samples: DataFrame, group: str, name: str, value: str, method: s
     return samples.select(group, name, F.col(value).cast("double").alias(value)).groupBy(group).applyInPandas(find, f"`{group}` {kinds[group]}, `{name}` {kinds[name]}, `{value}` double, place long")
 
 
-def largest_beyond(samples: DataFrame, group: str, name: str, value: str, deviations: float, margin: float = 0.0) -> DataFrame:
+def largest_beyond(samples: DataFrame, group: str, name: str, value: str, deviations: float, margin: float = 0.0, allowed: Column | None = None) -> DataFrame:
     """(group, name, value, limit) of each group's largest sample, if it is beyond what the others set (root mean square).
 
-    The one-outlier case in closed form: the others' mean and deviation follow from sums, without Python.
+    The one-outlier case in closed form: the others' mean and deviation follow from sums, without Python.  Only
+    samples for which ``allowed`` holds can be outliers; all others count among the rest.
     """
-    sums = samples.groupBy(group).agg(F.count(value).alias("_n"), F.sum(value).alias("_s"), F.sum(F.col(value) * F.col(value)).alias("_q"), F.max(F.struct(F.col(value).alias("v"), F.col(name).alias("k"))).alias("_top"))
+    can = F.lit(True) if allowed is None else allowed
+    top = F.max(F.when(can, F.struct(F.col(value).alias("v"), F.col(name).alias("k"))))
+    second = F.max(F.struct(F.col(value).alias("v"), F.col(name).alias("k")))
+    sums = samples.groupBy(group).agg(F.count(value).alias("_n"), F.sum(value).alias("_s"), F.sum(F.col(value) * F.col(value)).alias("_q"), top.alias("_top"), second.alias("_max"))
     v, n = F.col("_top.v"), F.col("_n") - 1
     mean = (F.col("_s") - v) / n
     spread = F.sqrt(F.greatest((F.col("_q") - v * v) / n - mean * mean, F.lit(0.0)))
     limit = mean + deviations * spread + margin * mean
-    return sums.filter(n > 0).select(group, F.col("_top.k").alias(name), v.alias(value), limit.alias("limit")).filter(F.col(value) >= F.col("limit"))
+    return sums.filter((n > 0) & F.col("_top").isNotNull()).select(group, F.col("_top.k").alias(name), v.alias(value), limit.alias("limit")).filter(F.col(value) >= F.col("limit"))
 
 
-def append_outliers(samples: DataFrame, period_sec: int, sensitivity: float, grace: int) -> DataFrame:
-    """(node, since, periods, worst) of nodes whose appends fail too often for long enough.
+def append_outliers(samples: DataFrame, period_sec: int, sensitivity: float, grace: int, deviations: float = 3.0, margin: float = 0.0, most: int = 1) -> DataFrame:
+    """(node, since, periods, worst) of nodes whose appends fail too often, next to the others', for long enough.
 
-    ``samples`` has node, ts, successes and fails.  In each period a node fails if its share of failures is
-    above ``sensitivity``; it is an outlier once more than ``grace`` periods in a row failed.
+    ``samples`` has node, ts, successes and fails.  In each period a node with appends has a share of failures;
+    the outliers are those that stand out among all nodes' shares (root mean square deviation), at most ``most``
+    and only with a share above ``sensitivity``.  A node that is an outlier for more than ``grace`` periods in a
+    row is given, the worst share first, then by node.
     """
-    from pyspark.sql import Window
-
     period = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / period_sec)
-    ratios = samples.groupBy("node", period.alias("_p")).agg((F.sum("fails") / F.nullif(F.sum("fails") + F.sum("successes"), F.lit(0))).alias("_share"))
-    failing = ratios.filter(F.col("_share") > sensitivity)
+    total = F.sum("fails") + F.sum("successes")
+    ratios = samples.groupBy(period.alias("_p"), "node").agg((F.sum("fails") / F.nullif(total, F.lit(0))).alias("_share")).filter(F.col("_share").isNotNull())
+    if most == 1:
+        found = largest_beyond(ratios, "_p", "node", "_share", deviations, margin, F.col("_share") > sensitivity)
+    else:
+        found = outliers_by(ratios, "_p", "node", "_share", "rmsd", deviations, most, margin, sensitivity)
     run = F.col("_p") - F.row_number().over(Window.partitionBy("node").orderBy("_p"))
-    runs = failing.withColumn("_run", run).groupBy("node", "_run").agg(F.min("_p").alias("since"), F.count(F.lit(1)).alias("periods"), F.max("_share").alias("worst"))
-    return runs.filter(F.col("periods") > grace).drop("_run")
+    runs = found.withColumn("_run", run).groupBy("node", "_run").agg(F.min("_p").alias("since"), F.count(F.lit(1)).alias("periods"), F.max("_share").alias("worst"))
+    return runs.filter(F.col("periods") > grace).drop("_run").orderBy(F.desc("worst"), "node")

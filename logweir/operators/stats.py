@@ -10,10 +10,35 @@ TOP = 1 << 58
 
 
 def merged_counters(samples: DataFrame, how: dict[str, str]) -> DataFrame:
-    """(name, value) of samples (name, value) from many threads or nodes, by sum, or by max where ``how`` says so."""
-    largest = [k for k, v in how.items() if v == "max"]
-    is_max = F.col("name").isin(largest) if largest else F.lit(False)
-    return samples.groupBy("name").agg(F.sum("value").alias("_s"), F.max("value").alias("_m")).select("name", F.when(is_max, F.col("_m")).otherwise(F.col("_s")).alias("value"))
+    """(name, value) of samples (name, value, and ts if any is assigned) from many threads or nodes.
+
+    Counters are summed, but for those that ``how`` says ``max`` of, or ``assign``: the value of the latest sample.
+    """
+    of = lambda kind: F.col("name").isin([k for k, v in how.items() if v == kind]) if kind in how.values() else F.lit(False)
+    aggregates = [F.sum("value").alias("_s"), F.max("value").alias("_m")]
+    aggregates.append((F.max_by("value", "ts") if "ts" in samples.columns else F.lit(None).cast("long")).alias("_l"))
+    merged = samples.groupBy("name").agg(*aggregates)
+    return merged.select("name", F.when(of("max"), F.col("_m")).when(of("assign"), F.col("_l")).otherwise(F.col("_s")).alias("value"))
+
+
+def keyed_counters(samples: DataFrame, key: str) -> DataFrame:
+    """(name, value): sums of each counter by key (shard, traffic class, message type, ...), named ``counter.key``, and over all keys."""
+    sums = samples.groupBy("name", F.col(key).cast("string").alias("_k")).agg(F.sum("value").alias("value"))
+    each = sums.select(F.concat_ws(".", "name", F.coalesce("_k", F.lit("null"))).alias("name"), "value")
+    return each.unionByName(sums.groupBy("name").agg(F.sum("value").alias("value")))
+
+
+def derived_counters(counters: DataFrame, formulas: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """``counters`` (name, value) and, for each of ``formulas``, name -> (counter, '-' or '/' or '+', counter), what follows from merged ones.
+
+    A counter that is missing counts as 0; a share of nothing is null.
+    """
+    wanted = sorted({c for a, _, b in formulas.values() for c in (a, b)})
+    row = counters.filter(F.col("name").isin(wanted)).agg(*[F.coalesce(F.sum(F.when(F.col("name") == c, F.col("value"))), F.lit(0)).cast("double").alias(f"_{i}") for i, c in enumerate(wanted)])
+    at = {c: F.col(f"_{i}") for i, c in enumerate(wanted)}
+    result = {"+": lambda x, y: x + y, "-": lambda x, y: x - y, "/": lambda x, y: x / F.nullif(y, F.lit(0.0))}
+    entries = F.array(*[F.struct(F.lit(n).alias("name"), result[op](at[a], at[b]).alias("value")) for n, (a, op, b) in formulas.items()])
+    return counters.select("name", F.col("value").cast("double").alias("value")).unionByName(row.select(F.explode(entries).alias("_e")).select("_e.*"))
 
 
 def counter_difference(now: DataFrame, before: DataFrame) -> DataFrame:
@@ -109,6 +134,12 @@ def compact_percentiles(histogram: DataFrame, by: list[str], shares: list[float]
     return rows.select(*by, "share", (low + F.floor(part * width + 0.5)).cast("long").alias("estimate"))
 
 
+def compact_sum(histogram: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., estimate): what a compact histogram's samples add up to, about: each counts three quarters of its bucket's bound."""
+    bound = F.when(F.col("bucket") == 0, F.lit(0.0)).otherwise(F.pow(F.lit(2.0), F.col("bucket")))
+    return histogram.groupBy(*by).agg((F.sum(F.col("n") * bound) * 0.75).cast("long").alias("estimate"))
+
+
 def at_least(histogram: DataFrame, by: list[str]) -> DataFrame:
     """(by..., bucket, n_at_least): how many samples are in a bucket or above."""
     w = Window.partitionBy(*by).orderBy(F.desc("bucket"))
@@ -134,12 +165,35 @@ def histogram_subtracted(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame
     return a.join(other, [*by, "bucket"], "left").select(*by, "bucket", F.greatest(F.col("n") - F.coalesce("_b", F.lit(0)), F.lit(0)).alias("n"))
 
 
-def summaries(samples: DataFrame, by: str, value: str) -> DataFrame:
-    """(by, n, low, p50, p75, p95, p99, p9999, high, mean) with exact percentiles."""
-    p = lambda s, name: F.percentile(value, F.lit(s)).alias(name)
-    return samples.groupBy(by).agg(
-        F.count(value).alias("n"), F.min(value).alias("low"), p(0.5, "p50"), p(0.75, "p75"), p(0.95, "p95"), p(0.99, "p99"), p(0.9999, "p9999"), F.max(value).alias("high"), F.avg(value).alias("mean")
-    )
+def summaries(samples: DataFrame, by: str, value: str, shares: dict[str, float] | None = None) -> DataFrame:
+    """(by, n, low, p50, p75, p95, p99, p9999, high, mean) with exact percentiles, interpolated between neighbours.
+
+    Values are counted first, so equal ones are one row; a group's values are ranked cell by cell of their
+    order, and only those at the wanted ranks come together, so no group is held by one task.
+    """
+    shares = shares or {"p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99, "p9999": 0.9999}
+    counted = samples.filter(F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    facts = samples.groupBy(by).agg(F.count(value).alias("n"), F.min(value).cast("double").alias("low"), F.max(value).cast("double").alias("high"), F.avg(value).alias("mean"))
+    # a cell: one of 1024 equal stretches between a group's least and greatest value
+    f = facts.select(F.col(by).alias("_by"), F.col("n").alias("_all"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    rows = counted.join(f, F.col(by).eqNullSafe(F.col("_by")))
+    width = (F.col("_high") - F.col("_low")) / 1024
+    rows = rows.withColumn("_cell", F.when(width > 0, F.floor((F.col("v") - F.col("_low")) / width)).otherwise(F.lit(0)).cast("long")).drop("_by")
+    totals = rows.groupBy(by, "_cell").agg(F.sum("n").alias("_t"))
+    earlier = Window.partitionBy(by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(F.col(by).alias("_by"), F.col("_cell").alias("_c"), F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_before"))
+    rows = rows.join(totals, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_cell") == F.col("_c"))).drop("_by", "_c")
+    own = Window.partitionBy(by, "_cell").orderBy("v")
+    upto = F.col("_before") + F.sum("n").over(own)
+    rows = rows.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("n"))
+    at = lambda s: F.lit(s) * (F.col("_all") - 1)
+    holds = lambda rank: (F.col("_from") <= rank) & (rank < F.col("_to"))
+    picks = [F.max(F.when(holds(rank(at(s))), F.col("v"))).alias(f"_{name}_{i}") for name, s in shares.items() for i, rank in enumerate((F.floor, F.ceil))]
+    found = rows.groupBy(by).agg(F.max("_all").alias("_all"), *picks)
+    ends = [(F.col(f"_{n}_0") + (F.col(f"_{n}_1") - F.col(f"_{n}_0")) * (at(s) - F.floor(at(s)))).alias(n) for n, s in shares.items()]
+    out = found.select(F.col(by).alias("_by"), *ends)
+    joined = facts.join(out, F.col(by).eqNullSafe(F.col("_by")), "left")
+    return joined.select(by, "n", "low", *shares, "high", "mean")
 
 
 def estimated_log_size(replies: DataFrame, shards: int, replication: int) -> DataFrame:

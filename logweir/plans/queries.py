@@ -179,15 +179,37 @@ def gap_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.typed_gaps(rec, t)
 
 
-@query(f"WITH {REC} SELECT log_id, coalesce(min(lsn) FILTER (WHERE ts >= TIMESTAMP '2024-01-15 12:00:00'), max(lsn) + 1) AS lsn FROM rec GROUP BY log_id")
+def find_time_sql(at: str) -> str:
+    """First record at or after a time; none: the next number; time before all records: behind the trim point; no records: the oldest number."""
+    return f"""WITH {REC}, {TRIMS}, alive AS (SELECT rec.* FROM rec LEFT JOIN trims USING (log_id) WHERE lsn > coalesce(trim_point, 0)), logs AS (SELECT range AS log_id FROM range(200))
+    SELECT logs.log_id, CASE WHEN count(lsn) = 0 THEN 1 WHEN arg_min(ts, lsn) > TIMESTAMP '{at}' THEN coalesce(max(trim_point), 0) + 1 ELSE coalesce(min(lsn) FILTER (WHERE ts >= TIMESTAMP '{at}'), max(lsn) + 1) END::BIGINT AS lsn
+    FROM logs LEFT JOIN alive USING (log_id) LEFT JOIN trims USING (log_id) GROUP BY logs.log_id"""
+
+
+def found_times(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    rec = records(spark, sf_dir)
+    return log.find_time(rec, at(text), trims(rec), spark.range(200).select(F.col("id").alias("log_id")))
+
+
+@query(find_time_sql("2024-01-15 12:00:00"))
 def find_time_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.find_time(records(spark, sf_dir), at("2024-01-15 12:00:00"))
+    return found_times(spark, sf_dir, "2024-01-15 12:00:00")
+
+
+@query(find_time_sql("2023-12-01 00:00:00"))
+def find_time_before_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found_times(spark, sf_dir, "2023-12-01 00:00:00")
+
+
+@query(find_time_sql("2024-03-01 00:00:00"))
+def find_time_after_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found_times(spark, sf_dir, "2024-03-01 00:00:00")
 
 
 @query(f"""WITH {REC}, d AS (SELECT log_id, date_trunc('day', ts) AS s, min(lsn) AS f FROM rec GROUP BY ALL)
 SELECT log_id, coalesce(arg_max(f, s) FILTER (WHERE s <= TIMESTAMP '2024-01-15 12:00:00'), min(f)) AS lsn FROM d GROUP BY log_id""")
 def find_time_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.find_time_approximate(records(spark, sf_dir), at("2024-01-15 12:00:00"))
+    return log.find_time_approximate(log.partition_directory(records(spark, sf_dir)), at("2024-01-15 12:00:00"))
 
 
 @query(f"WITH {REC} SELECT log_id, max(lsn) FILTER (WHERE k < '004000') AS lo, min(lsn) FILTER (WHERE k >= '004000') AS hi FROM (SELECT *, lpad(lsn::VARCHAR, 6, '0') AS k FROM rec) GROUP BY log_id")
@@ -256,9 +278,9 @@ def batch_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.unbatched(log.batches(records(spark, sf_dir), 64))
 
 
-@query(f"WITH {REC} SELECT log_id, string_agg(lsn::VARCHAR, ',' ORDER BY lsn) AS lsns, count(*) AS n FROM rec WHERE lsn BETWEEN 100 AND 4000 GROUP BY log_id")
+@query(f"WITH {REC} SELECT log_id, lsn // 4096 AS part, string_agg(lsn::VARCHAR, ',' ORDER BY lsn) AS lsns, count(*) AS n FROM rec GROUP BY ALL")
 def log_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.log_digest(records(spark, sf_dir), 100, 4000).withColumn("lsns", F.array_join(F.transform("lsns", lambda x: x.cast("string")), ","))
+    return log.log_digest(records(spark, sf_dir), width=4096).withColumn("lsns", F.array_join(F.transform("lsns", lambda x: x.cast("string")), ","))
 
 
 @query(f"WITH {REC}, n AS (SELECT log_id, lsn AS seq FROM rec WHERE lsn % 3 = 0), t AS (SELECT log_id, max(lsn) AS m FROM rec WHERE lsn % 3 <> 0 GROUP BY log_id) SELECT n.log_id, seq, coalesce(m, 0) + row_number() OVER (PARTITION BY n.log_id ORDER BY seq) AS lsn FROM n LEFT JOIN t USING (log_id)")
@@ -405,26 +427,43 @@ def record_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.winning_copies(copies(spark, sf_dir)).select("log_id", "lsn", "node", "wave")
 
 
-REPLICA = f"""{COPIES}, c AS (SELECT *, wave = max(wave) OVER p AS last, list(node) OVER p AS nodes FROM copies WINDOW p AS (PARTITION BY log_id, lsn)),
-g AS (SELECT log_id, lsn, count(*) AS n_copies,
-  CASE WHEN count(DISTINCT CASE WHEN last THEN list_sort(copyset) END) > 1 THEN 2 ELSE 0 END + CASE WHEN bool_or(NOT list_contains(copyset, node)) THEN 4 ELSE 0 END
+# Errors of records by their copies: the latest wave is 0 or the greatest; one of its copysets is accurate if enough of its nodes hold the record with it.
+REPLICA = f"""{COPIES}, c AS (SELECT *, list_sort(copyset) AS st, CASE WHEN min(wave) OVER p = 0 THEN 0 ELSE max(wave) OVER p END AS lw FROM copies WINDOW p AS (PARTITION BY log_id, lsn)),
+s AS (SELECT log_id, lsn, st, count(DISTINCT node) >= least(len(st), 3) AS accurate, count(DISTINCT domain) >= 2 AS spread FROM c WHERE wave = lw GROUP BY log_id, lsn, st),
+a AS (SELECT log_id, lsn, count(*) AS sets, bool_or(accurate) AS accurate, bool_or(accurate AND spread) AS good FROM s GROUP BY ALL),
+g AS (SELECT log_id, lsn, count(*) AS n_copies, (CASE WHEN max(sets) > 1 THEN 2 ELSE 0 END + CASE WHEN bool_or(NOT list_contains(copyset, node)) THEN 4 ELSE 0 END
+  + CASE WHEN log_id % 10 = 0 AND bool_or(len(list_filter(copyset, lambda x: x > 6)) > 0) THEN 8 ELSE 0 END
   + CASE WHEN bool_or(len(copyset) < 3) THEN 16 ELSE 0 END + CASE WHEN bool_or(len(copyset) > len(list_distinct(copyset))) THEN 2048 ELSE 0 END
-  + CASE WHEN NOT bool_or(len(list_intersect(copyset, nodes)) >= least(len(copyset), 3)) THEN 32 ELSE 0 END
-  + CASE WHEN bool_or(kind = 'HOLE') AND bool_or(kind = 'RECORD') THEN 512 ELSE 0 END
+  + CASE WHEN NOT bool_or(accurate) THEN 32 ELSE 0 END + CASE WHEN bool_or(kind = 'HOLE') AND bool_or(kind = 'RECORD') THEN 512 ELSE 0 END
   + CASE WHEN NOT (bool_or(kind = 'HOLE') AND bool_or(kind = 'RECORD')) AND count(DISTINCT CASE WHEN kind = 'RECORD' THEN payload_hash END) > 1 THEN 64 ELSE 0 END
-  + CASE WHEN count(DISTINCT CASE WHEN last THEN domain END) < 2 THEN 128 ELSE 0 END + CASE WHEN count(DISTINCT domain) < 2 THEN 256 ELSE 0 END AS errors
-  FROM c GROUP BY log_id, lsn)"""
+  + CASE WHEN NOT bool_or(good) THEN 128 ELSE 0 END + CASE WHEN NOT bool_or(good) AND count(DISTINCT domain) < 2 THEN 256 ELSE 0 END)::BIGINT AS errors
+  FROM c JOIN a USING (log_id, lsn) GROUP BY log_id, lsn)"""
 
 
-@query(f"WITH {REPLICA} SELECT log_id, lsn, n_copies, errors::BIGINT AS errors FROM g WHERE errors > 0")
+@query(f"WITH {REPLICA} SELECT log_id, lsn, n_copies, errors FROM g WHERE errors > 0")
 def replica_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return integrity.replica_errors(copies(spark, sf_dir), 3)
+    rows = copies(spark, sf_dir)
+    few = rows.filter("log_id % 10 = 0").select("log_id").distinct().withColumn("nodeset", F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long")))
+    return integrity.replica_errors(rows, 3, nodesets=few)
+
+
+@query(f"""WITH {REC}, n AS (SELECT log_id, lsn, lead(lsn) OVER (PARTITION BY log_id ORDER BY lsn) AS nx FROM rec)
+SELECT log_id, lsn + 1 AS lsn, 0::BIGINT AS n_copies, 1::BIGINT AS errors FROM n WHERE nx > lsn + 1 UNION ALL SELECT log_id, 1, 0, 1 FROM rec GROUP BY log_id HAVING min(lsn) > 1""")
+def replica_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec = records(spark, sf_dir)
+    dead = rec.select("log_id").distinct().withColumn("epoch", F.lit(0).cast("long"))
+    none = rec.select("log_id").distinct().withColumn("trim_point", F.lit(0))
+    return integrity.lost_numbers(log.typed_gaps(rec, none, lost=dead))
 
 
-@query(f"WITH {COPIES} SELECT log_id, lsn, arg_max(payload_hash, struct_pack(a := recovery::INTEGER, b := wave, c := payload_hash)) AS payload, bit_or(node)::BIGINT AS flags FROM copies WHERE true GROUP BY log_id, lsn")
+@query(f"""WITH {COPIES}, w AS (SELECT log_id, lsn * 9 + copyset[1] AS lsn, node, recovery, CASE WHEN node % 4 = 0 THEN NULL ELSE node * 10 END AS payload, (node + 1) % 3 AS wave, list_sort(copyset) AS copyset FROM copies),
+p AS (SELECT *, (CASE WHEN recovery THEN 1 ELSE 0 END)::HUGEINT * 100000000000 + CASE WHEN NOT recovery AND wave = 0 THEN 4294967295 ELSE wave END AS pr FROM w)
+SELECT log_id, lsn, arg_max(payload, pr) FILTER (WHERE payload IS NOT NULL) AS payload, array_to_string(arg_max(copyset, pr), ',') AS copyset, bit_or(node)::BIGINT AS flags FROM p GROUP BY log_id, lsn""")
 def storage_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.struct(F.col("recovery").cast("int"), "wave", "payload_hash")
-    return copies(spark, sf_dir).groupBy("log_id", "lsn").agg(F.max_by("payload_hash", p).alias("payload"), F.bit_or("node").alias("flags"))
+    node = F.col("node")
+    writes = copies(spark, sf_dir).select("log_id", (F.col("lsn") * 9 + F.col("copyset")[0]).alias("lsn"), "recovery", ((node + 1) % 3).alias("wave"), F.when(node % 4 != 0, node * 10).alias("payload"), F.array_sort("copyset").alias("copyset"), node.alias("flags"))
+    merged = integrity.merged_writes(writes)
+    return merged.select("log_id", "lsn", "payload", F.array_join(F.transform("copyset", lambda x: x.cast("string")), ",").alias("copyset"), "flags")
 
 
 READS = """reads AS (SELECT user_id AS log_id, event_id % 4 AS writer_id, event_id AS read_pos, event_id + 1 AS lsn, CASE WHEN event_id % 17 = 0 THEN event_id - 40 WHEN event_id % 23 = 0 THEN event_id - 23 * 8 ELSE event_id END AS seq, event_id % 101 <> 0 AS good FROM events)"""
@@ -442,20 +481,36 @@ def verify_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.delivery_errors(reads(spark, sf_dir))
 
 
-@query(f"WITH {READS}, acked AS (SELECT log_id, writer_id, read_pos AS seq FROM reads) SELECT a.log_id, a.writer_id, a.seq, 'DATALOSS' AS error FROM acked a WHERE NOT EXISTS (SELECT 1 FROM reads r WHERE r.log_id = a.log_id AND r.writer_id = a.writer_id AND r.seq = a.seq)")
+@query(f"""WITH {READS}, seen AS (SELECT log_id, writer_id, seq, min(lsn) AS l FROM reads GROUP BY ALL)
+SELECT a.log_id, a.writer_id, a.read_pos AS seq, CASE WHEN l IS NULL THEN 'DATALOSS' ELSE 'LSN_MISMATCH' END AS error FROM reads a LEFT JOIN seen s ON a.log_id = s.log_id AND a.writer_id = s.writer_id AND a.read_pos = s.seq WHERE l IS NULL OR l <> a.lsn""")
 def verify_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = reads(spark, sf_dir)
-    found = integrity.lost_records(r.select("log_id", "writer_id", F.col("read_pos").alias("seq"), "lsn"), r)
-    return found.filter("error = 'DATALOSS'")
+    return integrity.lost_records(r.select("log_id", "writer_id", F.col("read_pos").alias("seq"), "lsn"), r)
 
 
-@query("""WITH s AS (SELECT c_custkey % 40 AS log_id, c_nationkey AS domain, CASE WHEN c_custkey % 13 = 0 THEN 'EMPTY' WHEN c_custkey % 11 = 0 THEN 'UNAVAILABLE' ELSE 'FULL' END AS status, c_acctbal > -900 AS present FROM customer),
-d AS (SELECT log_id, domain, bool_and(present OR status = 'EMPTY') AS covered, bool_and(status = 'EMPTY' OR present OR status = 'UNAVAILABLE') AS weak FROM s GROUP BY ALL)
-SELECT log_id, count(*) AS n_domains, sum(covered::INTEGER)::BIGINT AS n_present, CASE WHEN sum((NOT covered)::INTEGER) = 0 THEN 'AUTHORITATIVE_COMPLETE' WHEN sum((NOT covered)::INTEGER) < 2 THEN 'AUTHORITATIVE_INCOMPLETE' WHEN sum((NOT weak)::INTEGER) < 2 THEN 'NON_AUTHORITATIVE' ELSE 'NO_MAJORITY' END AS outcome FROM d GROUP BY log_id""")
+@query("""WITH r AS (SELECT user_id AS log_id, event_id % 4 AS writer_id, event_id AS read_pos, event_id AS seq, event_id - 300 AS oldest FROM events), a AS (SELECT log_id, writer_id, seq, seq + CASE WHEN seq % 7 = 0 THEN 5000 ELSE 200 END AS read_pos FROM r WHERE seq % 5 <> 0),
+d AS (SELECT r.log_id, r.writer_id, r.seq, r.read_pos, (SELECT min(q.read_pos) FROM r q WHERE q.log_id = r.log_id AND q.writer_id = r.writer_id AND q.oldest > r.seq) AS due FROM r)
+SELECT d.log_id, d.writer_id, d.seq, 'LOST_ACK' AS error FROM d LEFT JOIN a ON a.log_id = d.log_id AND a.writer_id = d.writer_id AND a.seq = d.seq WHERE due IS NOT NULL AND (a.read_pos IS NULL OR a.read_pos > greatest(due, d.read_pos))""")
+def verify_lost_acks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    r = read(spark, sf_dir, "events").select(F.col("user_id").alias("log_id"), (e % 4).alias("writer_id"), e.alias("read_pos"), e.alias("seq"), (e - 300).alias("oldest_in_flight"))
+    acks = r.filter("seq % 5 <> 0").select("log_id", "writer_id", "seq", (F.col("seq") + F.when(F.col("seq") % 7 == 0, 5000).otherwise(200)).alias("read_pos"))
+    return integrity.lost_acks(r, acks)
+
+
+@query("""WITH s AS (SELECT c_custkey % 40 AS log_id, 'rack' || c_nationkey AS rack, 'region' || c_nationkey % 4 AS region, c_acctbal > -900 AS present,
+  CASE WHEN c_custkey % 13 = 0 THEN 'AUTHORITATIVE_EMPTY' WHEN c_custkey % 211 = 0 THEN 'UNDERREPLICATION' WHEN c_custkey % 307 = 0 THEN 'UNAVAILABLE' ELSE 'FULLY_AUTHORITATIVE' END AS status FROM customer),
+e AS (SELECT log_id, 'RACK' AS scope, 3 AS r, rack AS domain, status, present FROM s UNION ALL SELECT log_id, 'REGION', 2, region, status, present FROM s),
+d AS (SELECT log_id, scope, r, domain, count(*) AS n, sum((status = 'FULLY_AUTHORITATIVE' AND present)::INTEGER) AS here, sum((status = 'AUTHORITATIVE_EMPTY')::INTEGER) AS none FROM e GROUP BY ALL),
+c AS (SELECT log_id, scope, sum((here > 0 AND here + none = n)::INTEGER) >= greatest(sum((none < n)::INTEGER) - r + 1, 0) AS enough FROM d GROUP BY log_id, scope, r),
+m AS (SELECT log_id, bool_or(enough) AS m FROM c GROUP BY log_id), w AS (SELECT log_id, bool_and(present OR status <> 'FULLY_AUTHORITATIVE') AS a FROM s GROUP BY log_id)
+SELECT log_id, CASE WHEN m AND a THEN 'AUTHORITATIVE_COMPLETE' WHEN m THEN 'AUTHORITATIVE_INCOMPLETE' WHEN a THEN 'NON_AUTHORITATIVE' ELSE 'NONE' END AS outcome FROM m JOIN w USING (log_id)""")
 def f_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("c_custkey")
-    shards = read(spark, sf_dir, "customer").select((k % 40).alias("log_id"), F.col("c_nationkey").alias("domain"), F.when(k % 13 == 0, "EMPTY").when(k % 11 == 0, "UNAVAILABLE").otherwise("FULL").alias("status"), (F.col("c_acctbal") > -900).alias("present"))
-    return integrity.f_majority(shards, 2)
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    status = F.when(k % 13 == 0, "AUTHORITATIVE_EMPTY").when(k % 211 == 0, "UNDERREPLICATION").when(k % 307 == 0, "UNAVAILABLE").otherwise("FULLY_AUTHORITATIVE")
+    domains = F.create_map(F.lit("RACK"), F.concat(F.lit("rack"), n), F.lit("REGION"), F.concat(F.lit("region"), n % 4))
+    shards = read(spark, sf_dir, "customer").select((k % 40).alias("log_id"), k.alias("shard"), status.alias("status"), (F.col("c_acctbal") > -900).alias("present"), domains.alias("domains"))
+    return integrity.f_majority(shards, {"RACK": 3, "REGION": 2})
 
 
 @query("SELECT sum(p_size)::BIGINT AS total, sum(CASE WHEN p_partkey % 10 = 0 OR p_partkey % 15 = 1 THEN p_size ELSE 0 END)::DOUBLE AS lost, sum(CASE WHEN p_partkey % 10 = 0 OR p_partkey % 15 = 1 THEN p_size ELSE 0 END) > 0.15 * sum(p_size) AS loss FROM part")
@@ -465,7 +520,8 @@ def capacity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT DISTINCT l_suppkey AS log_id, l_linenumber::BIGINT AS epoch, unnest([l_suppkey % 20, (l_suppkey + 3) % 20, (l_suppkey + 7) % 20, (l_suppkey + l_linenumber) % 20]) AS shard FROM lineitem)
-SELECT log_id, epoch, sum((shard % 5 <> 0)::INTEGER)::BIGINT AS n_left, sum((shard % 4 <> 0)::INTEGER) < 2 AS writes_lost, sum((shard % 5 <> 0)::INTEGER) < count(*) - 2 + 1 AS reads_lost FROM e GROUP BY ALL""")
+SELECT log_id, epoch, sum((shard % 5 <> 0)::INTEGER)::BIGINT AS n_left, sum((shard % 4 <> 0)::INTEGER) < 2 AS writes_lost, sum((shard % 5 <> 0)::INTEGER) < count(*) - 2 + 1 AS reads_lost,
+sum((shard % 5 <> 0)::INTEGER) = 0 OR sum((shard % 5 <> 0 AND shard % 4 <> 0)::INTEGER) < 2 AS rebuild_lost FROM e GROUP BY ALL""")
 def impact_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n = F.col("l_suppkey"), F.col("l_linenumber")
     shards = F.array_distinct(F.array(s % 20, (s + 3) % 20, (s + 7) % 20, (s + n) % 20))
@@ -513,38 +569,53 @@ def copyset_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.copyset_filter(copies(spark, sf_dir).withColumn("drained", F.col("recovery")), [1, 5]).select("log_id", "lsn", "node")
 
 
-@query(f"WITH {REPLICA}, e AS (SELECT unnest([2, 4, 16, 32, 64, 128, 256, 512, 2048]) AS b, unnest(['DIFFERENT_COPYSET_IN_LATEST_WAVE', 'COPYSET_WITHOUT_SELF', 'SMALL_COPYSET', 'NO_ACCURATE_COPYSET', 'DATA_MISMATCH', 'BAD_REPLICATION_LAST_WAVE', 'BAD_REPLICATION', 'HOLE_RECORD_CONFLICT', 'DUPLICATES_IN_COPYSET']) AS error) SELECT error, count(*) AS n FROM g JOIN e ON errors::BIGINT & b > 0 GROUP BY error")
+@query(f"WITH {REPLICA}, e AS (SELECT unnest([2, 4, 8, 16, 32, 64, 128, 256, 512, 2048]) AS b, unnest(['DIFFERENT_COPYSET_IN_LATEST_WAVE', 'COPYSET_WITHOUT_SELF', 'COPYSET_NOT_IN_NODESET', 'SMALL_COPYSET', 'NO_ACCURATE_COPYSET', 'DATA_MISMATCH', 'BAD_REPLICATION_LAST_WAVE', 'BAD_REPLICATION', 'HOLE_RECORD_CONFLICT', 'DUPLICATES_IN_COPYSET']) AS error) SELECT error, count(*) AS n, array_to_string(list(log_id || ':' || lsn ORDER BY log_id, lsn)[1:3], ',') AS examples FROM g JOIN e ON errors & b > 0 GROUP BY error")
 def replica_error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return integrity.error_counts(replica_check(spark, sf_dir)).select("error", "n")
+    found = integrity.error_counts(replica_check(spark, sf_dir))
+    return found.withColumn("examples", F.array_join(F.transform("examples", lambda x: F.concat_ws(":", x["log_id"].cast("string"), x["lsn"].cast("string"))), ","))
+
 
+PEERS = ", ".join(
+    f"coalesce(string_agg(DISTINCT CASE WHEN {test} THEN peer END, ',' ORDER BY CASE WHEN {test} THEN peer END), '') AS {name}"
+    for name, test in (("dead_nodes", "NOT alive"), ("boycotted_nodes", "peer_k % 19 = 0"), ("unhealthy_nodes", "peer_k % 17 = 3"), ("overloaded_nodes", "peer_k % 17 = 5"))
+)
 
-@query("""WITH r AS (SELECT c_nationkey AS node_id, c_custkey % 25 AS peer, c_acctbal > -500 AS alive FROM customer) SELECT node_id, CASE WHEN node_id % 5 = 0 THEN 'SUSPECT' WHEN node_id % 7 = 0 THEN 'DEAD' ELSE 'ALIVE' END AS status,
-coalesce(string_agg(DISTINCT CASE WHEN NOT alive THEN peer END::VARCHAR, ',' ORDER BY CASE WHEN NOT alive THEN peer END::VARCHAR), '') AS dead_nodes FROM r GROUP BY node_id""")
+
+@query(f"""WITH r AS (SELECT c_nationkey AS node_id, (c_custkey % 25)::VARCHAR AS peer, c_custkey AS peer_k, c_acctbal > -500 AS alive FROM customer)
+SELECT node_id, CASE WHEN node_id % 5 = 0 THEN 'SUSPECT' WHEN node_id % 7 = 0 THEN 'DEAD' ELSE 'ALIVE' END AS status, {PEERS} FROM r GROUP BY node_id""")
 def cluster_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("c_nationkey")
-    replies = read(spark, sf_dir, "customer").select(n.alias("node_id"), F.when(n % 5 == 0, "TIMEOUT").when(n % 7 == 0, "DOWN").otherwise("OK").alias("reply"), (F.col("c_custkey") % 25).cast("string").alias("peer"), (F.col("c_acctbal") > -500).alias("peer_alive"))
+    n, k = F.col("c_nationkey"), F.col("c_custkey")
+    health = F.when(k % 17 == 3, "UNHEALTHY").when(k % 17 == 5, "OVERLOADED").otherwise("HEALTHY")
+    replies = read(spark, sf_dir, "customer").select(
+        n.alias("node_id"), F.when(n % 5 == 0, "TIMEOUT").when(n % 7 == 0, "DOWN").otherwise("OK").alias("reply"), (k % 25).cast("string").alias("peer"),
+        (F.col("c_acctbal") > -500).alias("peer_alive"), (k % 19 == 0).alias("peer_boycotted"), health.alias("peer_health"),
+    )
     return integrity.cluster_state(replies)
 
 
-@query(None)
+@query("""WITH e AS (SELECT user_id % 50 AS shard, event_id AS version, (['NEEDS_REBUILD', 'REBUILT', 'LOST', 'ACK', 'OTHER'])[event_id * 7 % 5 + 1] AS kind FROM events),
+l AS (SELECT shard, max(version) AS version, arg_max(kind, version) FILTER (WHERE kind IN ('NEEDS_REBUILD', 'LOST', 'ACK')) AS k, max(version) FILTER (WHERE kind IN ('NEEDS_REBUILD', 'LOST', 'ACK')) AS since, max(version) FILTER (WHERE kind = 'REBUILT') AS done FROM e GROUP BY shard)
+SELECT shard, CASE WHEN k = 'NEEDS_REBUILD' AND done > since THEN 'AUTHORITATIVE_EMPTY' WHEN k = 'NEEDS_REBUILD' THEN 'UNDERREPLICATION' WHEN k = 'LOST' THEN 'UNAVAILABLE' ELSE 'FULLY_AUTHORITATIVE' END AS status, version FROM l""")
 def shard_status_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(*[F.lit(k) for k in ("NEEDS_REBUILD", "REBUILT", "LOST", "ACK", "OTHER")]), (F.col("event_id") * 7 % 5 + 1).cast("int"))
     return integrity.shard_status(read(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("shard"), F.col("event_id").alias("version"), kind.alias("kind")))
 
 
-@query("""WITH f AS (SELECT epoch_ms(ts) // 1000 // 86400 AS slot, user_id AS node, min(ts) AS ts FROM events WHERE event_type = 'error' GROUP BY ALL)
-SELECT node, ts FROM (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY ts, node) AS r FROM f) WHERE r <= 3""")
+@query(None)
 def boycott_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reports = read(spark, sf_dir, "events").filter("event_type = 'error'").select(F.col("user_id").alias("node"), "ts")
-    return integrity.boycotts(reports, 86400, 3)
+    reports = read(spark, sf_dir, "events").filter("event_type = 'error'").select((F.col("user_id") % 6).alias("cluster"), F.col("user_id").alias("node"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("at"))
+    return integrity.boycotts(reports, 2, 3600.0, 60.0, 86400.0, 43200.0)
 
 
-@query("""WITH p AS (SELECT user_id AS node, epoch_ms(ts) // 1000 // 86400 AS p, sum((event_type = 'error')::INTEGER)::DOUBLE / count(*) AS share FROM events GROUP BY ALL), f AS (SELECT *, p - row_number() OVER (PARTITION BY node ORDER BY p) AS run FROM p WHERE share > 0.2)
-SELECT node, min(p)::BIGINT AS since, count(*) AS periods, round(max(share), 9) AS worst FROM f GROUP BY node, run HAVING count(*) > 1""")
+@query("""WITH p AS (SELECT user_id AS node, epoch_ms(ts) // 1000 // 86400 AS p, sum((event_type = 'error')::INTEGER)::DOUBLE / count(*) AS share FROM events GROUP BY ALL),
+t AS (SELECT p, count(*) - 1 AS n, sum(share) AS s, sum(share * share) AS q, max(struct_pack(v := share, k := node)) FILTER (WHERE share > 0.2) AS top FROM p GROUP BY p),
+m AS (SELECT p, top.k AS node, top.v AS share, (s - top.v) / n AS mean, sqrt(greatest((q - top.v * top.v) / n - ((s - top.v) / n) * ((s - top.v) / n), 0)) AS dev FROM t WHERE n > 0 AND top IS NOT NULL),
+f AS (SELECT *, p - row_number() OVER (PARTITION BY node ORDER BY p) AS run FROM m WHERE share >= mean + 1.5 * dev)
+SELECT node, min(p)::BIGINT AS since, count(*) AS periods, round(max(share), 9) AS worst FROM f GROUP BY node, run""")
 def append_outlier_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = (F.col("event_type") == "error").cast("long")
     samples = read(spark, sf_dir, "events").select(F.col("user_id").alias("node"), "ts", (1 - failed).alias("successes"), failed.alias("fails"))
-    return outliers.append_outliers(samples, 86400, 0.2, 1).withColumn("worst", F.round("worst", 9))
+    return outliers.append_outliers(samples, 86400, 0.2, 0, 1.5).withColumn("worst", F.round("worst", 9))
 
 
 @query(f"WITH {REC}, a AS (SELECT filter_key AS name, count(*) AS v FROM rec GROUP BY ALL), b AS (SELECT filter_key AS name, count(*) AS v FROM rec WHERE lsn <= 500 GROUP BY ALL) SELECT a.name, a.v - coalesce(b.v, 0) AS value FROM a LEFT JOIN b USING (name)")
@@ -580,16 +651,29 @@ def record_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.bounded_sample(records(spark, sf_dir), "filter_key", 20)
 
 
-@query(f"WITH {GROUPS} SELECT name, logid_lo, logid_hi FROM groups WHERE starts_with(name, 'NATION_1')")
+@query(f"WITH {GROUPS}, g AS (SELECT '/ns' || (logid_lo // 600 % 12) || '/' || name AS name, logid_lo, logid_hi FROM groups) SELECT name, logid_lo, logid_hi FROM g WHERE name = '/ns1' OR starts_with(name, '/ns1/')")
 def groups_in_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.groups_by_name(groups(spark, sf_dir), "NATION_1")
+    named = groups(spark, sf_dir).withColumn("name", F.concat(F.lit("/ns"), (F.col("logid_lo") / 600 % 12).cast("int").cast("string"), F.lit("/"), F.col("name")))
+    return log.groups_by_name(named, "/ns1")
+
+
+@query(f"WITH {GROUPS} SELECT name, logid_lo, logid_hi FROM groups WHERE 4321 BETWEEN logid_lo AND logid_hi")
+def group_of_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.group_of_log(groups(spark, sf_dir), 4321)
+
+
+def _all() -> None:
+    """The other modules' queries register themselves."""
+    from logweir.plans import log_queries, sql_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
+    _all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(SQL)
 
 

@@ -32,6 +32,19 @@ def json_tables(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good.select("node_id", "row", F.map_from_arrays("_names", "_cells").alias("cells")), failures
 
 
+def parsed_answers(answers: DataFrame) -> DataFrame:
+    """(node_id, row, cells, error): rows and failures of ``json_tables`` in one table, from one pass over the answers."""
+    read = answers.withColumn("_a", F.from_json("answer", ANSWER))
+    error = (
+        F.when(F.col("_a").isNull() | F.col("_a.headers").isNull() | F.col("_a.rows").isNull(), "not a table")
+        .when(F.exists("_a.rows", lambda r: F.size(r) != F.size("_a.headers")), "a row's length differs from the header's")
+    )
+    read = read.withColumn("error", error)
+    none = F.array(F.lit(None).cast("array<string>"))
+    rows = read.select("node_id", "error", F.transform("_a.headers", column_name).alias("_names"), F.posexplode_outer(F.when(F.col("error").isNull(), F.col("_a.rows")).otherwise(none)).alias("row", "_cells"))
+    return rows.select("node_id", "row", F.when(F.col("_cells").isNotNull(), F.map_from_arrays("_names", "_cells")).alias("cells"), "error")
+
+
 def typed(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     """The long rows as columns of declared types: missing ones and what can't be read are null, others are dropped."""
     how = {"INTEGER": "int", "BIGINT": "long", "LSN": "long", "LOGID": "long", "TIME": "long", "REAL": "double", "TEXT": "string"}
@@ -42,7 +55,7 @@ def typed(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
             return F.when(value.isNotNull(), value.isin("true", "1")).alias(name)
         return value.try_cast(how[kind]).alias(name)
 
-    return rows.select("node_id", *[cell(n, k) for n, k in columns.items() if n != "node_id"])
+    return rows.filter(F.col("cells").isNotNull()).select("node_id", *[cell(n, k) for n, k in columns.items() if n != "node_id"])
 
 
 def stat_lines(lines: DataFrame, arity: int) -> DataFrame:

@@ -13,12 +13,14 @@ from __future__ import annotations
 import array
 import os
 import re
+import string
 import sys
 
 from logweir.llm.hashing import forget
 
-#: Letters that stand alone under NFC, then ASCII punctuation: two pieces at most.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: Letters that stand alone under NFC; ASCII punctuation after them is a piece of its own.
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+PUNCTUATION = string.punctuation.encode()
 
 #: Words on which the direct way is held against the library's.
 SAMPLES = ("the", "The", "WORLD", "mañana", "ÉCOLE", "straße,", "naïve!?", "Über...", "end).", "x", "Q;", "internationalisation", "ÀÉÎÕÜ", "a(", "don-", "e&&", "ÿ%%%")
@@ -53,9 +55,9 @@ class WordIds:
 
         self.tokenizer, self.limit, self.longest, self.split_words = Tokenizer.from_file(path), limit, longest, split_words
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
         self.plain = type(self.model).__name__ == "BPE" and split_words
-        self.plain = self.plain and all(self._plain(m) == self._whole(w) for w in SAMPLES for m in [PLAIN.fullmatch(w)])
+        self.plain = self.plain and all(self._plain(w.encode()) == self._whole(w) for w in SAMPLES)
         self.hot = self._generation({})
 
     def _generation(self, old: dict) -> dict:
@@ -82,25 +84,35 @@ class WordIds:
     def _whole(self, text: str) -> bytes:
         return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _piece(self, piece: str) -> bytes:
-        """Ids of letters, or of punctuation; capitals and endings make many words of few of them."""
+    def _piece(self, piece: bytes) -> bytes:
+        """Ids of lower-case letters, or of punctuation; capitals and endings make many words of few of them."""
         ids = self.pieces.get(piece)
         if ids is None:
             if len(self.pieces) > self.limit:
                 self.pieces.clear()
-            ids = self._bytes([t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, piece.encode())))])
+            text = piece.decode() if piece.isascii() else "".join(map(self.letters.__getitem__, piece))
+            ids = self._bytes([t.id for t in self.model.tokenize(text)])
             if len(piece) <= self.longest:
                 self.pieces[piece] = ids
         return ids
 
-    def _plain(self, m: re.Match) -> bytes:
-        letters, rest = m.groups()
-        return self._piece(letters.lower()) + self._piece(rest) if rest else self._piece(letters.lower())
+    def _plain(self, part: bytes) -> bytes | None:
+        """Ids of letters with punctuation after them, or None for anything else."""
+        letters = part.rstrip(PUNCTUATION)
+        if letters.isalpha():  # ASCII alone
+            small = letters.lower()
+        else:
+            text = letters.decode("utf-8", "replace")
+            if not PLAIN.fullmatch(text):
+                return None
+            small = text.lower().encode()
+        if len(letters) == len(part):
+            return self._piece(small)
+        return self._piece(small) + self._piece(part[len(letters) :])
 
     def encode(self, part: bytes) -> bytes:
-        text = part.decode("utf-8", "replace")
-        m = self.plain and PLAIN.fullmatch(text)
-        return self._plain(m) if m else self._whole(text)
+        ids = self._plain(part) if self.plain else None
+        return self._whole(part.decode("utf-8", "replace")) if ids is None else ids
 
     def ids(self, text: bytes | None) -> bytes:
         """Ids of one whole UTF-8 text; none for null."""

@@ -1,9 +1,10 @@
 """Cropped or edited copies of images by local descriptors.
 
-A media column holds grey pictures as binary PGM.  Corners are found at several scales; each is described
-by binary tests in a neighbourhood turned to its own orientation.  Descriptors that agree in a whole band
-of bits meet in a table, and pictures that meet there are compared: their descriptors are matched by
-Hamming distance, and a copy needs enough matches that agree on one shift, turn and change of scale.
+A media column holds grey pictures as binary PGM.  Corners are found at scales a third of an octave apart, down
+to the smallest that holds a descriptor; each is described by binary tests in a neighbourhood turned to its own
+orientation.  A corner and one of its nearest neighbours, with how they lie to each other, are an entry of a
+table; pictures that share an entry are compared: their descriptors are matched by Hamming distance, and a
+copy needs enough matches that agree on one shift, turn and change of scale.
 """
 
 from __future__ import annotations
@@ -16,20 +17,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweir.llm.components import connected_components
-from logweir.llm.storage import materialize, shuffle_partitions
+from logweir.llm.storage import materialize
 
-SCALES = (1.0, 1.5, 2.0)
-#: Pixels around a corner in which it is the strongest.
-APART = 2
+#: Between one scale and the next.
+STEP = 2 ** (1 / 3)
+#: Pixels around a corner in which it is the strongest: so many at least, and one more for each so many pixels of the level's side.
+APART, SIDE_APART = 2, 150
 RADIUS = 7
-BITS, BAND, BANDS = 128, 24, 5
-TURNS = 32
-#: Differing bits of a match, pixels by which it may miss the common placement, and matches that make a copy.
-NEAR, MISS, MATCHES = 20, 3.5, 7
+BITS, TURNS = 128, 32
+#: Neighbours that a corner has entries with.
+NEIGHBOURS = 4
+#: Differing bits of a match, pixels by which it may miss the common placement, and matches that make a copy:
+#: so many at least, and this share of the corners of the picture that has fewer.
+NEAR, MISS, MATCHES, SHARE = 20, 3.5, 7, 0.2
 SEED = 8
-#: A code of more pictures than this is common; pictures with a common code are compared chunk by chunk, of
-#: about so many bytes of corners, and in so many chunks at least.
-BUCKET, CHUNK_BYTES, CHUNKS = 256, 16_000_000, 8
 #: Distances that are held at once.
 CELLS = 1 << 18
 
@@ -45,6 +46,26 @@ def pattern() -> np.ndarray:
 
 
 PATTERN = pattern()
+# The tests whose outcomes an entry has, for each of two tables.  They were chosen one by one, on the
+# corners of 40 random textures, for outcomes that are even and little correlated with those chosen before.
+CODED = np.array([
+    [9, 123, 42, 46, 124, 50, 120, 73, 77, 57, 8, 22, 117, 79, 16, 0, 90, 32],
+    [100, 50, 3, 79, 117, 57, 8, 32, 81, 9, 123, 22, 77, 73, 42, 59, 51, 49],
+])
+
+
+def levels(height: int, width: int) -> list[float]:
+    """By how much a picture is made smaller, while corners fit in."""
+    out, by = [], 1.0
+    while min(int(height / by), int(width / by)) > 2 * RADIUS + 3:
+        out.append(by)
+        by *= STEP
+    return out
+
+
+def apart_at(height: int, width: int) -> int:
+    """Large levels have corners farther apart, so their number grows slower than the area; a crop has those of its source, and more."""
+    return max(APART, round(math.sqrt(height * width) / SIDE_APART))
 DISC = np.array([(y, x) for y in range(-RADIUS, RADIUS + 1) for x in range(-RADIUS, RADIUS + 1) if y * y + x * x <= RADIUS * RADIUS])
 
 
@@ -102,23 +123,23 @@ def blurred(stack: np.ndarray) -> np.ndarray:
 def corners(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """[picture, corner, (y, x)] of all peaks of the Harris response, and whether each exists.
 
-    A peak is the greatest within APART pixels, so whether there is one depends on its neighbourhood alone,
-    and a crop has the corners of its source.
+    A peak is the greatest within ``apart_at`` pixels, so whether there is one depends on its neighbourhood
+    alone, and a crop has the corners of its source.
     """
     n, h, w = stack.shape
-    room = RADIUS + 1
+    room, apart = RADIUS + 1, apart_at(h, w)
     if h <= 2 * room + 1 or w <= 2 * room + 1:
         return np.zeros((n, 0, 2), np.int64), np.zeros((n, 0), bool)
     gy, gx = np.gradient(stack, axis=(1, 2))
     yy, xx, xy = blurred(gy * gy), blurred(gx * gx), blurred(gy * gx)
     r = yy * xx - xy * xy - 0.05 * (yy + xx) ** 2
-    p = np.pad(r, ((0, 0), (APART, APART), (APART, APART)), constant_values=-np.inf)
+    p = np.pad(r, ((0, 0), (apart, apart), (apart, apart)), constant_values=-np.inf)
     peak = r > 1e-3
-    for dy in range(2 * APART + 1):
-        for dx in range(2 * APART + 1):
-            if (dy, dx) != (APART, APART):
+    for dy in range(2 * apart + 1):
+        for dx in range(2 * apart + 1):
+            if (dy, dx) != (apart, apart):
                 other = p[:, dy : dy + h, dx : dx + w]
-                peak &= (r > other) if (dy, dx) < (APART, APART) else (r >= other)
+                peak &= (r > other) if (dy, dx) < (apart, apart) else (r >= other)
     inner = peak[:, room:-room, room:-room].reshape(n, -1)
     most = int(inner.sum(1).max(initial=0))
     best = np.argsort(~inner, axis=1, kind="stable")[:, :most]
@@ -131,10 +152,8 @@ def describe(stack: np.ndarray) -> list[dict[str, np.ndarray]]:
     n = len(stack)
     found: list[list[np.ndarray]] = [[] for _ in range(4)]
     exists = []
-    for by in SCALES:
+    for by in levels(*stack.shape[1:]):
         level = smaller(stack.astype(np.float32), by)
-        if min(level.shape[1:]) <= 2 * RADIUS + 3:
-            continue
         at, there = corners(level)
         soft = blurred(level)
         pick = np.arange(n)[:, None, None]
@@ -179,10 +198,38 @@ def words(bits: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(bits).view(np.uint64)
 
 
-def band_codes(bits: np.ndarray) -> np.ndarray:
-    """[corner, band]: each descriptor's bands as codes of their tables."""
-    weights = 1 << np.arange(BAND, dtype=np.int64)
-    return np.unpackbits(bits, axis=1)[:, : BAND * BANDS].reshape(-1, BANDS, BAND) @ weights + (np.arange(BANDS, dtype=np.int64) << BAND)
+def entries(f: dict[str, np.ndarray]) -> np.ndarray:
+    """Distinct entries of a picture: hashes of a corner's code, a neighbour's, and where and how the neighbour lies.
+
+    Neighbours are the nearest of the same scale.  Direction and turn are taken from the corner's own
+    orientation, in eighths of a circle, the distance in powers of two of the scale's pixels.
+    """
+    out = [np.zeros(0, np.uint64)]
+    outcomes = np.unpackbits(f["bits"], axis=1).astype(np.uint64)
+    weights = np.uint64(1) << np.arange(CODED.shape[1], dtype=np.uint64)
+    codes = [outcomes[:, c] @ weights + (np.uint64(t) << np.uint64(CODED.shape[1])) for t, c in enumerate(CODED)]
+    eighth = lambda angle: (angle % (2 * np.pi) / (2 * np.pi) * 8).astype(np.uint64) % np.uint64(8)
+    for by in np.unique(f["scale"]):
+        m = np.flatnonzero(f["scale"] == by)
+        k = min(NEIGHBOURS, len(m) - 1)
+        if k < 1:
+            continue
+        y, x = f["place"][m].T
+        angles, step = f["angle"][m], max(1, 4 * CELLS // len(m))
+        for at in range(0, len(m), step):
+            own = np.arange(at, min(len(m), at + step))
+            apart = (y[own, None] - y) ** 2 + (x[own, None] - x) ** 2
+            apart[np.arange(len(own)), own] = np.inf
+            near = np.argsort(apart, axis=1, kind="stable")[:, :k]
+            direction = np.arctan2(y[near] - y[own, None], x[near] - x[own, None])
+            far = np.minimum(np.log2(np.sqrt(np.take_along_axis(apart, near, 1)) / by + 1).astype(np.uint64), 7)
+            lie = eighth(direction - angles[own, None]) * np.uint64(64) + eighth(angles[near] - angles[own, None]) * np.uint64(8) + far
+            for code in codes:
+                mine, theirs = code[m][own, None], code[m][near]
+                with np.errstate(over="ignore"):
+                    mixed = mine * np.uint64(0x9E3779B97F4A7C15) ^ (theirs * np.uint64(0xC2B2AE3D27D4EB4F) + lie * np.uint64(0xD6E8FEB86659FD93))
+                    out.append((mixed * np.uint64(0xA0761D6478BD642F)).ravel())
+    return np.unique(np.concatenate(out))
 
 
 def nearest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,8 +291,13 @@ def one_placement(p: np.ndarray, q: np.ndarray, there: np.ndarray) -> np.ndarray
     return most
 
 
-def linked(a: Corners, numbers: np.ndarray, bits: np.ndarray, starts: np.ndarray, matches: int) -> np.ndarray:
-    """Which pictures have ``matches`` corners or more that agree with those of ``a`` on one placement.
+def needed(a: int, b: np.ndarray, matches: int, share: float) -> np.ndarray:
+    """Matches that pictures of so many corners need with one of ``a`` corners."""
+    return np.maximum(matches, np.ceil(share * np.minimum(a, b)).astype(np.int64))
+
+
+def linked(a: Corners, numbers: np.ndarray, bits: np.ndarray, starts: np.ndarray, matches: int = MATCHES, share: float = SHARE) -> np.ndarray:
+    """Which pictures have as many corners as a copy needs that agree with those of ``a`` on one placement.
 
     The pictures' corners follow each other; ``starts`` has where each begins, and the end of the last.
     Corners match if each is the other's nearest in the two pictures, the first of equally near ones.
@@ -254,22 +306,23 @@ def linked(a: Corners, numbers: np.ndarray, bits: np.ndarray, starts: np.ndarray
     out = np.zeros(len(starts) - 1, bool)
     if not len(p):
         return out
-    lo = 0
+    lo, least_of = 0, needed(len(p), np.diff(starts), matches, share)
     while lo < len(out):
         hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + CELLS // len(p), side="right")) - 1)
         base, cuts = starts[lo], starts[lo : hi + 1] - starts[lo]
         y = bits[base : starts[hi]]
         i, least = nearest(x, y)
+        least_here = least_of[lo:hi]
         owner = np.repeat(np.arange(hi - lo), np.diff(cuts))
         j = np.flatnonzero(least <= NEAR)
         chosen = np.zeros((hi - lo, len(p)), bool)
         chosen[owner[j], i[j]] = True
-        j = j[chosen.sum(1)[owner[j]] >= matches]
+        j = j[(chosen.sum(1) >= least_here)[owner[j]]]
         j, i, owner = mutual(x, y, j, i[j], least[j], owner[j])
         counts = np.bincount(owner, minlength=hi - lo)
-        full = np.flatnonzero(counts >= matches)
+        full = np.flatnonzero(counts >= least_here)
         if len(full):
-            keep = counts[owner] >= matches
+            keep = (counts >= least_here)[owner]
             j, i, owner = j[keep], i[keep], owner[keep]
             sizes = counts[full]
             begin = np.cumsum(sizes) - sizes
@@ -279,93 +332,47 @@ def linked(a: Corners, numbers: np.ndarray, bits: np.ndarray, starts: np.ndarray
                     continue
                 there = np.arange(int(sizes[at].max())) < sizes[at][:, None]
                 m = np.where(there, begin[at][:, None] + np.arange(there.shape[1]), begin[at][:, None])
-                out[lo + full[at]] = one_placement(p[i[m]], numbers[j[m] + base], there) >= matches
+                out[lo + full[at]] = one_placement(p[i[m]], numbers[j[m] + base], there) >= least_here[full[at]]
         lo = hi
     return out
 
 
-def agreeing(a: bytes, b: bytes, matches: int = MATCHES) -> bool:
-    """Whether two pictures' corners, as packed, are linked."""
-    (p, x), (q, y) = unpack_features(a), unpack_features(b)
-    return bool(linked((p, words(x)), q, words(y), np.array([0, len(q)]), matches)[0])
-
-
-class Chunk:
-    """Corners of many pictures one after the other, and pictures by code."""
-
-    def __init__(self, table):
-        self.node = table.column("node").to_numpy()
-        parts = [unpack_features(f.as_py()) for f in table.column("features")]
-        self.starts = np.concatenate([[0], np.cumsum([len(p) for p, _ in parts])]).astype(np.int64)
-        bits = np.concatenate([b for _, b in parts])
-        self.numbers, self.bits = np.concatenate([p for p, _ in parts]), words(bits)
-        owner = np.repeat(np.arange(len(parts)), np.diff(self.starts))
-        entries = np.unique(np.stack([band_codes(bits).ravel(), np.repeat(owner, BANDS)], 1), axis=0)
-        self.codes, first = np.unique(entries[:, 0], return_index=True)
-        self.members = np.split(entries[:, 1], first[1:])
-
-    def corners(self, i: int) -> Corners:
-        return self.numbers[self.starts[i] : self.starts[i + 1]], self.bits[self.starts[i] : self.starts[i + 1]]
-
-
-def compared(left: Chunk, right: Chunk | None, matches: int) -> list[tuple[int, int | None, int]]:
-    """All pairs that share a code, each compared once: (node, None, links) and edges (node, other, 0) that span them."""
-    same = right is None
-    right = left if same else right
-    n = len(right.node)
-    met = np.zeros((len(left.node), -(-n // 8)), np.uint8)
-    _, at_l, at_r = np.intersect1d(left.codes, right.codes, assume_unique=True, return_indices=True)
-    for i, j in zip(at_l.tolist(), at_r.tolist(), strict=True):
-        if not same or len(left.members[i]) > 1:
-            row = np.zeros(n, bool)
-            row[right.members[j]] = True
-            met[left.members[i]] |= np.packbits(row)
-    links_l, links_r = np.zeros(len(left.node), np.int64), np.zeros(n, np.int64)
-    up: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while up.get(x, x) != x:
-            up[x] = up.get(up[x], up[x])
-            x = up[x]
-        return x
-
-    for i in range(len(left.node)):
-        j = np.flatnonzero(np.unpackbits(met[i], count=n))
-        j = j[j > i] if same else j
-        if not len(j):
-            continue
-        counts = right.starts[j + 1] - right.starts[j]
-        starts = np.concatenate([[0], np.cumsum(counts)])
-        take = np.repeat(right.starts[j] - starts[:-1], counts) + np.arange(starts[-1])
-        found = j[linked(left.corners(i), right.numbers[take], right.bits[take], starts, matches)]
-        links_l[i] += len(found)
-        links_r[found] += 1
-        for k in found.tolist():
-            a, b = find(int(left.node[i])), find(int(right.node[k]))
-            if a != b:
-                up[max(a, b)] = min(a, b)
-    if same:
-        links_l = links_l + links_r
-    rows: list[tuple[int, int | None, int]] = [(int(left.node[k]), None, int(links_l[k])) for k in np.flatnonzero(links_l)]
-    if not same:
-        rows += [(int(right.node[k]), None, int(links_r[k])) for k in np.flatnonzero(links_r)]
-    return rows + [(x, find(x), 0) for x in list(up)]
-
-
-def copies(images: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """image_id, n_corners, n_links, component_id of ``images`` (image_id, image as binary PGM).
-
-    Two different pictures are linked if at least ``matches`` of their corners agree on one placement;
-    the component is the least image_id that links reach.  Equal pictures are one class.  n_links counts
-    linked classes that were compared.  A null image, one that can't be read, or one without corners has
-    none and is linked with its equals alone (a null with nothing).  Pictures of any size are taken whole;
-    repeated rows are in one class; null ids don't count as least.  An empty table gives no rows; other
-    columns are not read.
-
-    All pairs that share a code are compared, each once.  Pairs of pictures that both have a common code
-    (see BUCKET) are compared chunk by chunk, where links are counted and never listed; of other pairs, at
-    least one picture has only codes that few others have, and these pairs are listed.  A copy of which no
-    corner keeps a whole band of bits is missed.
+def agreeing(a: bytes, others: list[bytes], matches: int = MATCHES, share: float = SHARE) -> np.ndarray:
+    """Which of the other pictures' corners, as packed, are linked with those of ``a``."""
+    p, x = unpack_features(a)
+    parts = [unpack_features(b) for b in others]
+    starts = np.concatenate([[0], np.cumsum([len(q) for q, _ in parts])]).astype(np.int64)
+    return linked((p, words(x)), np.concatenate([q for q, _ in parts]), words(np.concatenate([y for _, y in parts])), starts, matches, share)
+
+
+def verified(pairs: DataFrame, own: DataFrame, matches: int, share: float, name: str) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are linked, from the corners (node, features) of both."""
+    import pyarrow as pa
+
+    both = pairs.join(own.select(F.col("node").alias("b"), F.col("features").alias("fb")), "b").join(own.select(F.col("node").alias("a"), F.col("features").alias("fa")), "a")
+
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(a)) + 1).tolist(), len(a)]
+            keep = [agreeing(batch.column(2)[lo].as_py(), batch.column(3).slice(lo, hi - lo).to_pylist(), matches, share) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) if lo < hi]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(np.concatenate(keep) if keep else [], pa.bool_()))
+
+    return materialize(both.select("a", "b", "fa", "fb").mapInArrow(check, "a long, b long"), name)
+
+
+def copies(images: DataFrame, matches: int = MATCHES, share: float = SHARE) -> DataFrame:
+    """image_id, n_corners, component_id of ``images`` (image_id, image as binary PGM).
+
+    Two different pictures are linked if ``matches`` of their corners, and a ``share`` of the corners of the one
+    that has fewer, agree on one placement; the component is the least image_id that links reach.  Equal pictures are one
+    class.  A null image, one that can't be read, or one without corners has none and is linked with its
+    equals alone (a null with nothing).  Pictures of any size are taken whole; repeated rows are in one
+    class; null ids don't count as least.  An empty table gives no rows; other columns are not read.
+
+    Pictures that share an entry are compared, in two steps: each with the least picture of the entry, and then
+    all that share an entry and are not connected yet.  So a group of copies costs a comparison for
+    each, and no pair that could change a component is left out.  A copy that shares no entry is missed.
     """
     import pyarrow as pa
 
@@ -375,7 +382,7 @@ def copies(images: DataFrame, matches: int = MATCHES) -> DataFrame:
     classes = classes.withColumn("node", F.monotonically_increasing_id())
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["node", "digest", "least", "n_corners", "features", "codes"]
+        names = ["node", "digest", "least", "n_corners", "features", "entries"]
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
@@ -383,112 +390,73 @@ def copies(images: DataFrame, matches: int = MATCHES) -> DataFrame:
                 out: list[dict | None] = [None] * len(pictures)
                 for shape in {p.shape for p in pictures if p is not None and p.size}:
                     some = [i for i, p in enumerate(pictures) if p is not None and p.shape == shape]
-                    for lo in range(0, len(some), max(1, 2_000_000 // (shape[0] * shape[1]))):
-                        mine = some[lo : lo + max(1, 2_000_000 // (shape[0] * shape[1]))]
+                    for lo in range(0, len(some), max(1, 500_000 // (shape[0] * shape[1]))):
+                        mine = some[lo : lo + max(1, 500_000 // (shape[0] * shape[1]))]
                         for i, f in zip(mine, describe(np.stack([pictures[i] for i in mine])), strict=True):
                             out[i] = f
-                rows = []
-                for f in out:
-                    if f is None:
-                        rows.append((0, b"", []))
-                        continue
-                    rows.append((len(f["bits"]), pack_features(f), np.unique(band_codes(f["bits"])).tolist()))
+                rows = [(0, b"", []) if f is None else (len(f["bits"]), pack_features(f), entries(f).view(np.int64)) for f in out]
                 arrays = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.list_(pa.int64())))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *arrays], names)
 
-    described = classes.select("node", "digest", "least", "image").mapInArrow(features, "node long, digest string, least long, n_corners int, features binary, codes array<long>")
+    described = classes.select("node", "digest", "least", "image").mapInArrow(features, "node long, digest string, least long, n_corners int, features binary, entries array<long>")
     described = materialize(described, "image-features")
-    entries = described.select("node", F.explode("codes").alias("code"))
     own = described.select("node", "features")
-    sizes = entries.groupBy("code").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").withColumn("_common", F.col("_n") > BUCKET)
-    sized = materialize(entries.join(sizes.select("code", "_common"), "code"), "image-codes")
-    common = materialize(sized.filter("_common").select("node").distinct(), "image-common")
-
-    # Pairs of which not both have a common code.
-    rare = sized.filter(~F.col("_common")).join(common.withColumn("_in", F.lit(True)), "node", "left").select("code", "node", F.coalesce("_in", F.lit(False)).alias("_in"))
-    one, two = rare.select("code", F.col("node").alias("a"), F.col("_in").alias("_ia")), rare.select("code", F.col("node").alias("b"), F.col("_in").alias("_ib"))
-    pairs = one.join(two, "code").filter((F.col("a") > F.col("b")) & ~(F.col("_ia") & F.col("_ib"))).select("a", "b").distinct()
-    both = pairs.join(own.select(F.col("node").alias("a"), F.col("features").alias("fa")), "a").join(own.select(F.col("node").alias("b"), F.col("features").alias("fb")), "b")
-
-    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [agreeing(x.as_py(), y.as_py(), matches) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    listed = materialize(both.select("a", "b", "fa", "fb").mapInArrow(check, "a long, b long"), "image-pairs")
-
-    # Pairs that both have one, by pairs of chunks.
-    chunked = common.join(own, "node")
-    total = chunked.agg(F.sum(F.length("features"))).first()[0] or 0
-    chunks = max(CHUNKS, -(-total // CHUNK_BYTES))
-    c = F.pmod(F.xxhash64("node"), F.lit(chunks)).cast("int")
-    where = F.transform(F.sequence(F.lit(0), F.lit(chunks - 1)), lambda o: F.struct(F.least(c, o).alias("lo"), F.greatest(c, o).alias("hi"), (c <= o).alias("base")))
-    dealt = chunked.withColumn("_p", F.explode(where)).select("_p.*", "node", "features")
-    dealt = dealt.repartition(max(shuffle_partitions(images.sparkSession), chunks * (chunks + 1) // 2), "lo", "hi").sortWithinPartitions("lo", "hi")
-
-    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held)
-            base = t.column("base").to_numpy()
-            left = t.filter(pa.array(base))
-            right = None if current[0] == current[1] else t.filter(pa.array(~base))
-            if left.num_rows and (right is None or right.num_rows):
-                rows = compared(Chunk(left), Chunk(right) if right is not None else None, matches)
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["a", "b", "weight"])
-
-        for batch in batches:
-            keys = np.stack([batch.column(k).to_numpy() for k in range(2)], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), batch.num_rows]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if lo == hi:
-                    continue
-                k = tuple(keys[lo].tolist())
-                if k != current:
-                    if held:
-                        yield from done()
-                    current, held = k, []
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield from done()
-
-    counted = materialize(dealt.select("lo", "hi", "base", "node", "features").mapInArrow(join, "a long, b long, weight long"), "image-links")
-    ends = listed.select(F.col("a").alias("node"), F.lit(1).alias("weight")).unionByName(listed.select(F.col("b").alias("node"), F.lit(1).alias("weight")))
-    ends = ends.unionByName(counted.filter(F.col("b").isNull()).select(F.col("a").alias("node"), "weight"))
-    degrees = ends.groupBy("node").agg(F.sum("weight").alias("_links"))
-    edges = listed.unionByName(counted.filter(F.col("b").isNotNull()).select("a", "b"))
-    members = connected_components(edges, "image-components").join(described.select("node", "least"), "node")
+    tables = described.select("node", F.explode("entries").alias("entry"))
+    several = tables.groupBy("entry").agg(F.min("node").alias("a"), F.max("node").alias("_top")).filter(F.col("a") < F.col("_top")).select("entry", "a")
+    shared = materialize(tables.join(several, "entry"), "image-entries")
+
+    stars = materialize(shared.filter(F.col("node") > F.col("a")).select("a", F.col("node").alias("b")).distinct(), "image-stars")
+    first = verified(stars, own, matches, share, "image-links")
+    known = connected_components(first, "image-components")
+    placed = shared.join(known.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("entry", "node", F.coalesce("component", "node").alias("_c"))
+    mixed = placed.groupBy("entry").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).filter(F.col("_lo") < F.col("_hi")).select("entry")
+    open_ = materialize(placed.join(mixed, "entry"), "image-open")
+    one, two = open_.select("entry", F.col("node").alias("a"), F.col("_c").alias("_ca")), open_.select("entry", F.col("node").alias("b"), F.col("_c").alias("_cb"))
+    rest = one.join(two, "entry").filter((F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb"))).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    second = verified(rest, own, matches, share, "image-links")
+
+    members = connected_components(first.unionByName(second), "image-components").join(described.select("node", "least"), "node")
     members = materialize(members, "image-members")
     names = members.groupBy("component").agg(F.min("least").alias("_id"))
     named = members.join(names, "component").select("node", "_id")
-    facts = described.select("node", "digest", "least", "n_corners").join(degrees, "node", "left").join(named, "node", "left")
+    facts = described.select("node", "digest", "least", "n_corners").join(named, "node", "left").drop("node")
     out = images.select("image_id", "digest").join(facts, "digest", "left")
-    return out.select("image_id", F.coalesce("n_corners", F.lit(0)).alias("n_corners"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_id", "least", "image_id").alias("component_id"))
+    return out.select("image_id", F.coalesce("n_corners", F.lit(0)).alias("n_corners"), F.coalesce("_id", "least", "image_id").alias("component_id"))
+
+
+def field(k: int, side: int) -> np.ndarray:
+    """A fixed pattern of fine and coarse grain for the k-th component of a vector."""
+    rng = np.random.default_rng([SEED, k])
+    fine, coarse = rng.normal(size=(2, 1, side, side))
+    for n, stack in ((2, fine), (12, coarse)):
+        for _ in range(n):
+            stack[:] = blurred(stack)
+    return (fine / fine.std() + coarse / coarse.std())[0]
 
 
-def mosaics(vectors: DataFrame, side: int = 8, tile: int = 9) -> DataFrame:
-    """image_id, image: each vector as a picture of ``side`` x ``side`` grey tiles or more, in order of its components.
+def textures(vectors: DataFrame, side: int = 72) -> DataFrame:
+    """image_id, image: each vector as a picture, its components the weights of fixed patterns.
 
-    The given tables have no media column; this makes one, of all vectors, in which near-copies of a
-    vector are edited copies of a picture.  Null vectors have null pictures; shorter vectors
-    fill the tiles from the first on, in grey where there is no component, and longer ones get the least
-    square of tiles that holds all their components.
+    The given tables have no media column; this makes one, of all vectors, in which near-copies of a vector
+    are edited copies of a picture, and each part of a picture depends on the whole vector.  Null vectors have
+    null pictures; null and non-finite components count as 0; an empty vector, or one of zeros, is grey.
     """
     import pyarrow as pa
 
     def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns = np.zeros((0, side, side))
         for batch in batches:
             out = []
             for v in batch.column(1):
                 if not v.is_valid:
                     out.append(None)
                     continue
-                x = np.array([0.0 if c is None else c for c in v.as_py()], np.float64)
-                own = max(side, math.isqrt(max(0, len(x) - 1)) + 1)
-                x = np.nan_to_num(np.pad(x, (0, own * own - len(x))))
-                grey = np.clip(128 + 110 * np.tanh(x / (np.sqrt((x * x).mean()) + 1e-12)), 0, 255)
-                out.append(write_pgm(np.kron(grey.reshape(own, own), np.ones((tile, tile))).astype(np.uint8)))
+                x = np.nan_to_num(np.array([0.0 if c is None else c for c in v.as_py()], np.float64), posinf=0.0, neginf=0.0)
+                if len(x) > len(patterns):
+                    patterns = np.concatenate([patterns, [field(k, side) for k in range(len(patterns), len(x))]])
+                most = np.abs(x).max(initial=0.0)
+                x = x / most / np.sqrt(((x / most) ** 2).sum()) if most else x
+                out.append(write_pgm(np.clip(128 + 50 * np.tensordot(x, patterns[: len(x)], 1), 0, 255).astype(np.uint8)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["image_id", "image"])
 
     return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(draw, "image_id long, image binary")

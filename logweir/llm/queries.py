@@ -111,7 +111,7 @@ FROM e
 
 
 def op8_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return images.copies(images.mosaics(table(spark, sf_dir, "embeddings")))
+    return images.copies(images.textures(table(spark, sf_dir, "embeddings")))
 
 
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ class WordIds:
     must be False for a tokenizer whose ids depend on white space; then texts are encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = 200_000, longest: int = 40, split_words: bool = True):
+    def __init__(self, path: str, limit: int = 300_000, longest: int = 40, split_words: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -13,7 +13,7 @@ import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweir.llm.components import connected_components
@@ -26,7 +26,7 @@ APART, SIDE_APART = 2, 150
 RADIUS = 7
 BITS, TURNS = 128, 32
 #: Neighbours that a corner has entries with.
-NEIGHBOURS = 4
+NEIGHBOURS = 5
 #: Differing bits of a match, pixels by which it may miss the common placement, and matches that make a copy:
 #: so many at least, and this share of the corners of the picture that has fewer.
 NEAR, MISS, MATCHES, SHARE = 20, 3.5, 7, 0.2
@@ -46,12 +46,9 @@ def pattern() -> np.ndarray:
 
 
 PATTERN = pattern()
-# The tests whose outcomes an entry has, for each of two tables.  They were chosen one by one, on the
-# corners of 40 random textures, for outcomes that are even and little correlated with those chosen before.
-CODED = np.array([
-    [9, 123, 42, 46, 124, 50, 120, 73, 77, 57, 8, 22, 117, 79, 16, 0, 90, 32],
-    [100, 50, 3, 79, 117, 57, 8, 32, 81, 9, 123, 22, 77, 73, 42, 59, 51, 49],
-])
+# The tests whose outcomes an entry has.  They were chosen one by one, on the corners of 40 random
+# textures, for outcomes that are even and little correlated with those chosen before.
+CODED = np.array([9, 123, 42, 46, 124, 50, 120, 73, 77, 57, 8, 22, 117, 79, 16, 0, 90, 32])
 
 
 def levels(height: int, width: int) -> list[float]:
@@ -198,24 +195,23 @@ def words(bits: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(bits).view(np.uint64)
 
 
-def entries(f: dict[str, np.ndarray]) -> np.ndarray:
-    """Distinct entries of a picture: hashes of a corner's code, a neighbour's, and where and how the neighbour lies.
+def entries(numbers: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Distinct entries of a picture's corners, as unpacked: hashes of a corner's code, a neighbour's, and where and how the neighbour lies.
 
     Neighbours are the nearest of the same scale.  Direction and turn are taken from the corner's own
     orientation, in eighths of a circle, the distance in powers of two of the scale's pixels.
     """
     out = [np.zeros(0, np.uint64)]
-    outcomes = np.unpackbits(f["bits"], axis=1).astype(np.uint64)
-    weights = np.uint64(1) << np.arange(CODED.shape[1], dtype=np.uint64)
-    codes = [outcomes[:, c] @ weights + (np.uint64(t) << np.uint64(CODED.shape[1])) for t, c in enumerate(CODED)]
+    outcomes = np.unpackbits(bits, axis=1).astype(np.uint64)
+    code = outcomes[:, CODED] @ (np.uint64(1) << np.arange(len(CODED), dtype=np.uint64))
     eighth = lambda angle: (angle % (2 * np.pi) / (2 * np.pi) * 8).astype(np.uint64) % np.uint64(8)
-    for by in np.unique(f["scale"]):
-        m = np.flatnonzero(f["scale"] == by)
+    for by in np.unique(numbers[:, 2]):
+        m = np.flatnonzero(numbers[:, 2] == by)
         k = min(NEIGHBOURS, len(m) - 1)
         if k < 1:
             continue
-        y, x = f["place"][m].T
-        angles, step = f["angle"][m], max(1, 4 * CELLS // len(m))
+        y, x, _, angles = numbers[m].T
+        step = max(1, 4 * CELLS // len(m))
         for at in range(0, len(m), step):
             own = np.arange(at, min(len(m), at + step))
             apart = (y[own, None] - y) ** 2 + (x[own, None] - x) ** 2
@@ -224,11 +220,9 @@ def entries(f: dict[str, np.ndarray]) -> np.ndarray:
             direction = np.arctan2(y[near] - y[own, None], x[near] - x[own, None])
             far = np.minimum(np.log2(np.sqrt(np.take_along_axis(apart, near, 1)) / by + 1).astype(np.uint64), 7)
             lie = eighth(direction - angles[own, None]) * np.uint64(64) + eighth(angles[near] - angles[own, None]) * np.uint64(8) + far
-            for code in codes:
-                mine, theirs = code[m][own, None], code[m][near]
-                with np.errstate(over="ignore"):
-                    mixed = mine * np.uint64(0x9E3779B97F4A7C15) ^ (theirs * np.uint64(0xC2B2AE3D27D4EB4F) + lie * np.uint64(0xD6E8FEB86659FD93))
-                    out.append((mixed * np.uint64(0xA0761D6478BD642F)).ravel())
+            with np.errstate(over="ignore"):
+                mixed = code[m][own, None] * np.uint64(0x9E3779B97F4A7C15) ^ (code[m][near] * np.uint64(0xC2B2AE3D27D4EB4F) + lie * np.uint64(0xD6E8FEB86659FD93))
+                out.append((mixed * np.uint64(0xA0761D6478BD642F)).ravel())
     return np.unique(np.concatenate(out))
 
 
@@ -382,7 +376,7 @@ def copies(images: DataFrame, matches: int = MATCHES, share: float = SHARE) -> D
     classes = classes.withColumn("node", F.monotonically_increasing_id())
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["node", "digest", "least", "n_corners", "features", "entries"]
+        names = ["node", "digest", "least", "n_corners", "features"]
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
@@ -394,16 +388,26 @@ def copies(images: DataFrame, matches: int = MATCHES, share: float = SHARE) -> D
                         mine = some[lo : lo + max(1, 500_000 // (shape[0] * shape[1]))]
                         for i, f in zip(mine, describe(np.stack([pictures[i] for i in mine])), strict=True):
                             out[i] = f
-                rows = [(0, b"", []) if f is None else (len(f["bits"]), pack_features(f), entries(f).view(np.int64)) for f in out]
-                arrays = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.list_(pa.int64())))]
+                rows = [(0, b"") if f is None else (len(f["bits"]), pack_features(f)) for f in out]
+                arrays = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *arrays], names)
 
-    described = classes.select("node", "digest", "least", "image").mapInArrow(features, "node long, digest string, least long, n_corners int, features binary, entries array<long>")
+    described = classes.select("node", "digest", "least", "image").mapInArrow(features, "node long, digest string, least long, n_corners int, features binary")
     described = materialize(described, "image-features")
     own = described.select("node", "features")
-    tables = described.select("node", F.explode("entries").alias("entry"))
-    several = tables.groupBy("entry").agg(F.min("node").alias("a"), F.max("node").alias("_top")).filter(F.col("a") < F.col("_top")).select("entry", "a")
-    shared = materialize(tables.join(several, "entry"), "image-entries")
+
+    def enter(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [entries(*unpack_features(x.as_py())).view(np.int64) for x in part.column(1)]
+                nodes = np.repeat(part.column(0).to_numpy(), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(found))], ["node", "entry"])
+
+    tables = own.mapInArrow(enter, "node long, entry long")
+    same = Window.partitionBy("entry")  # two numbers a row, which Spark spills where an entry is widespread
+    tables = tables.withColumn("a", F.min("node").over(same)).withColumn("_top", F.max("node").over(same))
+    shared = materialize(tables.filter(F.col("a") < F.col("_top")).select("entry", "node", "a"), "image-entries")
 
     stars = materialize(shared.filter(F.col("node") > F.col("a")).select("a", F.col("node").alias("b")).distinct(), "image-stars")
     first = verified(stars, own, matches, share, "image-links")

@@ -2,8 +2,9 @@
 
 For each language a suffix automaton of labelled text is trained.  A text is parsed into the longest
 phrases that occur in a language's training text; the language that needs the fewest phrases for each
-letter wins.  The automata become dense transition tables, so that many stretches of text are parsed in
-step, one table lookup for each character and language.
+letter wins.  The automata become transition tables, so that many stretches of text are parsed in step, one
+lookup for each character and language: in a dense table for the commonest letters, by binary search among the
+transitions there are for all others.
 """
 
 from __future__ import annotations
@@ -16,25 +17,25 @@ from pyspark.sql import functions as F
 
 from logweir.llm.samples import class_sample
 
-#: Documented bounds of what is learned from: texts and their length, and characters of each language.
-TEXTS_PER_LANGUAGE = 400
-LONGEST_TEXT = 20_000
-CHARACTERS = 40_000
+#: Documented bound of what is learned from: rows of each language, whose texts are taken whole.
+TEXTS_PER_LANGUAGE = 32
 STRETCH = 512
+#: Letters with a column in the dense tables, and entries of such a table, at most.
+DENSE, DENSE_ENTRIES = 128, 1 << 24
 
 
 class Alphabet:
-    """Classes of characters: 0 for what isn't a letter, then the letters of the training text by frequency, last the rest."""
+    """Classes of characters: 0 for what isn't a letter, then all letters of the training text by frequency, last the rest."""
 
-    def __init__(self, texts: Iterable[str], most: int = 120):
+    def __init__(self, texts: Iterable[str]):
         counts: dict[str, int] = {}
         for text in texts:
             for ch in set(text.lower()):
                 if ch.isalpha():
                     counts[ch] = counts.get(ch, 0) + 1
-        letters = sorted(counts, key=lambda c: (-counts[c], c))[:most]
+        letters = sorted(counts, key=lambda c: (-counts[c], c))
         self.size = len(letters) + 2
-        self.table = np.zeros(0x110000, np.uint8)
+        self.table = np.zeros(0x110000, np.int32)
         for i in range(0x110000):
             if not 0xD800 <= i < 0xE000 and chr(i).isalpha():
                 self.table[i] = self.size - 1
@@ -51,8 +52,8 @@ class Alphabet:
         return c
 
 
-def suffix_automaton(codes: np.ndarray, size: int) -> np.ndarray:
-    """Transitions of the suffix automaton of ``codes``: rows are states, state 0 the start; -1 for none."""
+def suffix_automaton(codes: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton of ``codes``, for each state; state 0 is the start."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes.tolist():
@@ -78,34 +79,58 @@ def suffix_automaton(codes: np.ndarray, size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    out = np.full((len(nxt), size), -1, np.int32)
-    for s, t in enumerate(nxt):
-        if t:
-            out[s, list(t)] = list(t.values())
-    return out
+    return nxt
 
 
-def parse_table(transitions: np.ndarray) -> np.ndarray:
+class ParseTable:
     """Where a parse goes from a state on a character, times two, plus one where a phrase begins with it.
 
-    A phrase ends where the automaton has no transition, and the character begins the next.  The last row
-    is the state before the first phrase, and after a character that doesn't occur in the training text,
+    A phrase ends where the automaton has no transition, and the character begins the next.  The last state
+    is the one before the first phrase, and after a character that doesn't occur in the training text,
     which is a phrase of its own.
     """
-    none = len(transitions)
-    start = np.where(transitions[0] >= 0, transitions[0], none)
-    inner = np.where(transitions >= 0, 2 * transitions, 2 * start[None, :] + 1)
-    return np.concatenate([inner, 2 * start[None, :] + 1]).astype(np.int32)
+
+    def __init__(self, nxt: list[dict[int, int]], size: int):
+        self.size, self.none = size, len(nxt)
+        self.columns = max(1, min(DENSE, size, DENSE_ENTRIES // (len(nxt) + 1)))
+        begin = np.full(size, self.none, np.int64)
+        for c, t in nxt[0].items():
+            begin[c] = t
+        self.begin = (2 * begin + 1).astype(np.int32)
+        dense = np.tile(self.begin[: self.columns], (len(nxt) + 1, 1))
+        rare: list[tuple[int, int]] = []
+        for s, to in enumerate(nxt):
+            for c, t in to.items():
+                if c < self.columns:
+                    dense[s, c] = 2 * t
+                else:
+                    rare.append((s * size + c, 2 * t))
+        self.dense = dense.ravel()
+        rare.sort()
+        self.keys, self.goals = (np.array([r[k] for r in rare], np.int64) for k in (0, 1))
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        to = self.dense[state * self.columns + np.minimum(code, self.columns - 1)]
+        rare = np.flatnonzero(code >= self.columns)
+        if len(rare):
+            c = code[rare]
+            to[rare] = self.begin[c]
+            if len(self.keys):
+                asked = state[rare].astype(np.int64) * self.size + c
+                at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+                known = self.keys[at] == asked
+                to[rare[known]] = self.goals[at[known]]
+        return to
 
 
 class LanguageModel:
-    def __init__(self, texts: dict[str, list[str]], characters: int = CHARACTERS):
+    def __init__(self, texts: dict[str, list[str]]):
         self.languages = sorted(texts)
         self.alphabet = Alphabet(t for ts in texts.values() for t in ts)
         self.tables = []
         for lang in self.languages:
-            codes = np.concatenate([self.alphabet.codes(t + "\n") for t in texts[lang]])[:characters]
-            self.tables.append(parse_table(suffix_automaton(codes, self.alphabet.size)).ravel())
+            codes = np.concatenate([self.alphabet.codes(t + "\n") for t in texts[lang]])
+            self.tables.append(ParseTable(suffix_automaton(codes), self.alphabet.size))
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text in each language, and letters of each text.
@@ -130,13 +155,13 @@ class LanguageModel:
             grid[: lengths[column], column] = stretches[k]
         alive = np.searchsorted(-lengths, -np.arange(STRETCH), side="left")  # stretches longer than step
         for k, table in enumerate(self.tables):
-            state = np.full(len(stretches), len(table) // self.alphabet.size - 1, np.int32)
+            state = np.full(len(stretches), table.none, np.int32)
             begun = np.zeros(len(stretches), np.int64)
             for step in range(STRETCH):
                 n = alive[step]
                 if not n:
                     break
-                to = table[state[:n] * self.alphabet.size + grid[step, :n]]
+                to = table.step(state[:n], grid[step, :n])
                 begun[:n] += to & 1
                 state[:n] = to >> 1
             counts[k] = np.bincount(owner_, begun, len(texts)).astype(np.int64)
@@ -156,9 +181,12 @@ class LanguageModel:
         return out
 
 
-def train_language(rows: DataFrame, label: str = "lang", per_class: int = TEXTS_PER_LANGUAGE, longest: int = LONGEST_TEXT, characters: int = CHARACTERS) -> LanguageModel:
-    """A model of the languages in ``rows`` (doc_id, text, ``label``), from a bounded sample of them."""
-    return LanguageModel(class_sample(rows, label, per_class, longest), characters)
+def train_language(rows: DataFrame, label: str = "lang", per_class: int = TEXTS_PER_LANGUAGE) -> LanguageModel:
+    """A model of the languages in ``rows`` (doc_id, text, ``label``), from about ``per_class`` whole texts of each.
+
+    Rows with a null label or text teach nothing; without any row the model knows no language and all is ``und``.
+    """
+    return LanguageModel(class_sample(rows, label, per_class)[0])
 
 
 def identify_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -171,7 +199,7 @@ def identify_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """
     import pyarrow as pa
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # some megabytes a language, bounded by CHARACTERS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the sampled texts make it
 
     def identify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "lang_pred", "score"]

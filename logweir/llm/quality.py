@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 
 from logweir.llm.samples import class_sample
 
-#: Documented bounds of what is learned from, and the fixed sizes of the method.
+#: Documented bound of what is learned from: rows of each class, whose texts are taken whole.
 TEXTS_PER_CLASS = 2000
-LONGEST_TEXT = 20_000
-DICTIONARY_BYTES = 64 << 10
-CHUNK = 2048
+#: Pairs of dictionaries: their bytes, and those of the stretches that they compress.
+SETS = ((64 << 10, 2048), (112 << 10, 512), (8 << 10, 2048), (112 << 10, 256), (16 << 10, 128))
 
 
-def chunks(text: bytes, size: int = CHUNK) -> list[bytes]:
+def chunks(text: bytes, size: int) -> list[bytes]:
     """Equal stretches of a text of about ``size`` bytes, so that a dictionary helps all of a long text."""
     n = max(1, round(len(text) / size))
     step = -(-len(text) // n) or 1
@@ -26,24 +25,29 @@ def chunks(text: bytes, size: int = CHUNK) -> list[bytes]:
 
 
 class QualityModel:
-    """Two dictionaries, and a logistic curve from compressed-size differences to a probability.
+    """Pairs of dictionaries, and a logistic curve from compressed-size differences to a probability.
 
-    Of each class half of the sample trains the dictionaries, the other half the curve.  The features are
-    the difference of the sizes under the two dictionaries, normalised by the length, over the whole text
-    and in the stretch that speaks most for bad, and how well the text compresses at all.
+    Of each class half of the sample trains the dictionaries, the other half the curve.  A feature is a
+    difference of the sizes under the two dictionaries of a pair: over the whole text, by its length and by the smaller
+    size, and by the smaller size in the stretch that speaks most for bad, most for good, and in the median one.
+    The curve's constant is moved from the sample's shares of the classes to those of all labelled rows
+    (``counts``: of good, of bad), so it doesn't depend on how many of each were drawn.
     """
 
-    def __init__(self, good: list[str], bad: list[str], dictionary_bytes: int = DICTIONARY_BYTES):
+    def __init__(self, good: list[str], bad: list[str], counts: tuple[int, int] | None = None, sets: tuple[tuple[int, int], ...] = SETS):
         texts = [[t.encode() for t in c] for c in (good, bad)]
-        self.raw = [self._dictionary([c for t in own[::2] for c in chunks(t)], dictionary_bytes) for own in texts]
+        self.sizes = [chunk for _, chunk in sets]
+        self.raw = [[self._dictionary([c for t in own[::2] for c in chunks(t, chunk)], size) for own in texts] for size, chunk in sets]
         self._ready()
-        self.mean = self.scale = None
         rows = [self.features(t) for own in texts for t in own[1::2]]
         labels = np.array([1.0] * len(texts[0][1::2]) + [0.0] * len(texts[1][1::2]))
-        x = np.array(rows).reshape(-1, 3)
-        self.mean = x.mean(0) if len(x) else np.zeros(3)
-        self.scale = x.std(0) + 1e-9 if len(x) else np.ones(3)
+        x = np.array(rows).reshape(-1, 5 * len(sets))
+        self.mean = x.mean(0) if len(x) else np.zeros(x.shape[1])
+        self.scale = x.std(0) + 1e-9 if len(x) else np.ones(x.shape[1])
         self.weights = self._fit(self._standard(x), labels)
+        n_good, n_bad = counts or (len(good), len(bad))
+        if labels.sum() and labels.sum() < len(labels) and n_good and n_bad:
+            self.weights[0] += np.log(n_good / n_bad) - np.log(labels.sum() / (len(labels) - labels.sum()))
 
     @staticmethod
     def _dictionary(samples: list[bytes], size: int) -> bytes:
@@ -53,7 +57,8 @@ class QualityModel:
             return b"".join(samples)[-size:] or b" " * 8
 
     def _ready(self) -> None:
-        self.zips = [zstandard.ZstdCompressor(level=3, dict_data=self._as_dict(raw), write_content_size=False, write_checksum=False, write_dict_id=False) for raw in self.raw]
+        make = lambda raw: zstandard.ZstdCompressor(level=3, dict_data=self._as_dict(raw), write_content_size=False, write_checksum=False, write_dict_id=False)
+        self.zips = [[make(raw) for raw in pair] for pair in self.raw]
 
     @staticmethod
     def _as_dict(raw: bytes) -> zstandard.ZstdCompressionDict:
@@ -89,12 +94,15 @@ class QualityModel:
                 break
         return w
 
-    def features(self, text: bytes) -> tuple[float, float, float]:
-        parts = chunks(text)
-        sizes = np.array([[len(z.compress(p)) for z in self.zips] for p in parts], float)
-        lengths = np.array([max(1, len(p)) for p in parts], float)
-        difference = (sizes[:, 1] - sizes[:, 0]) / lengths
-        return float((sizes[:, 1] - sizes[:, 0]).sum() / lengths.sum()), float(difference.min()), float(sizes.min(1).sum() / lengths.sum())
+    def features(self, text: bytes) -> list[float]:
+        out: list[float] = []
+        for (good, bad), size in zip(self.zips, self.sizes, strict=True):
+            parts = chunks(text, size)
+            sizes = np.array([(len(good.compress(p)), len(bad.compress(p))) for p in parts], float)
+            difference, smaller = sizes[:, 1] - sizes[:, 0], sizes.min(1)
+            shares = difference / smaller
+            out += [difference.sum() / max(1, len(text)), difference.sum() / smaller.sum(), shares.min(), shares.max(), float(np.median(shares))]
+        return out
 
     def score(self, text: bytes | None) -> float:
         x = self._standard(np.array(self.features(text or b"")))
@@ -102,10 +110,13 @@ class QualityModel:
         return 1 / (1 + float(np.exp(-max(-30.0, min(30.0, z)))))
 
 
-def train_quality(rows: DataFrame, label: str = "quality", per_class: int = TEXTS_PER_CLASS, longest: int = LONGEST_TEXT) -> QualityModel:
-    """A model from ``rows`` (doc_id, text, ``label`` 1 for good or 0 for bad), from a bounded sample of them."""
-    texts = class_sample(rows.withColumn("_int", F.col(label).cast("int")).filter(F.col("_int").isin(0, 1)), "_int", per_class, longest)
-    return QualityModel(texts.get(1, []), texts.get(0, []))
+def train_quality(rows: DataFrame, label: str = "quality", per_class: int = TEXTS_PER_CLASS) -> QualityModel:
+    """A model from ``rows`` (doc_id, text, ``label`` 1 for good or 0 for bad), from about ``per_class`` whole texts of each.
+
+    Rows with another or a null label, or a null text, teach nothing; without rows of both classes all scores are near those of the one there is.
+    """
+    texts, counts = class_sample(rows.withColumn("_int", F.col(label).cast("int")).filter(F.col("_int").isin(0, 1)), "_int", per_class)
+    return QualityModel(texts.get(1, []), texts.get(0, []), (counts.get(1, 0), counts.get(0, 0)))
 
 
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -116,7 +127,7 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     """
     import pyarrow as pa
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of a fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # dictionaries of fixed sizes
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,14 +138,14 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def filter_quality(docs: DataFrame, model: QualityModel, least: float) -> DataFrame:
-    """The rows of ``docs`` whose text scores ``least`` or more, with all their columns."""
+    """The rows of ``docs`` whose text scores ``least`` or more, with all their columns; a null text is scored as an empty one."""
     import pyarrow as pa
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of a fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # dictionaries of fixed sizes
     at = docs.columns.index("text")
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([shared.value.score(t.encode() if (t := v.as_py()) is not None else None) >= least for v in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([shared.value.score(t.encode() if isinstance(t := v.as_py(), str) else t) >= least for v in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -19,6 +19,11 @@ def remainder(divisor: int):
     return F.crc32(F.col("doc_id").cast("string")) % divisor
 
 
+def held_out(divisor: int, rest: int):
+    """Whether nothing is learned from a row for its id; a null id isn't held out, and nothing is learned from its row either."""
+    return F.coalesce(remainder(divisor) == rest, F.lit(False)).alias("held_out")
+
+
 def op1_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
@@ -27,7 +32,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.train_language(docs.filter(remainder(3) != 1))
     found = language.identify_language(docs, model)
-    return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out(3, 1), "lang_pred", "score")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +68,7 @@ FROM w LEFT JOIN k ON w.doc_id = k.doc_id
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score_quality(docs, quality_model(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.QualityModel:

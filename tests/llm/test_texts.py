@@ -347,9 +347,13 @@ def test_mixed_rows(spark):
     assert mixing.mix_documents(empty(spark)).count() == 0
 
 
+def as_text(alphabet, text):
+    return "".join(map(chr, alphabet.codes(text).tolist()))
+
+
 def phrases(text, training, alphabet):
     """Greedy longest matches by search, stretch by stretch."""
-    codes = alphabet.codes(text).tobytes()
+    codes = as_text(alphabet, text)
     n = 0
     for at in range(0, len(codes), language.STRETCH):
         part = codes[at : at + language.STRETCH]
@@ -369,7 +373,7 @@ def test_cross_parsing_counts_longest_matches():
     probes = ["the hat", "der Hut, die Straße!", "", "12 34", "xyzzy", "the dog über " * 200, "日本"]
     counts, letters = model.phrases(probes)
     for k, lang in enumerate(model.languages):
-        training = model.alphabet.codes(texts[lang][0] + "\n").tobytes()
+        training = as_text(model.alphabet, texts[lang][0] + "\n")
         assert counts[k].tolist() == [phrases(p, training, model.alphabet) for p in probes]
     assert letters.tolist() == [sum(c.isalpha() for c in p) for p in probes]
     assert [p[0] for p in model.predict([*probes, None])] [:4] == ["aa", "bb", "und", "und"]
@@ -403,11 +407,83 @@ def test_quality(spark):
     assert 0 <= untrained.score(None) <= 1
 
 
-def test_classes_of_long_texts_are_sampled(spark):
+def test_classes_are_sampled_by_rows(spark):
     from logweir.llm.samples import class_sample
 
     long = "".join(chr(97 + i % 26) for i in range(5000))
-    rows = [(i, long, "long") for i in range(3)] + [(10, "short", "short"), (11, None, "short"), (12, "x", None)]
-    got = class_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang", 10, 100)
-    assert set(got) == {"long", "short"} and got["short"] == ["short"]
-    assert len(got["long"]) == 3 and all(len(t) == 100 and t in long for t in got["long"]) and len(set(got["long"])) > 1
+    rows = [(i, long, "long") for i in range(3)] + [(10, "short", "short"), (11, None, "short"), (12, "x", None)] + [(100 + i, f"t{i}", "many") for i in range(2000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got, counts = class_sample(table, "lang", 40)
+    assert counts == {"long": 3, "short": 1, "many": 2000} and got["long"] == [long] * 3 and got["short"] == ["short"] and 15 <= len(got["many"]) <= 80
+    assert class_sample(table.repartition(7), "lang", 40)[0] == got and class_sample(table.limit(0), "lang", 40) == ({}, {})
+
+
+def test_languages_of_large_alphabets():
+    rng = np.random.default_rng(5)
+    signs = [chr(0x4E00 + i) for i in range(3000)]
+    words = {k: [[signs[i] for i in rng.integers(1000 * (k == "b"), 1000 * (k == "b") + 2000, 3)] for _ in range(800)] for k in "ab"}
+    text = lambda k, n: " ".join("".join(words[k][i]) for i in rng.integers(0, 800, n))
+    model = language.LanguageModel({k: [text(k, 300) for _ in range(8)] for k in "ab"})
+    assert model.alphabet.size > 1500 and any(len(t.keys) for t in model.tables)
+    probes = [text("ab"[i % 2], 12) for i in range(60)]
+    assert [p[0] for p in model.predict(probes)] == ["ab"[i % 2] for i in range(60)]
+    counts, _ = model.phrases(probes[:6])
+    training = {k: t for k, t in zip("ab", model.tables, strict=True)}
+    assert all(t.columns <= language.DENSE for t in training.values()) and (counts > 0).all()
+
+
+def test_large_alphabets_are_parsed_as_by_search(monkeypatch):
+    monkeypatch.setattr(language, "DENSE", 3)
+    texts = {"aa": ["the cat sat on the mat and the dog"], "bb": ["der hund lief über die straße und"]}
+    model = language.LanguageModel(texts)
+    probes = ["the hat", "der Hut, die Straße!", "xyzzy", "the dog über " * 200, "日本"]
+    counts, _ = model.phrases(probes)
+    for k, lang in enumerate(model.languages):
+        training = as_text(model.alphabet, texts[lang][0] + "\n")
+        assert counts[k].tolist() == [phrases(p, training, model.alphabet) for p in probes]
+
+
+def test_quality_does_not_depend_on_how_many_were_drawn():
+    good = [prose(i, 60) for i in range(160)]
+    bad = [" ".join(f"{w.upper()}!!" if k % 3 else w for k, w in enumerate(prose(1000 + i, 60).split())) for i in range(40)]
+    few = quality.QualityModel(good[:40], bad, (160, 40))
+    all_ = quality.QualityModel(good, bad, (160, 40))
+    probes = [prose(3000 + i, 40) for i in range(20)] + [" ".join(w.upper() + "!!" for w in prose(4000 + i, 40).split()) for i in range(20)]
+    a, b = (np.array([m.score(p.encode()) for p in probes]) for m in (few, all_))
+    assert np.abs(a - b).mean() < 0.1 and ((a >= 0.3) == (b >= 0.3)).all()
+
+
+def test_scores_from_differences_by_brute_force():
+    """Features again from scratch: sizes under each dictionary, stretch by stretch."""
+    good, bad = [prose(i, 60) for i in range(30)], [prose(900 + i, 60).upper() for i in range(30)]
+    model = quality.QualityModel(good, bad)
+    text = (good[3] + " " + bad[2]).encode()
+    want = []
+    for (g, b), size in zip(model.raw, model.sizes, strict=True):
+        n = max(1, round(len(text) / size))
+        step = -(-len(text) // n)
+        parts = [text[i : i + step] for i in range(0, len(text), step)]
+        z = [[len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(p)) for d in (g, b)] for p in parts]
+        shares = [(y - x) / min(x, y) for x, y in z]
+        want += [sum(y - x for x, y in z) / len(text), sum(y - x for x, y in z) / sum(map(min, z)), min(shares), max(shares), float(np.median(shares))]
+    assert np.abs(np.array(model.features(text)) - want).max() < 0.02
+    x = np.clip((np.array(model.features(text)) - model.mean) / model.scale, -3, 3)
+    assert model.score(text) == pytest.approx(1 / (1 + np.exp(-(model.weights[0] + x @ model.weights[1:]))))
+
+
+@pytest.mark.parametrize("name", ["op2_language_id", "op5_quality_classifier"])
+def test_held_out_accuracy(spark, name):
+    """The registered queries over whole tables, on the rows that they didn't learn from."""
+    from logweir.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in queries.queries()[name](spark, folder).collect()}
+    docs = queries.table(spark, folder, "documents").select("doc_id", "text", "lang").collect()
+    assert len(got) == len(docs) and all(got[d["doc_id"]]["held_out"] == (zlib.crc32(str(d["doc_id"]).encode()) % (3 if "2" in name else 5) == (1 if "2" in name else 0)) for d in docs)
+    if "2" in name:
+        held = [(d["lang"], got[d["doc_id"]]["lang_pred"]) for d in docs if got[d["doc_id"]]["held_out"] and d["lang"] and any(c.isalpha() for c in d["text"] or "")]
+        assert np.mean([a == b for a, b in held]) >= 0.98
+    else:
+        labels = {r["doc_id"]: r["quality"] for r in queries.table(spark, folder, "labels").collect()}
+        held = [(labels[i], r["predicted"]) for i, r in got.items() if r["held_out"] and labels.get(i) is not None]
+        assert len(held) > 40 and np.mean([a == b for a, b in held]) >= 0.9

@@ -20,7 +20,7 @@ WALK = 128
 FIRST_DAY, LAST_DAY = "1900-01-01", "2099-12-31"
 
 # Patterns of the kinds, in order of precedence.
-SECRET = r"""(?<![A-Za-z])(?i:token|secret|passw(?:or)?d|api[_-]?key)["']?\s?[=:]\s?["']?[0-9A-Fa-f]{16,128}(?![0-9A-Za-z])"""
+SECRET = r"""(?<![A-Za-z])(?i:token|secret|passw(?:or)?d|api[_-]?key)["']?\s?[=:]\s?["']?(?=[A-Za-z_+/-]*[0-9])[0-9A-Za-z_+/-]{16,128}(?![0-9A-Za-z_+/-])"""
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
 #: Countries by the characters of their IBANs.
 IBAN_LENGTHS = {
@@ -44,10 +44,12 @@ def iban_pattern() -> str:
 IBAN = iban_pattern()
 DATE = r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?![0-9A-Za-z/-])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
-PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\([0-9]{3}\) ?[0-9]{3}[.-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])"
+PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9](?:[ .-]?\(?[0-9]\)?){8,14}|\([0-9]{3}\) ?[0-9]{3}[.-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])"
 IP = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
+IPV6 = r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*[0-9])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){1,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,4})?|(?=[A-Fa-f:]*[0-9])[0-9A-Fa-f]{1,4}::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})(?![0-9A-Za-z:]|\.[0-9])"
 CARD = r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])"
-KINDS = {"secret": SECRET, "email": EMAIL, "iban": IBAN, "date": DATE, "ssn": SSN, "phone": PHONE, "ip": IP, "card": CARD}
+KINDS = {"secret": SECRET, "email": EMAIL, "iban": IBAN, "date": DATE, "ssn": SSN, "phone": PHONE, "ip": IP, "ipv6": IPV6, "card": CARD}
+LATER = "|".join(p for k, p in KINDS.items() if k not in ("secret", "email", "iban"))
 ANY = "|".join(KINDS.values())
 
 
@@ -104,13 +106,17 @@ def feistel(text: Column, kind: str, key: str, hexadecimal: bool = False) -> Col
 
 
 def walked(start: Column, step, valid) -> Column:
-    """``step`` again and again until ``valid``: a permutation of the valid values alone."""
+    """``step`` again and again until ``valid``: a permutation of the valid values alone.
+
+    More than half of all values are valid, so WALK steps are enough but for a chance of 2**-WALK, when
+    an invalid value of the same format comes out.
+    """
     state = F.struct(start.alias("v"), F.lit(False).alias("done"))
 
     def go(acc: Column, _: Column) -> Column:
         return F.when(acc["done"], acc).otherwise(let(step(acc["v"]), lambda v: F.struct(v.alias("v"), valid(v).alias("done"))))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), state, go, lambda a: F.when(a["done"], a["v"]).otherwise(start))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), state, go, lambda a: a["v"])
 
 
 def digits(value: Column) -> Column:
@@ -167,10 +173,11 @@ def phone_valid(value: Column) -> Column:
 
 
 def phone(value: Column, key: str) -> Column:
-    """The last ten digits are permuted; a country code stays."""
+    """The last ten digits are permuted, or as many as follow a country code of two digits; the code stays."""
 
     def own(d: Column) -> Column:
-        return F.concat(F.substring(d, F.lit(1), F.length(d) - 10), feistel(F.substring(d, F.length(d) - 9, F.lit(10)), "phone", key))
+        n = F.when(value.startswith("+") & (F.length(d) < 12) & ~d.startswith("1"), F.length(d) - 2).otherwise(F.lit(10))
+        return let(n, lambda m: F.concat(F.substring(d, F.lit(1), F.length(d) - m), feistel(F.substring(d, F.length(d) - m + 1, m), "phone", key)))
 
     return let(digits(value), lambda d: poured(value, own(d)))
 
@@ -186,6 +193,14 @@ def ip(value: Column, key: str) -> Column:
     return let(out, lambda h: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10)), "."))
 
 
+def ipv6(value: Column, key: str) -> Column:
+    """The hexadecimal digits are permuted in their places."""
+    small = F.lower(value)
+    core = F.regexp_replace(small, ":", "")
+    moved = poured(small, feistel(core, "ipv6", key, hexadecimal=True), "[0-9a-f]")
+    return F.when(value == small, moved).otherwise(F.upper(moved))
+
+
 def date_parts(value: Column) -> dict[str, Column]:
     """Year, month and day of a value in one of the formats; day before month unless only the other way is a date."""
     d, year_first = digits(value), value.rlike("^[0-9]{4}[-/]")
@@ -252,10 +267,12 @@ def email(value: Column, key: str) -> Column:
 
 
 def secret(value: Column, key: str) -> Column:
-    """The hexadecimal secret is permuted; what introduces it stays."""
-    core = F.regexp_extract(value, "([0-9A-Fa-f]{16,128})$", 1)
+    """The secret is permuted, as hexadecimal digits if it has no others, else each character in its class; what introduces it stays."""
+    core = F.regexp_extract(value, "([0-9A-Za-z_+/-]{16,128})$", 1)
     upper = core == F.upper(core)
-    return let(feistel(F.lower(core), "secret", key, hexadecimal=True), lambda h: F.concat(F.substring(value, F.lit(1), F.length(value) - F.length(core)), F.when(upper, F.upper(h)).otherwise(h)))
+    as_hex = let(feistel(F.lower(core), "secret", key, hexadecimal=True), lambda h: F.when(upper, F.upper(h)).otherwise(h))
+    new = F.when(core.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), as_hex).otherwise(feistel(core, "secret", key))
+    return F.concat(F.substring(value, F.lit(1), F.length(value) - F.length(core)), new)
 
 
 def always(value: Column) -> Column:
@@ -264,7 +281,7 @@ def always(value: Column) -> Column:
 
 RULES = {
     "secret": (always, secret), "email": (always, email), "iban": (iban_valid, iban), "date": (date_valid, date), "ssn": (lambda v: ssn_core_valid(digits(v)), ssn),
-    "phone": (phone_valid, phone), "ip": (ip_valid, ip), "card": (card_valid, card),
+    "phone": (phone_valid, phone), "ip": (ip_valid, ip), "ipv6": (always, ipv6), "card": (card_valid, card),
 }
 
 
@@ -276,6 +293,13 @@ def kind_of(value: Column) -> Column:
     return out
 
 
+def pieces(value: Column) -> Column:
+    """A found value as an array: itself, or, if it has the shape of an IBAN and isn't one, what later kinds find in it and what lies between."""
+    inner = F.concat(F.regexp_extract_all(value, F.lit(LATER), F.lit(0)), F.array(F.lit("")))
+    apart = F.flatten(F.zip_with(F.split(value, LATER, -1), inner, lambda gap, p: F.array(gap, p)))
+    return F.when(value.rlike(whole(IBAN)) & ~iban_valid(value), apart).otherwise(F.array(value))
+
+
 def pseudonym(found: Column, key: str) -> Column:
     """The pseudonym of a struct (kind, value); the value itself where the kind is null."""
     out = F
@@ -295,12 +319,12 @@ def pseudonymize(docs: DataFrame, key: str, column: str = "text", kinds: str | N
     """
     text = F.col(column)
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    named = F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda v: F.struct(kind_of(v).alias("kind"), v.alias("value")))
+    named = F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda v: F.transform(pieces(v), lambda p: F.struct(kind_of(p).alias("kind"), p.alias("value"))))
     docs = docs.withColumn(FOUND, named)
-    new = F.concat(F.transform(FOUND, lambda f: pseudonym(f, key)), F.array(F.lit("")))
+    new = F.concat(F.transform(FOUND, lambda fs: F.array_join(F.transform(fs, lambda f: pseudonym(f, key)), "")), F.array(F.lit("")))
     rewritten = F.array_join(F.zip_with(F.split(text, ANY, -1), new, lambda gap, p: F.concat(gap, p)), "")
-    touched = F.exists(FOUND, lambda f: f["kind"].isNotNull())
+    touched = F.exists(FOUND, lambda fs: F.exists(fs, lambda f: f["kind"].isNotNull()))
     docs = docs.withColumn(column, F.when(touched, rewritten).otherwise(text))
     if kinds:
-        docs = docs.withColumn(kinds, F.filter(F.transform(FOUND, lambda f: f["kind"]), lambda k: k.isNotNull()))
+        docs = docs.withColumn(kinds, F.filter(F.transform(F.flatten(FOUND), lambda f: f["kind"]), lambda k: k.isNotNull()))
     return docs.drop(FOUND)

@@ -20,8 +20,8 @@ from logweir.llm.samples import class_sample
 #: Documented bound of what is learned from: rows of each language, whose texts are taken whole.
 TEXTS_PER_LANGUAGE = 32
 STRETCH = 512
-#: Letters with a column in the dense tables, and entries of such a table, at most.
-DENSE, DENSE_ENTRIES = 128, 1 << 24
+#: Letters with a column in the dense tables, and entries of all languages' tables together, at most.
+DENSE, DENSE_ENTRIES = 128, 1 << 25
 
 
 class Alphabet:
@@ -90,24 +90,28 @@ class ParseTable:
     which is a phrase of its own.
     """
 
-    def __init__(self, nxt: list[dict[int, int]], size: int):
+    def __init__(self, nxt: list[dict[int, int]], size: int, entries: int = DENSE_ENTRIES):
         self.size, self.none = size, len(nxt)
-        self.columns = max(1, min(DENSE, size, DENSE_ENTRIES // (len(nxt) + 1)))
-        begin = np.full(size, self.none, np.int64)
-        for c, t in nxt[0].items():
-            begin[c] = t
-        self.begin = (2 * begin + 1).astype(np.int32)
-        dense = np.tile(self.begin[: self.columns], (len(nxt) + 1, 1))
-        rare: list[tuple[int, int]] = []
-        for s, to in enumerate(nxt):
-            for c, t in to.items():
-                if c < self.columns:
-                    dense[s, c] = 2 * t
-                else:
-                    rare.append((s * size + c, 2 * t))
+        self.columns = max(1, min(DENSE, size, entries // (len(nxt) + 1)))
+        rows = sorted((s * size + c, 2 * t) for s, to in enumerate(nxt) for c, t in to.items())
+        self.__setstate__(self.__dict__ | {"moves": (np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int32))})
+
+    def __getstate__(self) -> dict:
+        """Only the transitions there are; each worker makes its tables of them."""
+        return {k: v for k, v in self.__dict__.items() if k in ("size", "none", "columns", "moves")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        moves, goals = self.moves
+        states, codes = moves // self.size, moves % self.size
+        first = states == 0
+        self.begin = np.full(self.size, 2 * self.none + 1, np.int32)
+        self.begin[codes[first]] = goals[first] + 1
+        dense = np.tile(self.begin[: self.columns], (self.none + 1, 1))
+        common = codes < self.columns
+        dense[states[common], codes[common]] = goals[common]
         self.dense = dense.ravel()
-        rare.sort()
-        self.keys, self.goals = (np.array([r[k] for r in rare], np.int64) for k in (0, 1))
+        self.keys, self.goals = moves[~common], goals[~common]
 
     def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
         to = self.dense[state * self.columns + np.minimum(code, self.columns - 1)]
@@ -130,7 +134,7 @@ class LanguageModel:
         self.tables = []
         for lang in self.languages:
             codes = np.concatenate([self.alphabet.codes(t + "\n") for t in texts[lang]])
-            self.tables.append(ParseTable(suffix_automaton(codes), self.alphabet.size))
+            self.tables.append(ParseTable(suffix_automaton(codes), self.alphabet.size, DENSE_ENTRIES // len(self.languages)))
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text in each language, and letters of each text.
@@ -199,7 +203,7 @@ def identify_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """
     import pyarrow as pa
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the sampled texts make it
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the transitions of the sampled texts, a few for each character
 
     def identify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "lang_pred", "score"]

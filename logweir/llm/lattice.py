@@ -13,6 +13,7 @@ from itertools import combinations, product
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from logweir.llm.components import connected_components
 from logweir.llm.storage import materialize, shuffle_partitions
@@ -104,7 +105,24 @@ def compare(rows: np.ndarray, columns: np.ndarray, threshold: float, block: int
         yield i + at, j
 
 
-def join_bucket(table: int, cell: int, left: dict[str, np.ndarray], right: dict[str, np.ndarray] | None, how: Projections, threshold: float) -> Iterator[tuple[int, int | None, int]]:
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after the links a[i] - b[i]: what is linked, also by others, has the least label of all."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, least = a[apart], b[apart], np.minimum(x, y)[apart]
+        np.minimum.at(label, x[apart], least)
+        np.minimum.at(label, y[apart], least)
+        while True:
+            shorter = label[label]
+            if (shorter == label).all():
+                break
+            label = shorter
+
+
+def join_bucket(table: int, cell: int, left: dict[str, np.ndarray], right: dict[str, np.ndarray] | None, threshold: float) -> Iterator[tuple[int, int | None, int]]:
     """Links found in a bucket: (node, None, weight of links) and edges (node, other, 0) that span them.
 
     At least one of a pair has the cell as its own.  A pair that meets in several buckets counts in the
@@ -112,10 +130,11 @@ def join_bucket(table: int, cell: int, left: dict[str, np.ndarray], right: dict[
     """
     same = right is None
     right = left if same else right
-    codes_l = cells(left["unit"], how)
-    codes_r = codes_l if same else cells(right["unit"], how)
+    codes_l, codes_r = left["codes"], right["codes"]
     weights_l, weights_r = np.zeros(len(left["node"]), np.int64), np.zeros(len(right["node"]), np.int64)
-    links: list[tuple[np.ndarray, np.ndarray]] = []
+    shift = 0 if same else len(left["node"])
+    nodes = left["node"] if same else np.concatenate([left["node"], right["node"]])
+    label = np.arange(len(nodes))
     for i, j in compare(left["unit"], right["unit"], threshold):
         keep = (left["home"][i] | right["home"][j]) & (i < j if same else left["node"][i] != right["node"][j])
         i, j = i[keep], j[keep]
@@ -134,27 +153,19 @@ def join_bucket(table: int, cell: int, left: dict[str, np.ndarray], right: dict[
             a, b = a[mine], b[mine]
             np.add.at(weights_l, a, right["mult"][b])
             np.add.at(weights_l if same else weights_r, b, left["mult"][a])
-            links.append((left["node"][a], right["node"][b]))
+            label = joined(label, a, b + shift)
     for side, weights in ((left, weights_l), (right, weights_r)):
         for k in np.flatnonzero(weights):
             yield int(side["node"][k]), None, int(weights[k])
         if same:
             break
-    up: dict[int, int] = {}
+    for k in np.flatnonzero(label != np.arange(len(label))):
+        yield int(nodes[k]), int(nodes[label[k]]), 0
 
-    def find(x: int) -> int:
-        while up.get(x, x) != x:
-            up[x] = up.get(up[x], up[x])
-            x = up[x]
-        return x
 
-    for a, b in links:
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            p, q = find(x), find(y)
-            if p != q:
-                up[max(p, q)] = min(p, q)
-    for x in list(up):
-        yield x, find(x), 0
+def components_of(vectors: DataFrame) -> str:
+    """The type that holds the vectors as they are: doubles stay doubles."""
+    return "array<float>" if isinstance(vectors.schema["embedding"].dataType.elementType, FloatType) else "array<double>"
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
@@ -173,7 +184,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
     import pyarrow as pa
 
     spark = vectors.sparkSession
-    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(components_of(vectors)).alias("embedding"), "label")
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0.0)
     usable = vectors.filter(F.col("label").isNotNull() & F.col("embedding").isNotNull()).filter(sound)
     classes = usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("mult"))
@@ -186,7 +197,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
         return kept[dimensions]
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["node", "label", "table", "cell", "home"]
+        names = ["node", "label", "table", "cell", "home", "codes"]
         for batch in batches:
             sizes = np.array([len(v) for v in batch.column(2)])
             for dimensions in np.unique(sizes):
@@ -196,19 +207,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
                 n, t, p = codes.shape
                 arrays = [np.repeat(own.column(0).to_numpy(), t * p), np.repeat(own.column(1).to_numpy(), t * p), np.tile(np.repeat(np.arange(t, dtype=np.int32), p), n), codes.ravel()]
                 home = np.tile(np.arange(p) == 0, n * t)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array(home)], names)
+                every = np.repeat(codes.reshape(n, t * p), t * p, axis=0).astype("<i8")  # all of a vector's codes, with each of them
+                bytes_ = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * t * p), n * t * p, [None, pa.py_buffer(every)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array(home), bytes_], names)
 
-    placed = classes.select("node", "bucket_label", "embedding").mapInArrow(place, "node long, label long, table int, cell long, home boolean")
+    placed = classes.select("node", "bucket_label", "embedding").mapInArrow(place, "node long, label long, table int, cell long, home boolean, codes binary")
     placed = materialize(placed, "vector-cells")
     key = ["label", "table", "cell"]
     buckets = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.max("home").alias("_home")).filter((F.col("_n") > 1) & F.col("_home"))
     placed = placed.join(buckets, key).withColumn("_chunks", F.ceil(F.col("_n") / BUCKET).cast("int"))
     c = F.pmod(F.xxhash64("node"), F.col("_chunks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("_chunks") - 1), lambda o: F.struct(F.least(c, o).cast("int").alias("lo"), F.greatest(c, o).cast("int").alias("hi"), (c <= o).alias("base")))
-    placed = placed.withColumn("_pair", F.explode(pairs)).select("node", *key, "home", "_pair.*")
+    placed = placed.withColumn("_pair", F.explode(pairs)).select("node", *key, "home", "codes", "_pair.*")
     n = shuffle_partitions(spark)
     full = placed.join(classes.select("node", "mult", "embedding"), "node")
-    full = full.repartition(n, *key, "lo", "hi").sortWithinPartitions(*key, "lo", "hi").select(*key, "lo", "hi", "base", "home", "node", "mult", "embedding")
+    full = full.repartition(n, *key, "lo", "hi").sortWithinPartitions(*key, "lo", "hi").select(*key, "lo", "hi", "base", "home", "node", "mult", "embedding", "codes")
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
@@ -217,9 +230,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
             t = pa.Table.from_batches(held)
             base = t.column("base").to_numpy()
             side = {"node": t.column("node").to_numpy(), "mult": t.column("mult").to_numpy(), "home": t.column("home").to_numpy(), "unit": unit_vectors(t.column("embedding"))}
+            side["codes"] = np.frombuffer(b"".join(t.column("codes").to_pylist()), "<i8").reshape(t.num_rows, TABLES, -1)
             pick = lambda m: {k: v[m] for k, v in side.items()}
             own = current[3] == current[4]
-            rows = list(join_bucket(current[1], current[2], pick(base), None if own else pick(~base), how(side["unit"].shape[1]), threshold))
+            rows = list(join_bucket(current[1], current[2], pick(base), None if own else pick(~base), threshold))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["a", "b", "weight"])
 

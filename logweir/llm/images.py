@@ -31,6 +31,8 @@ NEIGHBOURS = 4
 #: so many at least, and this share of the corners of the picture that has fewer.
 NEAR, MISS, MATCHES, SHARE = 20, 3.5, 7, 0.2
 SEED = 8
+#: Steps in which a picture is compared with one other.
+STARS = 2
 #: Distances that are held at once.
 CELLS = 1 << 18
 
@@ -364,9 +366,10 @@ def copies(images: DataFrame, matches: int = MATCHES, share: float = SHARE) -> D
     equals alone (a null with nothing).  Pictures of any size are taken whole; repeated rows are in one
     class; null ids don't count as least.  An empty table gives no rows; other columns are not read.
 
-    Pictures that share an entry are compared, in two steps: each with the least picture of the entry, and then
-    all that share an entry and are not connected yet.  So a group of copies costs a comparison for
-    each, and no pair that could change a component is left out.  A copy that shares no entry is missed.
+    Pictures that share an entry are compared in steps: each with the one picture that is most often the first of its
+    entries, again among those that aren't connected yet, and at last all that share an entry and still aren't.  So a
+    group of copies costs a few comparisons for each, and no pair that could change a component is left out.  A copy
+    that shares no entry is missed.
     """
     import pyarrow as pa
 
@@ -406,20 +409,32 @@ def copies(images: DataFrame, matches: int = MATCHES, share: float = SHARE) -> D
 
     tables = own.mapInArrow(enter, "node long, entry long")
     same = Window.partitionBy("entry")  # two numbers a row, which Spark spills where an entry is widespread
-    tables = tables.withColumn("a", F.min("node").over(same)).withColumn("_top", F.max("node").over(same))
-    shared = materialize(tables.filter(F.col("a") < F.col("_top")).select("entry", "node", "a"), "image-entries")
-
-    stars = materialize(shared.filter(F.col("node") > F.col("a")).select("a", F.col("node").alias("b")).distinct(), "image-stars")
-    first = verified(stars, own, matches, share, "image-links")
-    known = connected_components(first, "image-components")
-    placed = shared.join(known.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("entry", "node", F.coalesce("component", "node").alias("_c"))
-    mixed = placed.groupBy("entry").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).filter(F.col("_lo") < F.col("_hi")).select("entry")
-    open_ = materialize(placed.join(mixed, "entry"), "image-open")
-    one, two = open_.select("entry", F.col("node").alias("a"), F.col("_c").alias("_ca")), open_.select("entry", F.col("node").alias("b"), F.col("_c").alias("_cb"))
-    rest = one.join(two, "entry").filter((F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb"))).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    second = verified(rest, own, matches, share, "image-links")
-
-    members = connected_components(first.unionByName(second), "image-components").join(described.select("node", "least"), "node")
+    tables = tables.withColumn("_lo", F.min("node").over(same)).withColumn("_hi", F.max("node").over(same))
+    shared = materialize(tables.filter(F.col("_lo") < F.col("_hi")).select("entry", "node"), "image-entries")
+
+    links: DataFrame | None = None
+    tested: DataFrame | None = None
+    open_ = shared.withColumn("_c", F.col("node"))
+    for k in range(STARS + 1):
+        if links is not None:
+            known = materialize(connected_components(links, "image-components"), "image-known")
+            placed = shared.join(known.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("entry", "node", F.coalesce("component", "node").alias("_c"))
+            mixed = placed.groupBy("entry").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).filter(F.col("_lo") < F.col("_hi")).select("entry")
+            open_ = materialize(placed.join(mixed, "entry"), "image-open")
+        if k < STARS:
+            centre = open_.groupBy("entry").agg(F.min(F.struct("_c", "node")).alias("_m"))
+            met = open_.join(centre, "entry").filter(F.col("_c") != F.col("_m._c")).groupBy("node", F.col("_m.node").alias("a")).agg(F.count(F.lit(1)).alias("_times"))
+            best = met.groupBy("node").agg(F.max_by("a", F.struct("_times", (-F.col("a")).alias("_first"))).alias("_a"))
+            pairs = best.select(F.least("_a", "node").alias("a"), F.greatest("_a", "node").alias("b")).distinct()
+        else:
+            one, two = open_.select("entry", F.col("node").alias("a"), F.col("_c").alias("_ca")), open_.select("entry", F.col("node").alias("b"), F.col("_c").alias("_cb"))
+            pairs = one.join(two, "entry").filter((F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb"))).select("a", "b").distinct()
+        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "image-pairs")
+        found = verified(pairs, own, matches, share, "image-links")
+        links = found if links is None else links.unionByName(found)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+
+    members = connected_components(links, "image-components").join(described.select("node", "least"), "node")
     members = materialize(members, "image-members")
     names = members.groupBy("component").agg(F.min("least").alias("_id"))
     named = members.join(names, "component").select("node", "_id")

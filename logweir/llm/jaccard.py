@@ -27,7 +27,7 @@ WORDS = 4
 #: The threshold as a fraction: linked if UNDER * intersection >= OVER * union.
 OVER, UNDER = 85, 100
 #: Largest block that is joined at once: documents, and n-grams over all of them.
-BLOCK_DOCS, BLOCK_GRAMS = 4000, 1_500_000
+BLOCK_DOCS, BLOCK_GRAMS = 1000, 400_000
 RARE = np.uint64(1 << 63)
 
 

@@ -81,12 +81,13 @@ def systematic_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: in
 def mix_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: str = "mix") -> DataFrame:
     """``documents`` with each row emitted as often as the mix takes it; columns as given.
 
-    Rows are told apart by all their columns' hash and doc_id, so rows that share a doc_id but differ
-    are drawn separately; wholly equal rows are drawn each for itself.
+    Among rows of one size the doc_id and then the hash of all columns decide the order, so rows that share a
+    doc_id but differ are drawn separately and alike in every run; wholly equal rows, between which the choice
+    makes no difference, are drawn each for itself.  Rows with null columns and empty tables are as for ``systematic_mix``.
     """
-    key = "__logweir_key"
-    keyed = materialize(documents.withColumn(key, F.monotonically_increasing_id()), "mix-docs")
-    copies = systematic_mix(keyed.select(F.struct("doc_id", key).alias("doc_id"), "source", n_words(F.col("text")).alias("size")), weights, most, seed)
+    key, content = "__logweir_key", F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t else F.col(f"`{c}`") for c, t in documents.dtypes])
+    keyed = materialize(documents.withColumn(key, F.monotonically_increasing_id()), "mix-docs")  # written, so ids are fixed
+    copies = systematic_mix(keyed.select(F.struct("doc_id", content.alias("content"), key).alias("doc_id"), "source", n_words(F.col("text")).alias("size")), weights, most, seed)
     times = copies.filter(F.col("copies") > 0).select(F.col(f"doc_id.{key}").alias(key), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("__logweir_copies"))
     taken = keyed.join(times, key).withColumn("__logweir_copy", F.explode("__logweir_copies"))
     return taken.select(*[f"`{c}`" for c in documents.columns])

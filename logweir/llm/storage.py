@@ -1,7 +1,7 @@
 """Where intermediate tables go, and how lineage is cut.
 
 Tables are written under the folder named by ``spark.checkpoint.dir`` (shared by the driver and all
-executors).  Only where that setting is absent, as in tests in local mode, a folder of our own is used.
+executors).  Only in local mode, and only where that setting is absent, a folder of our own is used.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         own = tempfile.mkdtemp(prefix="logweir-")
@@ -39,19 +42,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> list[str]:
+    """Paths of all tables that this driver has written and not deleted, in order."""
+    return list(_WRITTEN)
+
+
+def discard_all(spark: SparkSession, besides: list[str]) -> None:
+    """Delete the tables written, but for some; nothing that is still to be computed may rest on them."""
+    for path in [p for p in _WRITTEN if p not in besides]:
+        discard(spark, path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a path of ours through Hadoop's file system interface, so that any store will do."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
 
 
 def release(df: DataFrame) -> None:
     """Delete the table that ``materialize`` wrote for ``df``."""
     for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        discard(df.sparkSession, f)
+        discard(df.sparkSession, next((p for p in _WRITTEN if f.endswith(p.rsplit("/", 1)[1])), f))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

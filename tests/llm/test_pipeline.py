@@ -97,3 +97,26 @@ def test_sql_gives_the_same(spark, folder, name):
     columns = [c[0] for c in want.description]
     got = queries.queries()[name](spark, f"{path}/{name}").select(columns).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
+
+
+def test_run_on_empty_tables(spark, folder, tmp_path):
+    from logweir.llm import storage
+
+    path, _ = folder
+    for name in ("documents", "labels"):
+        pq.write_table(pq.read_table(f"{path}/{name}.parquet").slice(0, 0), tmp_path / f"{name}.parquet")
+    before = storage.written()
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
+    assert len(storage.written()) == len(before) + 1
+
+
+def test_stages_by_hand_are_the_run(spark, folder):
+    """The rows of ``run`` are those of the stages applied one after the other."""
+    path, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, path)
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    want = Counter(map(tuple, docs.select(columns).collect()))
+    assert Counter(map(tuple, corpus_pipeline.run(spark, path).select(columns).collect())) == want

@@ -52,7 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table; what a stage wrote on its way is deleted when its result is written.
+
+    Each stage treats nulls, ties, repeated rows, long texts and empty tables as its operator says; an empty table goes
+    through all of them and gives no pieces.  Columns besides those that a stage reads are carried along.
+    """
     docs = queries.table(spark, sf_dir, "documents")
     for _, stage in STAGES:
+        before = storage.written()
         docs = storage.materialize(stage(spark, docs, sf_dir), "stage")
+        storage.discard_all(spark, [*[p for p in before if "/stage-" not in p], storage.written()[-1]])
     return docs

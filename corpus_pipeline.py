@@ -57,9 +57,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     Each stage treats nulls, ties, repeated rows, long texts and empty tables as its operator says; an empty table goes
     through all of them and gives no pieces.  Columns besides those that a stage reads are carried along.
     """
-    docs = queries.table(spark, sf_dir, "documents")
+    docs, last = queries.table(spark, sf_dir, "documents"), ""
     for _, stage in STAGES:
-        before = storage.written()
+        before = [path for path in storage.written() if path != last]
         docs = storage.materialize(stage(spark, docs, sf_dir), "stage")
-        storage.discard_all(spark, [*[p for p in before if "/stage-" not in p], storage.written()[-1]])
+        last = storage.written()[-1]
+        storage.discard_all(spark, [*before, last])
     return docs

@@ -198,6 +198,28 @@ class Engine:
             raise StatementError(f"{head} isn't a verb")
         return self.sql(line)
 
+    def command(self, line: str) -> str:
+        """A node's text command: ``info TABLE [column=value ...] [--json]`` or ``stats [--json]``, answered from the view of that name."""
+        words = line.split()
+        style = "json" if "--json" in words else "table"
+        words = [w for w in words if not w.startswith("--")]
+        if words and words[0] == "info" and len(words) > 1:
+            name, filters = words[1], words[2:]
+        elif words and words[0] == "stats":
+            name, filters = "stats", words[1:]
+        else:
+            raise StatementError(f"no such command: {line}")
+        if name not in self.views:
+            raise StatementError(f"no such table: {name}")
+        kinds = dict(self.view(name).dtypes)
+        tests = []
+        for f in filters:
+            column, _, value = f.partition("=")
+            if column not in kinds:
+                raise StatementError(f"{name} has no column {column}")
+            tests.append(f"{column} = {dialect.quoted(value) if kinds[column] == 'string' else int(value)}")
+        return rendered(self.sql(f"SELECT * FROM {name}" + (f" WHERE {' AND '.join(tests)}" if tests else "")), style)
+
     def shown(self, df: DataFrame, name: str | None = None) -> DataFrame:
         """With ``:pretty`` on: sequence numbers as ``eXnY`` and times as text, by the declared types of a table's columns."""
         kinds = catalog.declared().get(name or "", {})

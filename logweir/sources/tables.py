@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweir.functions.scalars import column_name
+from logweir.operators import cells
 
 ANSWER = "headers array<string>, rows array<array<string>>"
 
@@ -107,8 +108,28 @@ def as_records(events: DataFrame) -> DataFrame:
 
 def poisson_appends(spark: SparkSession, n: int, rate: float, seed: int = 0, logs: int = 1) -> DataFrame:
     """(log_id, lsn, at_seconds) of synthetic appends with exponential gaps, ``n`` for each log."""
-    from pyspark.sql import Window
-
-    rows = spark.range(logs * n).select((F.col("id") % logs).alias("log_id"), F.floor(F.col("id") / logs).alias("lsn") + 1, (-F.log(F.lit(1.0) - F.rand(seed)) / rate).alias("gap"))
-    rows = rows.toDF("log_id", "lsn", "gap")
-    return rows.select("log_id", "lsn", F.sum("gap").over(Window.partitionBy("log_id").orderBy("lsn")).alias("at_seconds"))
+    rows = spark.range(logs * n).select((F.col("id") % logs).alias("log_id"), (F.floor(F.col("id") / logs) + 1).alias("lsn"))
+    u = (F.xxhash64(F.lit(seed), "log_id", "lsn").bitwiseAND((1 << 53) - 1).cast("double") + 1) / float(1 << 53)
+    rows = rows.withColumn("gap", -F.log(u) / rate)
+    return cells.running(rows, ["log_id"], "lsn", F.col("gap"), "sum", "at_seconds").select("log_id", "lsn", "at_seconds")
+
+
+def log2_rates(spark: SparkSession, logs: int, shares: list[float], seed: int = 0) -> DataFrame:
+    """(log_id, rate): rates drawn from a histogram by powers of two; ``shares[i]`` of the logs have a rate in [2**i, 2**(i+1))."""
+    total, bounds = sum(shares), []
+    for s in shares:
+        bounds.append((bounds[-1] if bounds else 0.0) + s / total)
+    u = lambda k: F.xxhash64(F.lit(seed), F.lit(k), "log_id").bitwiseAND((1 << 53) - 1).cast("double") / float(1 << 53)
+    bucket = F.lit(len(shares) - 1)
+    for i in range(len(shares) - 1, -1, -1):
+        bucket = F.when(F.col("_u") < bounds[i], i).otherwise(bucket)
+    rows = spark.range(logs).withColumnRenamed("id", "log_id").withColumn("_u", u(0))
+    return rows.select("log_id", (F.pow(F.lit(2.0), bucket) * (1 + u(1))).alias("rate"))
+
+
+def spiky(appends: DataFrame, period: float, share_of_time: float, share_of_load: float) -> DataFrame:
+    """Appends (at_seconds, ...) moved in time so that ``share_of_load`` of them fall into the first ``share_of_time`` of each period."""
+    at = F.col("at_seconds") / period
+    whole, part = F.floor(at), at - F.floor(at)
+    moved = F.when(part < share_of_load, part / share_of_load * share_of_time).otherwise(share_of_time + (part - share_of_load) / (1 - share_of_load) * (1 - share_of_time))
+    return appends.withColumn("at_seconds", (whole + moved) * period)

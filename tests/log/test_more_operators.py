@@ -156,3 +156,43 @@ def test_statements_of_both_kinds():
     for broken in ("SELECT (1", "SELECT 1)", "SELECT 'x"):
         with pytest.raises(ValueError, match="bracket|read"):
             dialect.to_spark(broken)
+
+
+def test_tools(spark, tmp_path):
+    from logweir import tools
+
+    folder = str(tmp_path / "logs")
+    assert tools.write(spark, folder, 3, ["a", "b"]) == [1, 2] and tools.write(spark, folder, 3, ["c"]) == [3] and tools.write(spark, folder, 4, ["x"]) == [1]
+    assert [tuple(r) for r in tools.cat(spark, folder, 3).collect()] == [("RECORD", 1, 1, "a"), ("RECORD", 2, 2, "b"), ("RECORD", 3, 3, "c")]
+    assert tools.trim(spark, folder, 3, 2) == "OK" and tools.trim(spark, folder, 3, 9) == "TOOBIG"
+    assert [tuple(r) for r in tools.cat(spark, folder, 3).collect()] == [("TRIM", 1, 2, None), ("RECORD", 3, 3, "c")]
+    assert [r["payload"] for r in tools.tail(spark, folder, 3, 5).collect()] == ["c"]
+    tools.keep_stats(spark.createDataFrame([(1.0, "sent", 5.0), (2.0, "sent", 7.0)], "time double, name string, value double"), folder)
+    tools.keep_events(spark.createDataFrame([("started", 1)], "what string, at int"), folder)
+    assert [tuple(r) for r in tools.kept_stats(spark, folder).collect()] == [("sent", 2, 5.0, 7.0, 12.0)]
+
+
+def test_synthetic_appends(spark):
+    from logweir.sources import tables
+
+    rows = tables.poisson_appends(spark, 4000, 2.0, seed=1, logs=2).collect()
+    last = {k: max(r["at_seconds"] for r in rows if r["log_id"] == k) for k in (0, 1)}
+    assert len(rows) == 8000 and all(1800 < t < 2200 for t in last.values()) and last[0] != last[1]
+    rates = [r["rate"] for r in tables.log2_rates(spark, 4000, [1, 2, 1]).collect()]
+    assert all(1 <= r < 8 for r in rates) and 0.45 < sum(2 <= r < 4 for r in rates) / 4000 < 0.55
+    moved = tables.spiky(spark.range(1000).select((F.col("id") / 10).alias("at_seconds")), 10.0, 0.2, 0.8).collect()
+    assert sum(r["at_seconds"] % 10 < 2 for r in moved) == pytest.approx(800, abs=12)
+
+
+def test_commands_of_nodes(spark):
+    import json
+
+    from logweir.plans.engine import Engine, StatementError
+
+    engine = Engine(spark)
+    engine.register("shards", lambda s: s.createDataFrame([(1, 0, "ok"), (2, 0, "bad")], "node_id int, shard long, dirty_state string"))
+    assert json.loads(engine.command("info shards node_id=2 --json"))["rows"] == [["2", "0", "bad"]]
+    assert engine.command("info shards dirty_state=ok").splitlines()[-1].split() == ["1", "0", "ok"]
+    for wrong in ("info nothing", "info shards x=1", "halt"):
+        with pytest.raises(StatementError):
+            engine.command(wrong)

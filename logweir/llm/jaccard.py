@@ -7,6 +7,8 @@ rarest few are all its own is linked with nothing and goes no further.
 What shares indexed n-grams forms blocks; in a block the ordered sets are stored in a prefix tree, which
 each set traverses, sharing the overlap with a path among all sets below it and leaving a subtree where
 the lengths that remain can't reach the threshold, or where all sets are linked with it already.
+In a block too large to be joined at once all sets are first compared with one of it; those linked with that one
+are connected, and only the others are joined with all, chunk by chunk.
 """
 
 from __future__ import annotations
@@ -201,7 +203,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, over: int = OVER, un
     rows.  Other columns are not read.
 
     ``with_key`` adds ``key``, two hashes of doc_id and text, to tell rows that share a doc_id apart.
-    Sets larger than a block's limits together are joined chunk by chunk, each pair of chunks once.
+    A block over the limits is joined chunk by chunk, each pair of chunks once, of which one holds sets that aren't linked with the block's centre.
     """
     import pyarrow as pa
 
@@ -255,16 +257,29 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, over: int = OVER, un
     coarse = connected_components(shared, "jaccard-coarse")
 
     blocks = classes.select("digest", "least", "node", "n").join(coarse, "node").select("digest", "least", "n", F.col("component").alias("block"))
-    sums = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("_docs"), F.sum("n").alias("_grams"))
-    chunks = F.greatest(F.ceil(F.col("_docs") / BLOCK_DOCS), F.ceil(F.col("_grams") / BLOCK_GRAMS)).cast("int")
-    placed = blocks.join(sums.select("block", chunks.alias("chunks")), "block")
-    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("digest", F.lit(1)), F.col("chunks")).cast("int"))
-    c = F.col("chunk")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(c, o).cast("int").alias("lo"), F.greatest(c, o).cast("int").alias("hi"), (c <= o).alias("base")))
-    placed = placed.withColumn("_pair", F.explode(pairs)).select("digest", "least", "block", "_pair.*")
     firsts = classes.select("digest", "least")
+    own_sets = sets.select("digest", "doc_id", "grams").join(firsts, "digest").filter(F.col("doc_id").eqNullSafe(F.col("least"))).select("digest", "grams")
+    sums = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("_docs"), F.sum("n").alias("_grams"), F.min(F.struct(F.xxhash64("digest"), "digest")).alias("_m"))
+    large = sums.filter((F.col("_docs") > BLOCK_DOCS) | (F.col("_grams") > BLOCK_GRAMS)).select("block", F.col("_m.digest").alias("centre"))
+    stars = materialize(star_links(blocks, large, own_sets, over, under), "jaccard-stars")
+
+    connected = stars.select(F.col("a").alias("digest")).unionByName(stars.select(F.col("b").alias("digest"))).distinct()
+    # In a large block what is linked with the centre is connected; the rest is joined with all of the block.
+    placed = blocks.join(connected.withColumn("_done", F.lit(True)), "digest", "left").withColumn("_done", F.coalesce("_done", F.lit(False)))
+    of = lambda test, c: F.sum(F.when(test, c).otherwise(0))
+    chunks = lambda test: F.greatest(F.ceil(of(test, F.lit(1)) / BLOCK_DOCS), F.ceil(of(test, F.col("n")) / BLOCK_GRAMS)).cast("int")
+    numbers = placed.groupBy("block").agg(chunks(~F.col("_done")).alias("_open"), chunks(F.col("_done")).alias("_closed"))
+    placed = placed.join(numbers, "block")
+    hashed = F.xxhash64("digest", F.lit(1))
+    chunk = F.when(F.col("_done"), F.col("_open") + F.pmod(hashed, F.col("_closed"))).otherwise(F.pmod(hashed, F.col("_open"))).cast("int")
+    placed = placed.withColumn("chunk", chunk)
+    c = F.col("chunk")
+    with_open = F.when(F.col("_open") > 0, F.sequence(F.lit(0), F.col("_open") - 1)).otherwise(F.array().cast("array<int>"))
+    others = F.when(F.col("_done"), with_open).otherwise(F.sequence(F.lit(0), F.col("_open") + F.col("_closed") - 1))
+    pairs = F.transform(others, lambda o: F.struct(F.least(c, o).cast("int").alias("lo"), F.greatest(c, o).cast("int").alias("hi"), (c <= o).alias("base")))
+    placed = placed.withColumn("_pair", F.explode(pairs)).select("digest", "block", "_pair.*")
     n = shuffle_partitions(spark)
-    named_sets = sets.select("digest", "doc_id", "grams").join(placed, "digest").filter(F.col("doc_id").eqNullSafe(F.col("least")))
+    named_sets = own_sets.join(placed, "digest")
     spread = named_sets.repartition(n, "block", "lo", "hi").sortWithinPartitions("block", "lo", "hi")
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +302,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, over: int = OVER, un
             yield from done()
 
     edges = spread.select("digest", "grams", "block", "lo", "hi", "base").mapInArrow(join, "a binary, b binary")
-    members = connected_components(edges, "jaccard-links")
+    members = connected_components(edges.unionByName(stars), "jaccard-links")
     members = materialize(members.join(firsts, members["node"] == firsts["digest"]).select("node", "component", "least"), "jaccard-members")
     names = members.groupBy("component").agg(F.min("least").alias("_id"))
     named = members.join(names, "component").select("node", "_id")
@@ -296,6 +311,26 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, over: int = OVER, un
     return out.select("doc_id", "n_shingles", F.coalesce("_id", "least", "doc_id").alias("component_id"), *[F.struct("_k1", "_k2").alias("key")] * with_key)
 
 
+def star_links(blocks: DataFrame, large: DataFrame, sets: DataFrame, over: int, under: int) -> DataFrame:
+    """Edges (a, b) of the documents of the ``large`` blocks (block, centre) that are linked with their block's centre."""
+    import pyarrow as pa
+
+    centres = large.join(sets.withColumnRenamed("grams", "centre_grams"), F.col("centre") == F.col("digest")).select(F.col("block").alias("_block"), "centre", "centre_grams")
+    members = blocks.join(large, "block", "left_semi").select("digest", "block").join(sets, "digest")
+    both = members.join(centres, F.col("block") == F.col("_block")).filter(F.col("digest") != F.col("centre"))
+
+    def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for mine, theirs in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(g.as_py(), np.uint64) for g in (mine, theirs))
+                shared = len(np.intersect1d(x & ~RARE, y & ~RARE, assume_unique=True))
+                keep.append(under * shared >= over * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("digest", "centre", "grams", "centre_grams").mapInArrow(near, "a binary, b binary")
+
+
 def row_key(wanted: bool = True) -> list[Column]:
     """Two hashes of doc_id and text, 128 bits in all."""
     return [F.xxhash64("doc_id", "text").alias("_k1"), F.xxhash64("text", F.lit(1), "doc_id").alias("_k2")] if wanted else []

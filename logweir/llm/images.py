@@ -419,11 +419,11 @@ def copies(images: DataFrame, matches: int = MATCHES, share: float = SHARE) -> D
         if links is not None:
             known = materialize(connected_components(links, "image-components"), "image-known")
             placed = shared.join(known.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("entry", "node", F.coalesce("component", "node").alias("_c"))
-            mixed = placed.groupBy("entry").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).filter(F.col("_lo") < F.col("_hi")).select("entry")
-            open_ = materialize(placed.join(mixed, "entry"), "image-open")
+            placed = placed.withColumn("_lo", F.min("_c").over(same)).withColumn("_hi", F.max("_c").over(same))
+            open_ = materialize(placed.filter(F.col("_lo") < F.col("_hi")).select("entry", "node", "_c"), "image-open")
         if k < STARS:
-            centre = open_.groupBy("entry").agg(F.min(F.struct("_c", "node")).alias("_m"))
-            met = open_.join(centre, "entry").filter(F.col("_c") != F.col("_m._c")).groupBy("node", F.col("_m.node").alias("a")).agg(F.count(F.lit(1)).alias("_times"))
+            first = open_.withColumn("_m", F.min(F.struct("_c", "node")).over(same)).filter(F.col("_c") != F.col("_m._c"))
+            met = first.groupBy("node", F.col("_m.node").alias("a")).agg(F.count(F.lit(1)).alias("_times"))
             best = met.groupBy("node").agg(F.max_by("a", F.struct("_times", (-F.col("a")).alias("_first"))).alias("_a"))
             pairs = best.select(F.least("_a", "node").alias("a"), F.greatest("_a", "node").alias("b")).distinct()
         else:

@@ -196,3 +196,57 @@ def test_commands_of_nodes(spark):
     for wrong in ("info nothing", "info shards x=1", "halt"):
         with pytest.raises(StatementError):
             engine.command(wrong)
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["outlier_rmsd", "outlier_mad", "boycott_window", "record_sample", "nodeset_selection"])
+def test_queries_without_sql(spark, name):
+    """The registered queries that SQL can't express, over the smallest tables, against plain Python."""
+    from logweir.plans import queries
+
+    got = sorted(map(tuple, queries.queries()[name](spark, SMALL).collect()), key=repr)
+    if name.startswith("outlier"):
+        samples = {}
+        for r in queries.spend_by_customer(spark, SMALL).collect():
+            samples.setdefault(r["g"], []).append((r["v"], r["node"]))
+        want = []
+        for g, mine in samples.items():
+            mine.sort(reverse=True)
+            for k in range(min(3, len(mine) - 1), 0, -1):
+                rest = np.array([v for v, _ in mine[k:]])
+                centre = rest.mean() if name == "outlier_rmsd" else np.median(rest)
+                spread = np.sqrt(((rest - centre) ** 2).mean()) if name == "outlier_rmsd" else np.median(abs(rest - centre))
+                limit = centre + 3 * spread + outliers.EPSILON
+                if mine[k - 1][0] >= limit > mine[k][0]:
+                    want += [(g, n, v, i) for i, (v, n) in enumerate(mine[:k])]
+                    break
+        assert [(a, b, d) for a, b, _, d in got] == [(a, b, d) for a, b, _, d in sorted(want, key=repr)] and np.allclose([x[2] for x in got], [x[2] for x in sorted(want, key=repr)])
+    elif name == "boycott_window":
+        events = sorted((r["ts"].replace(tzinfo=None), r["user_id"]) for r in queries.read(spark, SMALL, "events").filter("event_type = 'error'").collect())
+        import datetime
+
+        seconds = lambda t: float((t - datetime.datetime(1970, 1, 1)).total_seconds() // 1)
+        until, length, want = {}, {}, []
+        for at, node in sorted((seconds(t), n) for t, n in events):
+            cluster = node % 6
+            active = [n for n, t in until.items() if n % 6 == cluster and t >= at]
+            if len(active) >= 2 or node in active:
+                continue
+            span = 3600.0 if node not in length else min(86400.0, max(3600.0, length[node] * 2 / 2 ** int((at - until[node]) // 43200.0)))
+            length[node], until[node] = span, at + 60.0 + span
+            want.append((cluster, node, at + 60.0, until[node]))
+        assert got == sorted(want, key=repr)
+    elif name == "record_sample":
+        rows = queries.records(spark, SMALL).withColumn("_h", F.xxhash64(F.lit(0), "log_id", "lsn"))
+        every = rows.collect()
+        want = []
+        for key in {r["filter_key"] for r in every}:
+            want += sorted((r for r in every if r["filter_key"] == key), key=lambda r: (r["_h"], r["log_id"], r["lsn"]))[:20]
+        assert got == sorted([tuple(r)[:-1] for r in want], key=repr)
+    else:
+        by_log = {}
+        for log_id, node, place in got:
+            by_log.setdefault(log_id, []).append((place, node))
+        assert all(len(v) == 5 and sorted(p for p, _ in v) == [1, 2, 3, 4, 5] and len({n for _, n in v}) == 5 and all(n % 4 for _, n in v) for v in by_log.values())

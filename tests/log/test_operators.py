@@ -103,6 +103,7 @@ def test_log_size(spark, sizes, want):
     assert want[0] <= got <= want[1]
 
 
+# Samples with a known outlier, as described in FIXTURES.md.
 BASE = [52, 49, 54, 47, 52, 55, 48, 50, 52, 50, 51, 48, 53, 54, 130]
 
 
@@ -140,6 +141,7 @@ def test_histograms(spark):
     assert rows(stats.histogram_subtracted(one, one, ["m"])) == [("m", 7, 0)]
 
 
+# Copies of a digest with known winners, as described in FIXTURES.md.
 DIGEST = [
     (1, 0, "NORMAL", 1), (1, 2, "NORMAL", 4), (1, 3, "NORMAL", 3), (2, 1, "NORMAL", 1), (3, 1, "HOLE", 45), (3, 3, "HOLE", 50), (4, 0, "NORMAL", 99),
     (4, 1, "HOLE", 27), (4, 2, "MUTATED", 49), (4, 3, "HOLE", 45), (5, 0, "MUTATED", 50), (5, 1, "MUTATED", 50), (5, 2, "MUTATED", 50),

@@ -73,22 +73,28 @@ def replica_errors(copies: DataFrame, replication: int, domains: int = 2, nodese
     last = F.when(F.array_min(waves) == 0, F.array_min(waves)).otherwise(F.array_max(waves))
     rows = rows.withColumn("_last", F.filter(c, lambda x: x["wave"] == last))
     late = F.col("_last")
+    n_of = lambda some, f: F.size(F.array_distinct(F.transform(some, f)))
+
+    def holders(s: Column) -> Column:
+        """Of a copyset of the latest wave: whether enough of its nodes hold the record with it, and in how many domains they are."""
+        mine = F.filter(late, lambda y: y["set"] == s)
+        return F.struct((n_of(mine, lambda y: y["node"]) >= F.least(F.size(s), F.lit(replication))).alias("accurate"), n_of(mine, lambda y: y["domain"]).alias("domains"))
+
+    rows = rows.withColumn("_sets", F.transform(F.array_distinct(F.transform(late, lambda x: x["set"])), holders))
+    sets = F.col("_sets")
     kinds = F.transform(c, lambda x: x["kind"])
     has = lambda k: F.array_contains(kinds, k)
     hole, bridge = has("HOLE") & has("RECORD"), has("BRIDGE") & has("RECORD")
     different = lambda of, f: F.size(F.array_distinct(F.transform(of, f))) > 1
-    holders = lambda x: F.filter(late, lambda y: y["set"] == x["set"])
-    n_of = lambda some, f: F.size(F.array_distinct(F.transform(some, f)))
-    accurate = lambda x: n_of(holders(x), lambda y: y["node"]) >= F.least(F.size(x["set"]), F.lit(replication))
-    good = F.exists(late, lambda x: accurate(x) & (n_of(holders(x), lambda y: y["domain"]) >= domains))
+    good = F.exists(sets, lambda g: g["accurate"] & (g["domains"] >= domains))
     spread = n_of(c, lambda y: y["domain"]) >= domains
     bit = lambda test, name: F.when(test, ERRORS[name]).otherwise(0)
     errors = (
-        bit(different(late, lambda x: x["set"]), "DIFFERENT_COPYSET_IN_LATEST_WAVE")
+        bit(F.size(sets) > 1, "DIFFERENT_COPYSET_IN_LATEST_WAVE")
         + bit(F.exists(c, lambda x: ~F.array_contains(x["set"], x["node"])), "COPYSET_WITHOUT_SELF")
         + bit(F.exists(c, lambda x: F.size(x["set"]) < replication), "SMALL_COPYSET")
         + bit(F.exists(c, lambda x: F.size(x["set"]) > F.size(F.array_distinct(x["set"]))), "DUPLICATES_IN_COPYSET")
-        + bit(~F.exists(late, accurate), "NO_ACCURATE_COPYSET")
+        + bit(~F.exists(sets, lambda g: g["accurate"]), "NO_ACCURATE_COPYSET")
         + bit(hole, "HOLE_RECORD_CONFLICT")
         + bit(bridge, "BRIDGE_RECORD_CONFLICT")
         + bit(~hole & ~bridge & different(F.filter(c, lambda x: x["kind"] == "RECORD"), lambda x: x["payload_hash"]), "DATA_MISMATCH")

@@ -368,8 +368,8 @@ def copies(images: DataFrame, matches: int = MATCHES, share: float = SHARE) -> D
 
     Pictures that share an entry are compared in steps: each with the one picture that is most often the first of its
     entries, again among those that aren't connected yet, and at last all that share an entry and still aren't.  So a
-    group of copies costs a few comparisons for each, and no pair that could change a component is left out.  A copy
-    that shares no entry is missed.
+    group of copies costs a few comparisons for each, and no pair that could change a component is left out.  An entry
+    whose pictures are all connected stays so, and later steps leave it out.  A copy that shares no entry is missed.
     """
     import pyarrow as pa
 
@@ -418,7 +418,8 @@ def copies(images: DataFrame, matches: int = MATCHES, share: float = SHARE) -> D
     for k in range(STARS + 1):
         if links is not None:
             known = materialize(connected_components(links, "image-components"), "image-known")
-            placed = shared.join(known.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("entry", "node", F.coalesce("component", "node").alias("_c"))
+            # one row for each of open_: a node is known once
+            placed = open_.select("entry", "node").join(known.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("entry", "node", F.coalesce("component", "node").alias("_c"))
             placed = placed.withColumn("_lo", F.min("_c").over(same)).withColumn("_hi", F.max("_c").over(same))
             open_ = materialize(placed.filter(F.col("_lo") < F.col("_hi")).select("entry", "node", "_c"), "image-open")
         if k < STARS:

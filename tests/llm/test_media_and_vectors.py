@@ -353,6 +353,28 @@ def test_components_hold_all_pairs_that_share_an_entry(spark):
     assert len(linked) > 60 and len(differ) <= 2, differ  # which of two is matched with the other may differ
 
 
+def test_entries_of_connected_copies_are_not_placed_again(spark, monkeypatch):
+    """A step reads only entries that the one before left open; copies cost one comparison each, pictures with a common part stay apart."""
+    opened, tables, write = [], defaultdict(list), images.materialize
+
+    def noted(df, name):
+        if name == "image-open":
+            opened.append(df.inputFiles())
+        tables[name].append(write(df, name))
+        return tables[name][-1]
+
+    monkeypatch.setattr(images, "materialize", noted)
+    noise = np.random.default_rng(5)
+    pictures = [np.clip(texture(1, 72) + noise.normal(0, 3, (72, 72)), 0, 255) for _ in range(30)] + [texture(k, 72).copy() for k in range(50, 60)]
+    for p in pictures[30:]:
+        p[:30, :30] = texture(99, 72)[:30, :30]
+    got = placed_pictures(spark, pictures)
+    assert [got[i]["component_id"] for i in range(40)] == [0] * 30 + list(range(30, 40))
+    rows = {name: [t.count() for t in found] for name, found in tables.items() if name in ("image-entries", "image-open", "image-pairs")}
+    assert 0 < rows["image-open"][0] < rows["image-entries"][0] and rows["image-pairs"][0] == 38
+    assert any("image-entries-" in f for f in opened[0]) and not any("image-entries-" in f for f in opened[1])
+
+
 def test_recall_of_entries_on_the_vectors_pictures(spark):
     """Near-copies of vectors, cosine 0.989 and 0.995 as the tables have, share an entry and are linked; other vectors' pictures are not."""
     rng = np.random.default_rng(11)

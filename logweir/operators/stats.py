@@ -135,9 +135,12 @@ def compact_percentiles(histogram: DataFrame, by: list[str], shares: list[float]
 
 
 def compact_sum(histogram: DataFrame, by: list[str]) -> DataFrame:
-    """(by..., estimate): what a compact histogram's samples add up to, about: each counts three quarters of its bucket's bound."""
+    """(by..., estimate): what a compact histogram's samples add up to, about: each counts three quarters of its bucket's bound.
+
+    The estimate is rounded to the nearest whole number, halves to the even one.
+    """
     bound = F.when(F.col("bucket") == 0, F.lit(0.0)).otherwise(F.pow(F.lit(2.0), F.col("bucket")))
-    return histogram.groupBy(*by).agg((F.sum(F.col("n") * bound) * 0.75).cast("long").alias("estimate"))
+    return histogram.groupBy(*by).agg(F.rint(F.sum(F.col("n") * bound) * 0.75).cast("long").alias("estimate"))
 
 
 def at_least(histogram: DataFrame, by: list[str]) -> DataFrame:

@@ -332,7 +332,7 @@ COMPACT = "h AS (SELECT o_orderpriority AS p, CASE WHEN v <= 0 THEN 0 ELSE lengt
 
 
 def order_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("p"), F.round(F.col("o_totalprice") - 5000).cast("long").alias("v"))
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("p"), F.rint(F.col("o_totalprice") - 5000).cast("long").alias("v"))
     return stats.compact_histogram(rows, ["p"], F.col("v"))
 
 

@@ -60,51 +60,59 @@ def replica_errors(copies: DataFrame, replication: int, domains: int = 2, nodese
     Copies are (log_id, lsn, node, wave, copyset, payload_hash, kind: RECORD, HOLE or BRIDGE, domain).  The
     latest wave is 0 if there is one, else the greatest.  One of its copysets is accurate if as many of its
     nodes as copies are asked for hold the record with it, and well replicated if these are in ``domains``
-    domains.  ``nodesets`` (log_id, nodeset: array) tells which nodes a log's copies may name.  A record has a
-    few copies, so one aggregation brings them together.
+    domains.  ``nodesets`` (log_id, nodeset: array) tells which nodes a log's copies may name.
+
+    Copies are dealt out by record once, and judged by copyset, then wave, then record.  What a copy shows by
+    itself is bits from the start.  All that is aggregated has a fixed width (but for more than 2 ``domains``), so
+    nothing is listed or sorted; unknown nodes, domains and payloads don't count as different ones.
     """
     key = ["log_id", "lsn"]
-    one = F.struct("node", "wave", F.array_sort("copyset").alias("set"), "payload_hash", "kind", "domain")
-    rows = copies.groupBy(*key).agg(F.collect_list(one).alias("c"))
+    hole, record, bridge = (1 << (20 + i) for i in range(3))
+    bit = lambda test, b: F.when(test, F.lit(b).cast("long")).otherwise(F.lit(0).cast("long"))
+    size = F.size("_set")
+    own = (
+        bit(~F.array_contains("_set", F.col("node")), ERRORS["COPYSET_WITHOUT_SELF"])
+        + bit(size < replication, ERRORS["SMALL_COPYSET"])
+        + bit(size > F.size(F.array_distinct("_set")), ERRORS["DUPLICATES_IN_COPYSET"])
+        + bit(F.col("kind") == "HOLE", hole) + bit(F.col("kind") == "RECORD", record) + bit(F.col("kind") == "BRIDGE", bridge)
+    )
+    order = F.when(F.col("wave") == 0, F.lit(NO_WAVE).cast("long")).otherwise(F.col("wave").cast("long"))
+    content = F.when(F.col("kind") == "RECORD", F.col("payload_hash"))
+    rows = copies.withColumn("_set", F.sort_array("copyset")).select(*key, order.alias("_order"), "_set", "node", "domain", own.alias("_own"), content.alias("_least"))
+    if domains <= 2:
+        placed, placed_again = [F.min("domain").alias("_near"), F.max("domain").alias("_far")], [F.min("_near").alias("_near"), F.max("_far").alias("_far")]
+        spread = F.col("_near") != F.col("_far") if domains == 2 else F.col("_near").isNotNull() | F.lit(domains < 1)
+    else:
+        placed, placed_again = [F.collect_set("domain").alias("_domains")], [F.array_distinct(F.flatten(F.collect_list("_domains"))).alias("_domains")]
+        spread = F.size("_domains") >= domains
+    again = [F.sum("n_copies").alias("n_copies"), F.bit_or("_own").alias("_own"), F.min("_least").alias("_least"), F.max("_most").alias("_most"), *placed_again]
+
+    rows = rows.repartition(*key).groupBy(*key, "_order", "_set").agg(
+        F.count(F.lit(1)).alias("n_copies"), F.bit_or("_own").alias("_own"), F.min("_least").alias("_least"), F.max("_least").alias("_most"), *placed, F.count_distinct("node").alias("_nodes")
+    )
     if nodesets is not None:
         rows = rows.join(nodesets.select("log_id", "nodeset"), "log_id", "left")
-    c = F.col("c")
-    waves = F.transform(c, lambda x: x["wave"])
-    last = F.when(F.array_min(waves) == 0, F.array_min(waves)).otherwise(F.array_max(waves))
-    rows = rows.withColumn("_last", F.filter(c, lambda x: x["wave"] == last))
-    late = F.col("_last")
-    n_of = lambda some, f: F.size(F.array_distinct(F.transform(some, f)))
-
-    def holders(s: Column) -> Column:
-        """Of a copyset of the latest wave: whether enough of its nodes hold the record with it, and in how many domains they are."""
-        mine = F.filter(late, lambda y: y["set"] == s)
-        return F.struct((n_of(mine, lambda y: y["node"]) >= F.least(F.size(s), F.lit(replication))).alias("accurate"), n_of(mine, lambda y: y["domain"]).alias("domains"))
-
-    rows = rows.withColumn("_sets", F.transform(F.array_distinct(F.transform(late, lambda x: x["set"])), holders))
-    sets = F.col("_sets")
-    kinds = F.transform(c, lambda x: x["kind"])
-    has = lambda k: F.array_contains(kinds, k)
-    hole, bridge = has("HOLE") & has("RECORD"), has("BRIDGE") & has("RECORD")
-    different = lambda of, f: F.size(F.array_distinct(F.transform(of, f))) > 1
-    good = F.exists(sets, lambda g: g["accurate"] & (g["domains"] >= domains))
-    spread = n_of(c, lambda y: y["domain"]) >= domains
-    bit = lambda test, name: F.when(test, ERRORS[name]).otherwise(0)
+        outside = F.col("nodeset").isNotNull() & (F.size(F.array_except("_set", "nodeset")) > 0)
+        rows = rows.withColumn("_own", F.col("_own") + bit(outside, ERRORS["COPYSET_NOT_IN_NODESET"]))
+    level = F.when(F.col("_nodes") < F.least(size, F.lit(replication)), 0).when(spread, 2).otherwise(1)
+    waves = rows.groupBy(*key, "_order").agg(F.count(F.lit(1)).alias("_sets"), F.max(level).alias("_level"), *again)
+    last = F.max_by(F.when(F.col("_sets") > 1, 3).otherwise(0) + F.col("_level"), F.col("_order"))
+    found = waves.groupBy(*key).agg(last.alias("_last"), *again)
+
+    has = lambda b: F.col("_own").bitwiseAND(F.lit(b).cast("long")) > 0
+    holes, bridges = has(hole) & has(record), has(bridge) & has(record)
+    level = F.col("_last") % 3
     errors = (
-        bit(F.size(sets) > 1, "DIFFERENT_COPYSET_IN_LATEST_WAVE")
-        + bit(F.exists(c, lambda x: ~F.array_contains(x["set"], x["node"])), "COPYSET_WITHOUT_SELF")
-        + bit(F.exists(c, lambda x: F.size(x["set"]) < replication), "SMALL_COPYSET")
-        + bit(F.exists(c, lambda x: F.size(x["set"]) > F.size(F.array_distinct(x["set"]))), "DUPLICATES_IN_COPYSET")
-        + bit(~F.exists(sets, lambda g: g["accurate"]), "NO_ACCURATE_COPYSET")
-        + bit(hole, "HOLE_RECORD_CONFLICT")
-        + bit(bridge, "BRIDGE_RECORD_CONFLICT")
-        + bit(~hole & ~bridge & different(F.filter(c, lambda x: x["kind"] == "RECORD"), lambda x: x["payload_hash"]), "DATA_MISMATCH")
-        + bit(~good, "BAD_REPLICATION_LAST_WAVE")
-        + bit(~good & ~spread, "BAD_REPLICATION")
+        F.col("_own").bitwiseAND(F.lit(hole - 1).cast("long"))
+        + bit(F.col("_last") > 2, ERRORS["DIFFERENT_COPYSET_IN_LATEST_WAVE"])
+        + bit(level == 0, ERRORS["NO_ACCURATE_COPYSET"])
+        + bit(holes, ERRORS["HOLE_RECORD_CONFLICT"])
+        + bit(bridges, ERRORS["BRIDGE_RECORD_CONFLICT"])
+        + bit(~holes & ~bridges & (F.col("_least") != F.col("_most")), ERRORS["DATA_MISMATCH"])
+        + bit(level < 2, ERRORS["BAD_REPLICATION_LAST_WAVE"])
+        + bit((level < 2) & ~F.coalesce(spread, F.lit(False)), ERRORS["BAD_REPLICATION"])
     )
-    if nodesets is not None:
-        outside = F.exists(c, lambda x: F.size(F.array_except(x["set"], F.col("nodeset"))) > 0)
-        errors = errors + bit(F.col("nodeset").isNotNull() & outside & (F.col("log_id") >= 0), "COPYSET_NOT_IN_NODESET")
-    return rows.select(*key, F.size(c).cast("long").alias("n_copies"), errors.cast("long").alias("errors")).filter("errors > 0")
+    return found.select(*key, "n_copies", errors.alias("errors")).filter("errors > 0")
 
 
 def lost_numbers(found_gaps: DataFrame) -> DataFrame:

@@ -189,3 +189,25 @@ def test_answers_and_configuration(spark):
     for bad in ('{"logs": [{"name": "x"}]}', '{"logs": [{"id": "1..5"}, {"id": "5..6"}]}', '{"logs": [{"id": 1, "replication_factor": -1}]}'):
         with pytest.raises(ValueError):
             tables.log_groups_of_config(spark, bad)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_replicas_are_judged_by_aggregates_of_fixed_width(spark):
+    """Nothing is listed a record, and the condition on the errors doesn't repeat what they are made from."""
+    schema = "log_id long, lsn long, node long, wave long, copyset array<long>, payload_hash long, kind string, domain long"
+    copies = [
+        (1, 1, 1, 1, [1, 2, 3], 0, "RECORD", 1), (1, 1, 2, 1, [3, 2, 1], 0, "RECORD", 2), (1, 1, 3, 1, [2, 1, 3], 0, "RECORD", 3),
+        (1, 2, 1, 1, [1, 2, 3], 0, "RECORD", 1), (1, 2, 2, 1, [1, 2, 3], 5, "RECORD", 1), (1, 2, 4, 2, [1, 4, 5], 0, "RECORD", 1), (1, 2, 4, 2, [1, 4, 6], 0, "HOLE", 1),
+        (2, 1, 1, 1, [1, 1], 0, "RECORD", 1), (2, 1, 1, 0, [1, 1], 7, "RECORD", 2), (2, 1, 9, 2, [1, 2, 9], 0, "RECORD", 2),
+        (2, 2, 1, 3, [1, 2, 3], 0, "RECORD", 1), (2, 2, 2, 3, [1, 2, 3], 0, "RECORD", 2), (2, 2, 3, 3, [1, 2, 3], 0, "RECORD", 2),
+    ]
+    nodesets = spark.createDataFrame([(2, [1, 2, 3])], "log_id long, nodeset array<long>")
+    found = integrity.replica_errors(spark.createDataFrame(copies, schema), 3, nodesets=nodesets)
+    assert rows(found) == [(1, 2, 4, 2 + 32 + 128 + 256 + 512), (2, 1, 3, 8 + 16 + 2048 + 64 + 32 + 128)]
+    three = integrity.replica_errors(spark.createDataFrame(copies, schema), 3, domains=3, nodesets=nodesets)
+    assert rows(three) == [(1, 2, 4, 2 + 32 + 128 + 256 + 512), (2, 1, 3, 8 + 16 + 2048 + 64 + 32 + 128 + 256), (2, 2, 3, 128 + 256)]
+    plan = plan_of(found)
+    assert "collect_list" not in plan and "exists(" not in plan and max(map(len, plan.splitlines())) < 5000

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from logweir.operators import cells
 
@@ -123,16 +124,45 @@ def lost_numbers(found_gaps: DataFrame) -> DataFrame:
 def error_counts(found: DataFrame, examples: int = 3) -> DataFrame:
     """(error, n, examples) of each kind of finding, with the first few records as examples.
 
-    Findings are cut into cells by hash, and of each cell the first few are kept before they come together.
+    One pass over the findings: each task counts its own and keeps its first few of each kind, in Arrow batches, as
+    no built-in aggregate keeps the least few; only these come together.
     """
-    names = F.array(*[F.when(F.col("errors").bitwiseAND(b) > 0, F.lit(n)) for n, b in ERRORS.items()])
-    rows = found.select("log_id", "lsn", F.explode(F.filter(names, lambda n: n.isNotNull())).alias("error"))
-    counts = rows.groupBy("error").agg(F.count(F.lit(1)).alias("n"))
-    first = lambda by: Window.partitionBy(*by).orderBy("log_id", "lsn")
-    few = rows.withColumn("_cell", F.pmod(F.xxhash64("log_id", "lsn"), F.lit(1024)))
-    few = few.withColumn("_r", F.row_number().over(first(["error", "_cell"]))).filter(F.col("_r") <= examples)
-    few = few.withColumn("_r", F.row_number().over(first(["error"]))).filter(F.col("_r") <= examples)
-    return counts.join(few.groupBy("error").agg(F.sort_array(F.collect_list(F.struct("log_id", "lsn"))).alias("examples")), "error")
+    names = F.array(*[F.lit(n) for n in ERRORS])
+    key = ["log_id", "lsn"]
+    rows = found.select(*key, F.col("errors").cast("long").alias("errors"))
+    schema = StructType([StructField("kind", LongType()), StructField("n", LongType()), *[StructField(c, rows.schema[c].dataType) for c in key]])
+    kept = rows.mapInArrow(first_of_kinds(list(ERRORS.values()), examples), schema)
+    first = F.slice(F.sort_array(F.collect_list(F.when(F.col("n") == 0, F.struct("log_id", "lsn")))), 1, examples)
+    return kept.groupBy(F.element_at(names, (F.col("kind") + 1).cast("int")).alias("error")).agg(F.sum("n").alias("n"), first.alias("examples"))
+
+
+def first_of_kinds(bits: list[int], k: int):
+    """For mapInArrow: (kind, n, log_id, lsn) of rows (log_id, lsn, errors): a row with each kind's count, and its first ``k`` records with n = 0."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        counts, best, schema = [0] * len(bits), [None] * len(bits), None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            schema = table.schema
+            errors = table["errors"]
+            for i, bit in enumerate(bits):
+                hit = pc.greater(pc.bit_wise_and(errors, bit), 0)
+                n = pc.sum(hit).as_py() or 0
+                if n:
+                    counts[i] += n
+                    rows = table.select(["log_id", "lsn"]).filter(hit)
+                    rows = rows if best[i] is None else pa.concat_tables([best[i], rows])
+                    best[i] = rows.take(pc.select_k_unstable(rows, k, [("log_id", "ascending"), ("lsn", "ascending")])).combine_chunks()
+        for i, rows in enumerate(best):
+            if rows is not None:
+                kinds, n = pa.array([i] * (rows.num_rows + 1), pa.int64()), pa.array([counts[i]] + [0] * rows.num_rows, pa.int64())
+                ids = [pa.concat_arrays([pa.nulls(1, schema.field(c).type), *rows[c].chunks]) for c in ("log_id", "lsn")]
+                yield pa.RecordBatch.from_arrays([kinds, n, *ids], names=["kind", "n", "log_id", "lsn"])
+
+    return run
 
 
 def delivery_errors(reads: DataFrame) -> DataFrame:

@@ -211,3 +211,17 @@ def test_replicas_are_judged_by_aggregates_of_fixed_width(spark):
     assert rows(three) == [(1, 2, 4, 2 + 32 + 128 + 256 + 512), (2, 1, 3, 8 + 16 + 2048 + 64 + 32 + 128 + 256), (2, 2, 3, 128 + 256)]
     plan = plan_of(found)
     assert "collect_list" not in plan and "exists(" not in plan and max(map(len, plan.splitlines())) < 5000
+
+
+def test_error_counts_in_one_pass(spark):
+    """Findings are read once; the first records of a kind are kept when many tasks have some."""
+    found = spark.range(1000, numPartitions=7).select((F.col("id") * 37 % 10).alias("log_id"), (F.lit(1000) - F.col("id")).alias("lsn"), F.when(F.col("id") % 2 == 0, 5).otherwise(64).cast("long").alias("errors"))
+    found = found.unionByName(spark.createDataFrame([(3, 5000, 2048), (3, 5001, 0)], "log_id long, lsn long, errors long"))
+    counts = integrity.error_counts(found)
+    every = [(i * 37 % 10, 1000 - i, i % 2) for i in range(1000)]
+    even, odd = (sorted(r[:2] for r in every if r[2] == k)[:3] for k in (0, 1))
+    assert [(r["error"], r["n"], [tuple(x) for x in r["examples"]]) for r in counts.orderBy("error").select("error", "n", "examples").collect()] == [
+        ("COPYSET_WITHOUT_SELF", 500, even), ("DATALOSS", 500, even), ("DATA_MISMATCH", 500, odd), ("DUPLICATES_IN_COPYSET", 1, [(3, 5000)]),
+    ]
+    assert plan_of(counts).count("Range (") == 1
+    assert integrity.error_counts(found.filter("errors < 0")).count() == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,28 +87,44 @@ def hex_payload(payload: Column) -> Column:
 # Batches of payloads as one value: the checksum, then the count and each payload behind its length, as big-endian 32-bit numbers.
 
 
+# Both work on a value that is bound once: what it is made from is put in wherever a column is named, and with a name in
+# each step, a batch was made again for each of its numbers.
+
+
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is evaluated once, however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def encoded_batch(payloads: Column) -> Column:
     """A batch as bytes, from an array of binary payloads; null for null, or if a payload is null."""
-    number = lambda n: F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0"))
-    parts = F.transform(payloads, lambda p: F.concat(number(F.octet_length(p)), p.cast("binary")))
-    body = F.concat(number(F.size(payloads)), F.aggregate(parts, F.unhex(F.lit("")), lambda a, p: F.concat(a, p)))
-    return F.when(payloads.isNotNull(), F.concat(number(F.crc32(body)), body))
+    number = lambda n: F.lpad(F.hex(n.cast("long")), 8, "0")
+    part = lambda p: F.concat(number(F.octet_length(p)), F.hex(p.cast("binary")))
+
+    def body(p: Column) -> Column:
+        digits = F.concat(number(F.size(p)), F.array_join(F.transform(p, part), ""))
+        return F.when(p.isNotNull() & ~F.exists(p, lambda x: x.isNull()), F.unhex(digits))
+
+    return bound(bound(payloads, body), lambda b: F.concat(F.unhex(number(F.crc32(b))), b))
 
 
 def decoded_batch(batch: Column) -> Column:
     """The payloads of an encoded batch as an array of binaries; null if its checksum, count or lengths don't hold."""
-    number = lambda at: F.conv(F.hex(F.substring(batch, at, F.lit(4))), 16, 10).cast("long")
-    whole = (F.octet_length(batch) >= 8) & (number(F.lit(1)) == F.crc32(F.substring(batch, F.lit(5), F.octet_length(batch))))
-    n = number(F.lit(5))
-    start = F.struct(F.lit(9).cast("int").alias("at"), F.array().cast("array<binary>").alias("out"))
-
-    def step(acc: Column, _: Column) -> Column:
-        size = number(acc["at"])
-        return F.struct((acc["at"] + 4 + size).cast("int").alias("at"), F.concat(acc["out"], F.array(F.substring(batch, acc["at"] + 4, size.cast("int")))).alias("out"))
-
-    read = F.aggregate(F.sequence(F.lit(1), n), start, step)
-    read = F.when(n > 0, read).otherwise(start)
-    return F.when(whole, F.when(read["at"] == F.octet_length(batch) + 1, read["out"]))
+
+    def decoded(data: Column) -> Column:
+        number = lambda at: F.conv(F.hex(F.substring(data, at, F.lit(4))), 16, 10).cast("long")
+        whole = (F.octet_length(data) >= 8) & (number(F.lit(1)) == F.crc32(F.substring(data, F.lit(5), F.octet_length(data))))
+        n = number(F.lit(5))
+        start = F.struct(F.lit(9).cast("int").alias("at"), F.array().cast("array<binary>").alias("out"))
+
+        def step(acc: Column, _: Column) -> Column:
+            return bound(number(acc["at"]).cast("int"), lambda size: F.struct((acc["at"] + 4 + size).cast("int").alias("at"), F.concat(acc["out"], F.array(F.substring(data, acc["at"] + 4, size))).alias("out")))
+
+        payloads = lambda read: F.when(read["at"] == F.octet_length(data) + 1, read["out"])
+        read = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<bigint>")), start, step, payloads)
+        return F.when(whole, read)
+
+    return bound(batch, decoded)
 
 
 def fnv1a_64(data: Column) -> Column:

@@ -226,8 +226,12 @@ def sequenced(appends: DataFrame, size: int, passthrough: int) -> DataFrame:
 
 
 def unbatched(batched: DataFrame) -> DataFrame:
-    """(log_id, lsn, batch_offset, payload): the records of batches, which share a number; for those of null see ``undecodable``."""
-    return batched.select("log_id", F.col("first_lsn").alias("lsn"), F.posexplode("payloads").alias("batch_offset", "payload"))
+    """(log_id, lsn, batch_offset, payload): the records of batches, which share a number; for those of null see ``undecodable``.
+
+    Batches without records are left out behind the step; left out before, their payloads would be decoded twice.
+    """
+    rows = batched.select("log_id", F.col("first_lsn").alias("lsn"), F.posexplode_outer("payloads").alias("batch_offset", "payload"))
+    return rows.filter(F.col("batch_offset").isNotNull())
 
 
 def undecodable(batched: DataFrame) -> DataFrame:

@@ -114,6 +114,18 @@ def test_batches_as_bytes(spark):
     assert [r[0] for r in cut.select(scalars.decoded_batch(F.col("b"))).collect()] == [None] * 4
 
 
+def test_batches_are_coded_once(spark):
+    """The plan holds a batch's code a few times, not once for each number in it, whatever the batch is made from."""
+    df = spark.createDataFrame([(1, 1, [b"a", b""]), (1, 2, []), (1, 3, None), (2, 1, [b"x", None])], "log_id long, first_lsn long, p array<binary>")
+    made = df.withColumn("b", scalars.encoded_batch(F.transform("p", lambda x: x))).withColumn("b", F.when(F.col("log_id") < 9, F.col("b")).otherwise(F.concat("b", "b")))
+    assert [r["b"] and bytes(r["b"]).hex() for r in made.orderBy("log_id", "first_lsn").select("b").collect()][1:] == ["2144df1c00000000", None, None]
+    read = made.withColumn("payloads", scalars.decoded_batch(F.col("b")))
+    found = log.unbatched(read)
+    assert sorted((r[0], r[1], r[2], bytes(r[3])) for r in found.collect()) == [(1, 1, 0, b"a"), (1, 1, 1, b"")]
+    assert max(map(len, found._jdf.queryExecution().executedPlan().toString().splitlines())) < 6000
+    assert sorted(r["lo"] for r in log.undecodable(read).collect()) == [1, 3]
+
+
 def test_log_frame(spark):
     records = spark.createDataFrame([(1, n, f"2024-01-0{n} 00:00:00", f"p{n}", 2, f"{n:02d}") for n in (2, 3, 5)], "log_id long, lsn long, ts string, payload string, payload_size long, find_key string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     tree = LogsTree({"replication_factor": "3"})
